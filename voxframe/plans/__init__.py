@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "q_corpus",
+    "q_batch",
 ]
 
 
