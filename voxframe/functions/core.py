@@ -104,15 +104,22 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end
     r = ranges.withColumn(
         "_vf_bin",
         F.explode(F.sequence(F.floor(F.col(start) / w).cast("long"), F.floor(F.col(end) / w).cast("long"))),
-    )
-    p = points.withColumn("_vf_bin", F.floor(F.col(point) / w).cast("long"))
-    cond = [p[k] == r[k] for k in keys] + [p["_vf_bin"] == r["_vf_bin"], p[point] >= r[start]]
-    cond.append(p[point] <= r[end] if inclusive_end else p[point] < r[end])
-    cond_all = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    j = p.join(r, cond_all, how)
-    cols = [p[c] for c in points.columns] + [r[c] for c in ranges.columns if c not in keys]
+    ).alias("_vf_r")
+    p = points.withColumn("_vf_bin", F.floor(F.col(point) / w).cast("long")).alias("_vf_p")
+
+    def P(c):
+        return F.col(f"_vf_p.`{c}`")
+
+    def R(c):
+        return F.col(f"_vf_r.`{c}`")
+
+    cond = P("_vf_bin") == R("_vf_bin")
+    for k in keys:
+        cond = cond & (P(k) == R(k))
+    cond = cond & (P(point) >= R(start))
+    cond = cond & ((P(point) <= R(end)) if inclusive_end else (P(point) < R(end)))
+    j = p.join(r, cond, how)
+    cols = [P(c).alias(c) for c in points.columns] + [R(c).alias(c) for c in ranges.columns if c not in keys]
     return j.select(*cols)
 
 

@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "q_corpus",
     "q_batch",
+    "q_assemble",
 ]
 
 
