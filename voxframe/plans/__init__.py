@@ -8,6 +8,7 @@ MODULES = [
     "q_corpus",
     "q_batch",
     "q_assemble",
+    "q_analyze",
 ]
 
 
