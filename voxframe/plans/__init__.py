@@ -9,6 +9,7 @@ MODULES = [
     "q_batch",
     "q_assemble",
     "q_analyze",
+    "q_text",
 ]
 
 
