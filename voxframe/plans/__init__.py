@@ -10,6 +10,7 @@ MODULES = [
     "q_assemble",
     "q_analyze",
     "q_text",
+    "q_vocab",
 ]
 
 
