@@ -11,6 +11,7 @@ MODULES = [
     "q_analyze",
     "q_text",
     "q_vocab",
+    "q_embed",
 ]
 
 
