@@ -12,6 +12,7 @@ MODULES = [
     "q_text",
     "q_vocab",
     "q_embed",
+    "q_align",
 ]
 
 
