@@ -13,6 +13,7 @@ MODULES = [
     "q_vocab",
     "q_embed",
     "q_align",
+    "q_signal",
 ]
 
 
