@@ -14,6 +14,7 @@ MODULES = [
     "q_embed",
     "q_align",
     "q_signal",
+    "q_quality",
 ]
 
 
