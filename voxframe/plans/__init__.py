@@ -15,6 +15,7 @@ MODULES = [
     "q_align",
     "q_signal",
     "q_quality",
+    "q_stream",
 ]
 
 
