@@ -16,6 +16,7 @@ MODULES = [
     "q_signal",
     "q_quality",
     "q_stream",
+    "q_sources",
 ]
 
 

@@ -39,7 +39,7 @@ def oracle(sql: str, *views: str, rnd: tuple[str, ...] | list[str] = (), extra:
     """DuckDB oracle text: views as CTEs, listed double columns rounded."""
     body = with_views(sql, *views, extra=extra)
     if rnd:
-        rep = ", ".join(f"round(CAST({c} AS DOUBLE), {ROUND_DIGITS}) + 0.0 AS {c}" for c in rnd)  # no -0.0
+        rep = ", ".join(f"round(CAST(\"{c}\" AS DOUBLE), {ROUND_DIGITS}) + 0.0 AS \"{c}\"" for c in rnd)  # no -0.0
         body = f"SELECT * REPLACE ({rep}) FROM ({body}) _o"
     return body
 
