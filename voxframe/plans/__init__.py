@@ -17,6 +17,7 @@ MODULES = [
     "q_quality",
     "q_stream",
     "q_sources",
+    "q_sinks",
 ]
 
 
