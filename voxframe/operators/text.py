@@ -11,6 +11,9 @@ Rule kinds:
   ("lit", a, b)                   literal replace of every ``a`` by ``b``
   ("re", pattern, repl)           regex replace all (``$1`` groups)
   ("strip",)                      strip whitespace at both ends
+  ("collapse",)                   runs of whitespace -> one space
+  ("guard", pattern, rules)       apply ``rules`` only where ``pattern`` is found
+                                  (one scan instead of one per rule)
 """
 
 from __future__ import annotations
@@ -24,9 +27,15 @@ from pyspark.sql import functions as F
 WS = "[\\t\\n\\x0B\\f\\r \\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 WORD_EDGE = "(^|[^\\p{L}\\p{N}_])"  # stands for a leading \b; group 1 is put back
 
+# the same characters as a plain set, for trim()
+WS_CHARS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
+    "\u2028\u2029\u202f\u205f\u3000"
+
 LOWER = ("lower",)
 STRIP = ("strip",)
-COLLAPSE = ("re", WS + "+", " ")
+COLLAPSE = ("collapse",)
+# whitespace Python knows but Java's \s does not (the rare path of ``collapse``)
+EXOTIC_WS = "[\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 AUX = ("re", '[<>()\\[\\]"]+', "")
 
 
@@ -40,7 +49,12 @@ def to_col(rules: Sequence[tuple], c: Column) -> Column:
         elif k == "re":
             c = F.regexp_replace(c, r[1], r[2])
         elif k == "strip":
-            c = F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+            c = F.trim(c, F.lit(WS_CHARS))
+        elif k == "collapse":
+            # Java's \s+ covers every ASCII whitespace; the full class only where needed
+            c = F.when(c.rlike(EXOTIC_WS), F.regexp_replace(c, WS + "+", " ")).otherwise(F.regexp_replace(c, "\\s+", " "))
+        elif k == "guard":
+            c = F.when(c.rlike(r[1]), to_col(r[2], c)).otherwise(c)
         else:
             raise ValueError(k)
     return c
@@ -63,7 +77,11 @@ def to_sql(rules: Sequence[tuple], e: str) -> str:
                 repl = repl.replace(f"${i}", f"\\{i}")
             e = f"regexp_replace({e}, {_sq(r[1])}, {_sq(repl)}, 'g')"
         elif k == "strip":
-            e = f"regexp_replace({e}, {_sq(f'^{WS}+|{WS}+$')}, '', 'g')"
+            e = f"trim({e}, {_sq(WS_CHARS)})"
+        elif k == "collapse":
+            e = f"regexp_replace({e}, {_sq(WS + '+')}, ' ', 'g')"
+        elif k == "guard":
+            e = f"CASE WHEN regexp_matches({e}, {_sq(r[1])}) THEN {to_sql(r[2], e)} ELSE {e} END"
     return e
 
 
@@ -155,6 +173,17 @@ MULTI_LANGS = ["ar", "cs", "de", "en", "es", "fr", "hu", "it", "nl", "pl", "pt",
 
 
 def abbrev_rules(pairs, dot: bool = True, ignore_case: bool = True, trailing_edge: bool = False) -> list[tuple]:
+    """Word-edge abbreviation rules, applied in order, behind one combined
+    guard: texts without any abbreviation are scanned once, not once per rule."""
+    if not pairs:
+        return []
+    flag = "(?i)" if ignore_case else ""
+    tail = "([^\\p{L}\\p{N}_]|$)" if trailing_edge else ("\\." if dot else "")
+    guard = f"{flag}{WORD_EDGE}({'|'.join(p for p, _ in pairs)}){tail}"
+    return [("guard", guard, _abbrev_chain(pairs, dot, ignore_case, trailing_edge))]
+
+
+def _abbrev_chain(pairs, dot: bool, ignore_case: bool, trailing_edge: bool) -> list[tuple]:
     out = []
     for pat, rep in pairs:
         flag = "(?i)" if ignore_case else ""
@@ -235,8 +264,10 @@ DEF_PUNCS = ';:,.!?¡¿—…"«»“”'
 
 
 def punc_pattern(puncs: str = DEF_PUNCS) -> str:
+    """Runs of punctuation with their surrounding whitespace. Same language as
+    ``(\\s*[p]+\\s*)+`` written without nested quantifiers (no backtracking blow-up)."""
     cls = "".join("\\" + ch if ch in "\\[]^-" else ch for ch in dict.fromkeys(puncs))
-    return f"({WS}*[{cls}]+{WS}*)+"
+    return f"{WS}*(?:[{cls}]+{WS}*)+"
 
 
 def punc_strip(text: Column, puncs: str = DEF_PUNCS) -> Column:
@@ -246,15 +277,25 @@ def punc_strip(text: Column, puncs: str = DEF_PUNCS) -> Column:
 
 def punc_split(text: Column, puncs: str = DEF_PUNCS) -> Column:
     """``struct(chunks, puncs, positions)``: text pieces between punctuation
-    runs, the runs, and each run's place (BEGIN / MIDDLE / END)."""
+    runs, the runs, and each run's place (BEGIN / MIDDLE / END). Built from
+    array slices only (no per-element lambdas), so each row's regexes run once."""
     pat = punc_pattern(puncs)
     parts = F.split(text, pat, -1)
     marks = F.regexp_extract_all(text, F.lit(pat), 0)
     n = F.size(marks)
     only = (n == 1) & (F.element_at(marks, 1) == text)
-    chunks = F.filter(parts, lambda p, i: ~(((i == 0) | (i == F.size(parts) - 1)) & (p == "")))
-    pos = F.transform(marks, lambda m, i: F.when((i == 0) & text.startswith(m), "BEGIN")
-                      .when((i == n - 1) & text.endswith(m), "END").otherwise("MIDDLE"))
+    np_ = F.size(parts)
+    lo = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
+    hi = F.when(F.element_at(parts, -1) == "", np_ - 1).otherwise(np_)
+    chunks = F.slice(parts, lo, F.greatest(hi - lo + 1, F.lit(0)))
+    first = F.try_element_at(marks, F.lit(1))
+    last = F.try_element_at(marks, F.lit(-1))
+    p_first = F.when(text.startswith(first), "BEGIN").when((n == 1) & text.endswith(first), "END").otherwise("MIDDLE")
+    p_last = F.when(text.endswith(last), "END").otherwise("MIDDLE")
+    middle = F.array_repeat(F.lit("MIDDLE"), F.greatest(n - 2, F.lit(0)).cast("int"))
+    pos = (F.when(n == 0, F.array().cast("array<string>"))
+           .when(n == 1, F.array(p_first))
+           .otherwise(F.concat(F.array(p_first), middle, F.array(p_last))))
     return F.struct(F.when(n == 0, F.array(text)).when(only, F.array().cast("array<string>")).otherwise(chunks).alias("chunks"),
                     marks.alias("puncs"), F.when(only, F.array(F.lit("BEGIN"))).otherwise(pos).alias("positions"))
 

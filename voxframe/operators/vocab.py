@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,20 +62,21 @@ def unique_single_language(df: DataFrame, symbols: str, lang: str) -> DataFrame:
 
 
 def build_vocab(characters: DataFrame, char_col: str = "char", punctuations: str = PUNCTUATIONS,
-                specials: Sequence[str] = (PAD, EOS, BOS, BLANK)) -> DataFrame:
+                specials: Sequence[str] = (PAD, EOS, BOS, BLANK), max_symbols: int = MAP_LIMIT) -> DataFrame:
     """``(token, id)``: specials, then sorted unique characters, then punctuation.
-    A character that repeats a special or a punctuation fails the job."""
+
+    The distinct character set is bounded by Unicode (checked against
+    ``max_symbols``), so it is collected once and the table is built like a
+    config; a character that repeats a special or a punctuation fails."""
     spark = characters.sparkSession
-    sp = spark.createDataFrame([(s, i) for i, s in enumerate(specials)], "token string, id long")
-    base = len(specials)
-    c = characters.select(F.col(char_col).alias("token")).distinct()
-    c = global_position(c, ["token"], out="id").withColumn("id", F.col("id") - 1 + base)
-    n_chars = c.agg(F.count(F.lit(1))).scalar()
-    p = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(punctuations))], "token string, i long")
-    p = p.select("token", (n_chars + base + F.col("i")).alias("id"))
-    v = sp.unionByName(c).unionByName(p)
-    dup = v.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1))).scalar()
-    return v.withColumn("_chk", F.assert_true(dup == 0, "duplicate symbols in vocabulary")).drop("_chk")
+    cs = [r[0] for r in characters.select(char_col).distinct().limit(max_symbols + 1).collect()]
+    if len(cs) > max_symbols:
+        raise ValueError(f"more than {max_symbols} distinct characters")
+    vocab = list(specials) + sorted(cs) + list(dict.fromkeys(punctuations))
+    dups = {t for t in vocab if vocab.count(t) > 1}
+    if dups:
+        raise ValueError(f"duplicate symbols in vocabulary: {sorted(dups)}")
+    return spark.createDataFrame([(t, i) for i, t in enumerate(vocab)], "token string, id long")
 
 
 def oov(df: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
@@ -92,12 +95,60 @@ def vocab_map(vocab: DataFrame, key: str = "token", value: str = "id") -> Column
     return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
 
 
-def encode_chars(text: Column, vmap: Column) -> Column:
-    """text -> ids; characters outside the vocabulary are dropped."""
-    ids = F.transform(chars(text), lambda ch: F.try_element_at(vmap, ch))
+def vocab_lut(vocab: DataFrame, max_code_point: int = 1 << 17) -> Column:
+    """Code point -> id as a literal array (O(1) per character, unlike a map
+    lookup). Only single-character symbols are encodable from text."""
+    n = vocab.count()
+    if n > MAP_LIMIT:
+        raise ValueError(f"vocabulary of {n} symbols: use encode_chars_join")
+    rows = [(r["token"], r["id"]) for r in vocab.select("token", "id").collect() if len(r["token"]) == 1]
+    top = max((ord(t) for t, _ in rows), default=0)
+    if top >= max_code_point:
+        raise ValueError("code point outside the lookup range")
+    table = [None] * (top + 1)
+    for t, i in rows:
+        table[ord(t)] = i
+    return F.array(*[F.lit(v).cast("long") for v in table])
+
+
+def encode_chars(text: Column, lut: Column) -> Column:
+    """text -> ids with the JVM lookup array; characters outside the vocabulary are dropped."""
+    ids = F.transform(chars(text), lambda ch: F.try_element_at(lut, F.ascii(ch) + 1))
     return F.filter(ids, lambda i: i.isNotNull())
 
 
+def code_point_table(vocab: DataFrame) -> np.ndarray:
+    """Code point -> id (``-1`` = not in the vocabulary) for the Arrow encoder."""
+    n = vocab.count()
+    if n > MAP_LIMIT:
+        raise ValueError(f"vocabulary of {n} symbols: use encode_chars_join")
+    rows = [(ord(r["token"]), r["id"]) for r in vocab.select("token", "id").collect() if len(r["token"]) == 1]
+    table = np.full(max(c for c, _ in rows) + 1, -1, dtype=np.int64)
+    for c, i in rows:
+        table[c] = i
+    return table
+
+
+def encode_chars_arrow(text: Column, table: np.ndarray) -> Column:
+    """text -> ids per Arrow batch: UTF-32 code points indexed into the table
+    (vectorised; per-character lambdas in the JVM are interpreted)."""
+    top = len(table)
+
+    @F.pandas_udf("array<long>")
+    def enc(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s:
+            if t is None:
+                out.append(None)
+                continue
+            cp = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            ids = np.where(cp < top, table[np.minimum(cp, top - 1)], -1)
+            out.append(ids[ids >= 0])
+        return pd.Series(out)
+
+    return enc(text)
+
+
 def encode_chars_join(df: DataFrame, key: str, text: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """Join form for large vocabularies: explode, broadcast join, ordered rebuild."""
     c = df.select(key, F.posexplode(chars(F.col(text))).alias("pos", "token"))
@@ -106,8 +157,14 @@ def encode_chars_join(df: DataFrame, key: str, text: str, vocab: DataFrame, out:
     return agg.select(key, F.transform("_a", lambda s: s["id"]).alias(out))
 
 
-def decode(ids: Column, inv_map: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.try_element_at(inv_map, i)), "")
+def inverse_lut(vocab: DataFrame) -> Column:
+    """id -> token as a literal array (ids are dense 0..n-1)."""
+    rows = dict(vocab.select("id", "token").collect())
+    return F.array(*[F.lit(rows.get(i)) for i in range(max(rows) + 1)])
+
+
+def decode(ids: Column, inv: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.try_element_at(inv, (i + 1).cast("int"))), "")
 
 
 def intersperse(ids: Column, blank_id: int) -> Column:

@@ -82,9 +82,9 @@ e AS (SELECT c.doc_id, count(v.id) AS n_ids, coalesce(string_agg(CAST(v.id AS VA
 
 def _encoded(spark, sf):
     vocab = _vocab(spark, sf)
-    vm = VC.vocab_map(vocab)
+    table = VC.code_point_table(vocab)
     d = _docs(spark, sf)
-    return d.withColumn("ids", VC.encode_chars(F.col("text"), vm)), vocab
+    return d.withColumn("ids", VC.encode_chars_arrow(F.col("text"), table)), vocab
 
 
 @register("tok_encode_chars", oracle(ENC_SQL + "\nSELECT doc_id, n_ids, ids FROM e"))
@@ -96,7 +96,7 @@ def _tok_encode_chars(spark, sf):
 @register("tok_decode", oracle(ENC_SQL + "\nSELECT doc_id, kept AS text FROM e"))
 def _tok_decode(spark, sf):
     x, vocab = _encoded(spark, sf)
-    inv = VC.vocab_map(vocab, "id", "token")
+    inv = VC.inverse_lut(vocab)
     return x.select("doc_id", VC.decode(F.col("ids"), inv).alias("text"))
 
 
