@@ -47,19 +47,24 @@ def to_col(rules: Sequence[tuple], c: Column) -> Column:
         elif k == "lit":
             c = F.replace(c, F.lit(r[1]), F.lit(r[2]))
         elif k == "re":
-            c = F.regexp_replace(c, r[1], r[2])
+            c = F.regexp_replace(c, _java(r[1]), r[2])
         elif k == "strip":
             c = F.trim(c, F.lit(WS_CHARS))
         elif k == "collapse":
             # Java's \s+ covers every ASCII whitespace; the full class only where needed
             c = F.when(c.rlike(EXOTIC_WS), F.regexp_replace(c, WS + "+", " ")).otherwise(F.regexp_replace(c, "\\s+", " "))
         elif k == "guard":
-            c = F.when(c.rlike(r[1]), to_col(r[2], c)).otherwise(c)
+            c = F.when(c.rlike(_java(r[1])), to_col(r[2], c)).otherwise(c)
         else:
             raise ValueError(k)
     return c
 
 
+def _java(pattern: str) -> str:
+    """Java folds case for ASCII only under (?i); RE2 folds Unicode. Match RE2."""
+    return pattern.replace("(?i)", "(?iu)", 1) if pattern.startswith("(?i)") else pattern
+
+
 def _sq(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

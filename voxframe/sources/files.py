@@ -21,7 +21,7 @@ from voxframe.sources.specs import SPECS
 
 
 def read_text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    r = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return r.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
