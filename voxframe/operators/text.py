@@ -380,3 +380,33 @@ def char_map(text: Column, one_to_one: dict[str, str], one_to_many: dict[str, st
     for a, b in (one_to_many or {}).items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def apply_rules(df, src: str, rules: Sequence[tuple], out: str):
+    """DataFrame form of ``to_col``: the text is materialised as a column before
+    each rule that reads it more than once (guards, collapse), so an expensive
+    upstream expression is evaluated once per row, not once per reference."""
+    cur = F.col(src)
+    pending: list[tuple] = []
+    x = df
+    for r in rules:
+        if r[0] in ("guard", "collapse") and pending:
+            x = x.withColumn(out, to_col(pending, cur))
+            cur, pending = F.col(out), []
+        if r[0] in ("guard", "collapse"):
+            x = x.withColumn(out, to_col([r], cur))
+            cur = F.col(out)
+        else:
+            pending.append(r)
+    return x.withColumn(out, to_col(pending, cur)) if pending else x.withColumn(out, cur)
+
+
+def english_cleaners(df, src: str, out: str, lower: bool = True, time: bool = True):
+    """lower, clock times, numbers, abbreviations, symbols, aux symbols, whitespace
+    (``lower=False, time=False`` gives the phoneme cleaner); one stage per column."""
+    from voxframe.operators import numbers_en as NE
+    x = df.withColumn(out, F.lower(F.col(src)) if lower else F.col(src))
+    if time:
+        x = x.withColumn(out, NE.expand_time(F.col(out)))
+    x = x.withColumn(out, NE.normalize_numbers(F.col(out)))
+    return apply_rules(x, out, abbrev_rules(ABBREV_EN) + replace_symbols_rules("en") + [AUX, COLLAPSE, STRIP], out)

@@ -316,3 +316,20 @@ def greedy_longest(text: Column, rules: dict[str, str]) -> Column:
 
 def _re_quote(s: str) -> str:
     return "".join("\\" + c if c in "\\.^$|?*+()[]{}" else c for c in s)
+
+
+def bpe_encode_types(words: DataFrame, merges: list[tuple[str, str]], word: str = "word") -> DataFrame:
+    """Apply ordered merges to each distinct word type (a chained fold per
+    merge, JVM-side). Types are far fewer than tokens; callers join back."""
+    syms = symbols(F.col(word))
+    for a, b in merges:
+        syms = apply_merge(syms, a, b)
+    return words.select(word, syms.alias("pieces"))
+
+
+def bpe_encode(df: DataFrame, key: str, text: str, merges: list[tuple[str, str]]) -> DataFrame:
+    """Pre-tokenise, encode the distinct word types once, join back to every
+    occurrence: ``(key, pos, word, pieces)``."""
+    toks = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PRETOKEN_RE), 0)).alias("pos", "word"))
+    types = bpe_encode_types(toks.select("word").distinct(), merges)
+    return toks.join(types, "word")

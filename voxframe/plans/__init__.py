@@ -18,6 +18,7 @@ MODULES = [
     "q_stream",
     "q_sources",
     "q_sinks",
+    "q_numbers",
 ]
 
 

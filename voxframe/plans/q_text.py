@@ -24,7 +24,7 @@ def _cleaner_query(key: str, name: str):
     @register(key, oracle(f"SELECT doc_id, {TX.to_sql(rules, 'text')} AS text FROM documents"))
     def _q(spark, sf):
         d = _docs(spark, sf)
-        return d.select("doc_id", TX.to_col(rules, F.col("text")).alias("text"))
+        return TX.apply_rules(d, "text", rules, "text").select("doc_id", "text")
 
 
 for _k, _n in [("cln_basic", "basic"), ("cln_transliteration", "transliteration"), ("cln_german", "german"),

@@ -309,3 +309,13 @@ def _lex_cache(spark, sf):
     todo = d.join(cache.select("doc_id"), on="doc_id", how="left_anti")
     new = VC.lookup_words(todo, "doc_id", "text", _lexicon(spark, sf)).select("doc_id", F.lit("new").alias("origin"))
     return cache.unionByName(new)
+
+
+@register("bpe_encode")
+def _bpe_encode(spark, sf):
+    """Rows-only: learned merges applied to the corpus through its distinct word types."""
+    d = V.table(spark, sf, "documents").where(F.col("lang") == "en")
+    merges = [(r["left"], r["right"]) for r in VC.bpe_train(spark, VC.word_counts(d, "text"), num_merges=8)
+              .orderBy("rank").collect()]
+    enc = VC.bpe_encode(d, "doc_id", "text", merges)
+    return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.size("pieces")).alias("n_pieces"))
