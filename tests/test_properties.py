@@ -124,3 +124,39 @@ def test_mel_basis_rows_are_triangles():
     m = SG.mel_basis(16000, 512, 40)
     assert m.shape == (40, 257)
     assert np.all(m >= 0) and np.all(m.sum(axis=1) > 0)
+
+
+def _python_bpe(counts, n_merges):
+    words = {w: list(w) for w in counts}
+    merges = []
+    for _ in range(n_merges):
+        pc = {}
+        for w, n in counts.items():
+            s = words[w]
+            for a, b in zip(s, s[1:]):
+                pc[(a, b)] = pc.get((a, b), 0) + n
+        if not pc:
+            break
+        (a, b), _n = sorted(pc.items(), key=lambda kv: (-kv[1], kv[0]))[0]
+        merges.append((a, b))
+        for w in words:
+            s, out, i = words[w], [], 0
+            while i < len(s):
+                if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
+                    out.append(a + b)
+                    i += 2
+                else:
+                    out.append(s[i])
+                    i += 1
+            words[w] = out
+    return merges, words
+
+
+def test_bpe_train_matches_python(spark):
+    counts = {"lower": 5, "lowest": 2, "newer": 6, "wider": 3, "new": 2, "aaaa": 4}
+    wc = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = [(r.left, r.right) for r in VC.bpe_train(spark, wc, 6).orderBy("rank").collect()]
+    want, words = _python_bpe(counts, 6)
+    assert got == want
+    enc = {r.word: list(r.pieces) for r in VC.bpe_encode_types(wc, got).collect()}
+    assert enc == words

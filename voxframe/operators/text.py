@@ -39,7 +39,10 @@ EXOTIC_WS = "[\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}
 AUX = ("re", '[<>()\\[\\]"]+', "")
 
 
-def to_col(rules: Sequence[tuple], c: Column) -> Column:
+def to_col(rules: Sequence[tuple], c: Column, raw: Column | None = None) -> Column:
+    """Render rules on ``c``. ``raw`` (the untouched input) lets ``collapse``
+    pick its path without re-reading the chain: no rule introduces Unicode
+    whitespace, so the raw text decides exactly."""
     for r in rules:
         k = r[0]
         if k == "lower":
@@ -52,7 +55,8 @@ def to_col(rules: Sequence[tuple], c: Column) -> Column:
             c = F.trim(c, F.lit(WS_CHARS))
         elif k == "collapse":
             # Java's \s+ covers every ASCII whitespace; the full class only where needed
-            c = F.when(c.rlike(EXOTIC_WS), F.regexp_replace(c, WS + "+", " ")).otherwise(F.regexp_replace(c, "\\s+", " "))
+            probe = raw if raw is not None else c
+            c = F.when(probe.rlike(EXOTIC_WS), F.regexp_replace(c, WS + "+", " ")).otherwise(F.regexp_replace(c, "\\s+", " "))
         elif k == "guard":
             c = F.when(c.rlike(_java(r[1])), to_col(r[2], c)).otherwise(c)
         else:
@@ -245,16 +249,16 @@ def by_language_rules(lang: str) -> list[tuple]:
 
 
 def clean(text: Column, name: str) -> Column:
-    return to_col(cleaner_rules(name), text)
+    return to_col(cleaner_rules(name), text, raw=text)
 
 
 def clean_by_language(text: Column, lang: Column, langs: Sequence[str] = MULTI_LANGS) -> Column:
     """One CASE over per-language chains: each row runs only its own chain."""
     out = None
     for lg in langs:
-        expr = to_col(by_language_rules(lg), text)
+        expr = to_col(by_language_rules(lg), text, raw=text)
         out = F.when(lang == lg, expr) if out is None else out.when(lang == lg, expr)
-    basic = to_col(cleaner_rules("basic"), text)
+    basic = to_col(cleaner_rules("basic"), text, raw=text)
     return basic if out is None else out.otherwise(basic)
 
 
@@ -410,3 +414,34 @@ def english_cleaners(df, src: str, out: str, lower: bool = True, time: bool = Tr
         x = x.withColumn(out, NE.expand_time(F.col(out)))
     x = x.withColumn(out, NE.normalize_numbers(F.col(out)))
     return apply_rules(x, out, abbrev_rules(ABBREV_EN) + replace_symbols_rules("en") + [AUX, COLLAPSE, STRIP], out)
+
+
+def clean_by_language_df(df, text: str, lang: str, out: str, langs: Sequence[str] = MULTI_LANGS):
+    """Same result as ``clean_by_language`` but as staged projections: each
+    stage is one small ``CASE`` over languages for one step of the chain, so
+    every stage compiles to Java (one giant ``CASE`` of all chains exceeds the
+    code generator and would run interpreted)."""
+    lg = F.col(lang)
+    t = F.col(text)
+    multi = lg.isin(*langs)
+
+    def case(fn, default):
+        e = None
+        for code in langs:
+            r = fn(code)
+            if r is None:
+                continue
+            e = F.when(lg == code, r) if e is None else e.when(lg == code, r)
+        return default if e is None else e.otherwise(default)
+
+    tr = F.replace(F.replace(F.replace(F.replace(t, F.lit('"'), F.lit("")), F.lit("İ"), F.lit("i")), F.lit("Ö"), F.lit("ö")),
+                   F.lit("Ü"), F.lit("ü"))
+    pre = F.lower(F.when(lg == "tr", tr).when(multi, F.replace(t, F.lit('"'), F.lit(""))).otherwise(t))
+    x = df.withColumn(out, pre)
+    c = F.col(out)
+    x = x.withColumn(out, case(lambda code: to_col(multilingual_abbrev_rules(code), c) if ABBREV_MULTI.get(code) else None, c))
+    c = F.col(out)
+    x = x.withColumn(out, case(lambda code: to_col(symbol_rules(code), c), c))
+    c = F.col(out)
+    x = x.withColumn(out, to_col([COLLAPSE, STRIP], c, raw=t))
+    return x

@@ -36,7 +36,7 @@ for _k, _n in [("cln_basic", "basic"), ("cln_transliteration", "transliteration"
 @register("cln_by_language", oracle(f"SELECT doc_id, {TX.clean_by_language_sql('text', 'lang')} AS text FROM documents"))
 def _cln_by_language(spark, sf):
     d = _docs(spark, sf)
-    return d.select("doc_id", TX.clean_by_language(F.col("text"), F.col("lang")).alias("text"))
+    return TX.clean_by_language_df(d, "text", "lang", "clean").select("doc_id", F.col("clean").alias("text"))
 
 
 def _per_lang_case_sql(rule_fn, text="text", lang="lang"):
