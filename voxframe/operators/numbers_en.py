@@ -71,7 +71,7 @@ def cardinal(digits: Column, andword: str = "") -> Column:
         g.cast("int") > 0, F.concat(_hundreds(g.cast("int"), andword), F.element_at(mills, ng - i))).otherwise(F.lit("")))
     chunks = F.filter(chunks, lambda c: c != "")
     k = F.size(chunks)
-    last = F.element_at(chunks, -1)
+    last = F.try_element_at(chunks, F.lit(-1))
     head = F.array_join(F.slice(chunks, 1, k - 1), ", ")
     join = F.lit(f" {andword} ") if andword else F.lit(" ")
     many = F.when(~last.contains(" "), F.concat(head, join, last)).otherwise(F.concat(head, F.lit(", "), last))

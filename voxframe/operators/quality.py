@@ -48,5 +48,5 @@ def running_mean(df: DataFrame, keys, order: str, value: str, out: str = "runnin
 def ema(values, alpha: float = 0.99):
     """0.99 / 0.01 exponential average over an ordered array column (fold);
     the first value initialises it."""
-    return F.aggregate(F.slice(values, 2, 1 << 30), F.element_at(values, 1),
+    return F.aggregate(F.slice(values, 2, 1 << 30), F.try_element_at(values, F.lit(1)),
                        lambda acc, v: F.lit(alpha) * acc + F.lit(1 - alpha) * v)

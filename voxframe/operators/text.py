@@ -292,10 +292,10 @@ def punc_split(text: Column, puncs: str = DEF_PUNCS) -> Column:
     parts = F.split(text, pat, -1)
     marks = F.regexp_extract_all(text, F.lit(pat), 0)
     n = F.size(marks)
-    only = (n == 1) & (F.element_at(marks, 1) == text)
+    only = (n == 1) & (F.try_element_at(marks, F.lit(1)) == text)
     np_ = F.size(parts)
-    lo = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
-    hi = F.when(F.element_at(parts, -1) == "", np_ - 1).otherwise(np_)
+    lo = F.when(F.try_element_at(parts, F.lit(1)) == "", 2).otherwise(1)
+    hi = F.when(F.try_element_at(parts, F.lit(-1)) == "", np_ - 1).otherwise(np_)
     chunks = F.slice(parts, lo, F.greatest(hi - lo + 1, F.lit(0)))
     first = F.try_element_at(marks, F.lit(1))
     last = F.try_element_at(marks, F.lit(-1))
@@ -312,8 +312,8 @@ def punc_split(text: Column, puncs: str = DEF_PUNCS) -> Column:
 def punc_restore(split: Column) -> Column:
     """Inverse of ``punc_split``: a leading BEGIN mark, then chunk, mark, chunk ..."""
     chunks, marks, pos = split["chunks"], split["puncs"], split["positions"]
-    has_begin = F.coalesce(F.element_at(pos, 1) == "BEGIN", F.lit(False))
-    begin = F.when(has_begin, F.element_at(marks, 1)).otherwise(F.lit(""))
+    has_begin = F.coalesce(F.try_element_at(pos, F.lit(1)) == "BEGIN", F.lit(False))
+    begin = F.when(has_begin, F.try_element_at(marks, F.lit(1))).otherwise(F.lit(""))
     rest = F.when(has_begin, F.slice(marks, 2, 1 << 30)).otherwise(marks)
     body = F.array_join(F.zip_with(chunks, rest, lambda c, m: F.concat(F.coalesce(c, F.lit("")), F.coalesce(m, F.lit("")))), "")
     return F.concat(begin, body)

@@ -216,7 +216,7 @@ def apply_merge(syms: Column, left: str, right: str) -> Column:
     init = F.struct(F.array().cast("array<string>").alias("a"), F.lit(False).alias("m"))
 
     def step(acc, s):
-        last = F.element_at(acc["a"], -1)
+        last = F.try_element_at(acc["a"], F.lit(-1))
         hit = (~acc["m"]) & (F.size(acc["a"]) > 0) & (last == F.lit(left)) & (s == F.lit(right))
         merged = F.concat(F.slice(acc["a"], 1, F.size(acc["a"]) - 1), F.array(F.concat(last, s)))
         return F.when(hit, F.struct(merged.alias("a"), F.lit(True).alias("m"))).otherwise(
