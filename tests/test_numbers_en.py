@@ -46,3 +46,14 @@ def test_english_cleaner(spark):
     df = spark.createDataFrame([("Dr. Smith paid $20 at 5:30 PM; (really)!",)], "t string")
     got = TX.english_cleaners(df, "t", "x").first().x
     assert got == "doctor smith paid twenty dollars at five thirty p m, really!"
+
+
+@pytest.mark.parametrize("src,want", [
+    ("14", "十四"), ("12", "十二"), ("114", "一百一十四"), ("3014", "三千零十四"), ("100", "一百"), ("10100", "一万零一百"),
+    ("30000", "三万"), ("0", "零"), ("20000", "二万"), ("1010", "一千零十"), ("210", "二百一十"),
+    ("300030000", "三亿零三万"), ("有 25 个", "有 二十五 个"),
+])
+def test_mandarin_digits(spark, src, want):
+    from voxframe.operators import numbers_zh as NZ
+    got = spark.createDataFrame([(src,)], "t string").select(NZ.mandarin_digits(F.col("t")).alias("x")).first().x
+    assert got == want

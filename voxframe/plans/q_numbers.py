@@ -37,3 +37,11 @@ def _cleaner(key, lower, time, doc):
 
 _cleaner("cln_english", True, True, "Rows-only: the English cleaner.")
 _cleaner("cln_phoneme", False, False, "Rows-only: the phoneme-mode cleaner.")
+
+
+def _mandarin():
+    from voxframe.operators import numbers_zh as NZ
+    _reg("cln_mandarin", NZ.mandarin_digits, "Rows-only: digit runs read in Mandarin.")
+
+
+_mandarin()
