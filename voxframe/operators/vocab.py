@@ -333,3 +333,24 @@ def bpe_encode(df: DataFrame, key: str, text: str, merges: list[tuple[str, str]]
     toks = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PRETOKEN_RE), 0)).alias("pos", "word"))
     types = bpe_encode_types(toks.select("word").distinct(), merges)
     return toks.join(types, "word")
+
+
+# parameters of the rule-built syllable table: initials and final -> phone string
+PINYIN_INITIALS = ["", "b", "p", "m", "f", "d", "t", "n", "l", "g", "k", "h", "j", "q", "x", "zh", "ch", "sh", "r",
+                   "z", "c", "s", "y", "w"]
+PINYIN_FINALS = {"a": "a", "ai": "ai", "an": "an", "ang": "ɑŋ", "ao": "aʌ", "e": "ə", "ei": "ei", "en": "ən",
+                 "eng": "əŋ", "o": "o", "ou": "ou", "ong": "ʊŋ", "i": "i", "in": "in", "ing": "iŋ", "u": "u", "un": "un"}
+
+
+def pinyin_table(spark: SparkSession) -> DataFrame:
+    """``(syllable, phoneme)`` from initials x finals (a rule, not a list)."""
+    rows = [(i + f, i + p) for i in PINYIN_INITIALS for f, p in PINYIN_FINALS.items()]
+    return spark.createDataFrame(rows, "syllable string, phoneme string")
+
+
+def pinyin_to_phoneme(df: DataFrame, col: str, table: DataFrame, out: str = "phoneme") -> DataFrame:
+    """``syllable + tone`` -> ``phoneme + tone``; an unknown syllable gives just the tone.
+    The table is bounded by the syllable inventory and broadcast."""
+    x = df.withColumn("_seg", F.expr(f"substring({col}, 1, length({col}) - 1)")).withColumn("_tone", F.substring(col, -1, 1))
+    j = x.join(F.broadcast(table.select(F.col("syllable").alias("_seg"), F.col("phoneme").alias("_ph"))), "_seg", "left")
+    return j.withColumn(out, F.concat(F.coalesce("_ph", F.lit("")), "_tone")).drop("_seg", "_tone", "_ph")

@@ -319,3 +319,23 @@ def _bpe_encode(spark, sf):
               .orderBy("rank").collect()]
     enc = VC.bpe_encode(d, "doc_id", "text", merges)
     return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.size("pieces")).alias("n_pieces"))
+
+
+def _pinyin_sql_table():
+    inits = ", ".join(f"('{i}')" for i in VC.PINYIN_INITIALS)
+    fins = ", ".join(f"('{f}', '{p}')" for f, p in VC.PINYIN_FINALS.items())
+    return (f"pt AS (SELECT i.i || f.f AS syllable, i.i || f.p AS phoneme FROM (VALUES {inits}) i(i), "
+            f"(VALUES {fins}) f(f, p))")
+
+
+@register("lex_pinyin", oracle(f"""
+WITH {_pinyin_sql_table()},
+w AS (SELECT DISTINCT unnest(regexp_extract_all({BASIC_SQL}, '[a-z]+')) AS word FROM documents WHERE lang = 'en'),
+p AS (SELECT word, word || CAST(length(word) % 5 + 1 AS VARCHAR) AS pinyin FROM w WHERE length(word) <= 4)
+SELECT p.word, p.pinyin, coalesce(pt.phoneme, '') || right(p.pinyin, 1) AS phoneme
+FROM p LEFT JOIN pt ON pt.syllable = substring(p.pinyin, 1, length(p.pinyin) - 1)"""))
+def _lex_pinyin(spark, sf):
+    d = _docs(spark, sf, "en")
+    w = d.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    p = w.where(F.length("word") <= 4).withColumn("pinyin", F.concat("word", (F.length("word") % 5 + 1).cast("string")))
+    return VC.pinyin_to_phoneme(p, "pinyin", VC.pinyin_table(spark))
