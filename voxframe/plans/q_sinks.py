@@ -10,23 +10,26 @@ from voxframe.operators import assemble as A
 from voxframe.operators import signal as SG
 from voxframe.operators import split as SP
 from voxframe.plans.registry import oracle, register
+from voxframe.plans.sqlh import D
 from voxframe.sources import files as FS
 from voxframe.sources import sinks as SK
 from voxframe.streaming.jobs import workdir
 
 
-@register("snk_manifest_by_lang")
+@register("snk_manifest_by_lang", oracle("SELECT language, count(*) AS n FROM utt GROUP BY 1", "utt"))
 def _snk_manifest_by_lang(spark, sf):
-    """Rows-only: rows per language file, read back from the partitioned CSV."""
+    """Rows per language file, read back from the partitioned CSV."""
     p = workdir(spark, "manifest")
     SK.write_manifest_by_lang(V.utt(spark, sf).withColumn("text", V.clean_field("text")), p)
     r = SK.read_back(spark, f"{p}/by_language", "csv", sep="|", header=True)
     return r.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("snk_train_eval")
+@register("snk_train_eval", oracle(f"""
+SELECT 'eval' AS file, CAST(floor(count(*) * {D(0.1)}) AS BIGINT) AS n FROM utt
+UNION ALL SELECT 'train', count(*) - CAST(floor(count(*) * {D(0.1)}) AS BIGINT) FROM utt""", "utt"))
 def _snk_train_eval(spark, sf):
-    """Rows-only: the two metadata files written off one split column."""
+    """The two metadata files written off one split column."""
     p = workdir(spark, "train-eval")
     u = V.utt(spark, sf).select("audio_unique_name", "audio_file", "speaker_name", "language")
     s = SP.split_holdout(u, "audio_unique_name", size=0.1)
@@ -36,17 +39,18 @@ def _snk_train_eval(spark, sf):
     return tr.unionByName(ev).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("snk_id_map")
+@register("snk_id_map", oracle("""
+SELECT row_number() OVER (ORDER BY name) - 1 AS id, name FROM (SELECT DISTINCT speaker_name AS name FROM utt)""", "utt"))
 def _snk_id_map(spark, sf):
-    """Rows-only: speaker id map as JSON."""
+    """Speaker id map as JSON, read back."""
     p = workdir(spark, "ids")
     SK.write_id_map(A.id_map(V.utt(spark, sf), "speaker_name"), p)
     return SK.read_back(spark, p, "json")
 
 
-@register("snk_embeddings")
+@register("snk_embeddings", oracle("SELECT clip_key, name, CAST(len(embedding) AS BIGINT) AS dim FROM dvec", "dvec"))
 def _snk_embeddings(spark, sf):
-    """Rows-only: store clustered on clip_key, read back."""
+    """Store clustered on clip_key, read back."""
     p = workdir(spark, "emb")
     SK.write_embeddings(V.dvec(spark, sf).select("clip_key", "name", "embedding"), p, buckets=8)
     return SK.read_back(spark, p).select("clip_key", "name", F.size("embedding").cast("long").alias("dim"))
@@ -64,9 +68,10 @@ def _snk_feature_cache(spark, sf):
     return out.groupBy("clip_id", "feature").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-@register("snk_audio_by_lang")
+@register("snk_audio_by_lang", oracle("""
+SELECT clip_id, concat('l', clip_id % 3) AS language, 44 + 2 * count(*) AS n_bytes FROM sig GROUP BY 1""", "sig"))
 def _snk_audio_by_lang(spark, sf):
-    """Rows-only: WAV bytes per clip in a language-partitioned parquet table."""
+    """WAV bytes per clip in a language-partitioned parquet table."""
     p = workdir(spark, "audio")
     s = V.sig(spark, sf).select("clip_id", "idx", "amp")
     arr = SG.to_arrays(s)
