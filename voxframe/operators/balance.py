@@ -116,7 +116,8 @@ def language_uniform_draws(spark: SparkSession, df: DataFrame, key: str, lang: s
                            seed: int = 0) -> DataFrame:
     """Pick a language uniformly, then a row uniformly inside it."""
     langs = df.select(lang).distinct()
-    langs = langs.withColumn("_li", F.row_number().over(Window.orderBy(lang)) - 1)  # <= #languages rows
+    from voxframe.functions.core import global_position
+    langs = global_position(langs, [lang], out="_li").withColumn("_li", F.col("_li") - 1)
     counts = df.groupBy(lang).agg(F.count(F.lit(1)).alias("_n"))
     n_lang = langs.agg(F.count(F.lit(1))).scalar()
     d = spark.range(n_draws).withColumnRenamed("id", "draw_id")

@@ -24,7 +24,7 @@ def perfect_batches(df: DataFrame, key: str, cls: str, batch_size: int, num_gpus
     ``slot`` (position in the batch).
     """
     classes = df.select(cls).distinct()
-    classes = classes.withColumn("_ci", (F.row_number().over(Window.orderBy(cls)) - 1).cast("long"))
+    classes = global_position(classes, [cls], out="_ci").withColumn("_ci", F.col("_ci") - 1)
     n_cls = classes.agg(F.count(F.lit(1))).scalar()
     min_count = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n")).scalar()
     rpb = F.floor(F.lit(batch_size) / n_cls).cast("long")
@@ -33,7 +33,7 @@ def perfect_batches(df: DataFrame, key: str, cls: str, batch_size: int, num_gpus
     left = F.floor(left / num_gpus).cast("long") * num_gpus
     rounds = full * rpb + (F.lit(0) if drop_last else left)
     x = group_position(df.withColumn("_h", md5_key(seed, key)), [cls], ["_h", key], out="_round")
-    x = x.join(F.broadcast(classes), on=cls).where(F.col("_round") <= rounds)
+    x = x.join(classes, on=cls).where(F.col("_round") <= rounds)  # classes may be many speakers: AQE picks
     x = x.withColumn("batch", F.floor((F.col("_round") - 1) / rpb).cast("long"))
     x = x.withColumn("slot", (((F.col("_round") - 1) % rpb) * n_cls + F.col("_ci")).cast("long"))
     return x.drop("_h", "_round", "_ci")

@@ -91,7 +91,7 @@ def vocab_map(vocab: DataFrame, key: str = "token", value: str = "id") -> Column
     n = vocab.count()
     if n > MAP_LIMIT:
         raise ValueError(f"vocabulary of {n} symbols: use encode_chars_join")
-    rows = vocab.select(key, value).collect()
+    rows = vocab.select(key, value).limit(MAP_LIMIT + 1).collect()
     return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
 
 
@@ -159,7 +159,9 @@ def encode_chars_join(df: DataFrame, key: str, text: str, vocab: DataFrame, out:
 
 def inverse_lut(vocab: DataFrame) -> Column:
     """id -> token as a literal array (ids are dense 0..n-1)."""
-    rows = dict(vocab.select("id", "token").collect())
+    rows = dict(vocab.select("id", "token").limit(MAP_LIMIT + 1).collect())
+    if len(rows) > MAP_LIMIT:
+        raise ValueError(f"vocabulary above {MAP_LIMIT} symbols: decode with a join")
     return F.array(*[F.lit(rows.get(i)) for i in range(max(rows) + 1)])
 
 
