@@ -276,17 +276,22 @@ def add_special(vocab: DataFrame, token: str) -> DataFrame:
 
 # ---------------------------------------------------------------- lexicons
 
-def parse_lexicon(lines: DataFrame, line: str, valid_symbols: DataFrame, order: str) -> DataFrame:
+def parse_lexicon(lines: DataFrame, line: str, valid_symbols: DataFrame, order: str,
+                  max_symbols: int = MAP_LIMIT) -> DataFrame:
     """``WORD  PH PH`` lines -> ``(word, prons)`` in line order. ``WORD(n)``
     variants group under ``WORD``; a pronunciation with any symbol outside
-    ``valid_symbols`` is dropped."""
+    ``valid_symbols`` is dropped. The symbol inventory is small (checked) and
+    becomes one anchored regex, so validity is a per-line test, not a join."""
+    import re as _re
+    syms = [r[0] for r in valid_symbols.select("symbol").distinct().limit(max_symbols + 1).collect()]
+    if len(syms) > max_symbols:
+        raise ValueError("symbol inventory too large")
+    alt = "|".join(_re.escape(x) for x in sorted(syms, key=lambda v: (-len(v), v)))
+    valid_re = f"^(?:{alt})(?: (?:{alt}))*$"
     x = lines.where(F.col(line).rlike("^[A-Z']")).select(
         order, F.regexp_replace(F.split_part(F.col(line), F.lit("  "), F.lit(1)), "\\([0-9]+\\)", "").alias("word"),
         F.trim(F.split_part(F.col(line), F.lit("  "), F.lit(2))).alias("pron"))
-    ph = x.select(order, "word", "pron", F.explode(F.split("pron", " ")).alias("sym"))
-    bad = ph.join(F.broadcast(valid_symbols.select(F.col("symbol").alias("sym"))), on="sym", how="left_anti") \
-        .select(order).distinct()
-    ok = x.join(bad, on=order, how="left_anti")
+    ok = x.where(F.col("pron").rlike(valid_re))
     g = ok.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(order, "pron"))).alias("_a"))
     return g.select("word", F.transform("_a", lambda s: s["pron"]).alias("prons"))
 

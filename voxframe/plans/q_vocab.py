@@ -211,15 +211,19 @@ VALID = [chr(c) for c in range(ord("A"), ord("Z") + 1) if chr(c) != "Q"]
 
 
 def _lex_lines(spark, sf, lang="en"):
+    """Lexicon lines derived from the corpus words: ``WORD  W O R D`` and, for
+    words of 7+ letters, a variant ``WORD(1)`` with the symbols reversed.
+    One pass over the distinct words (both lines come from one explode)."""
     d = _docs(spark, sf, lang)
     w = d.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), 0)).alias("w")).distinct()
     u = F.upper("w")
-    base = w.select(F.concat(u, F.lit("#0")).alias("line_id"),
+    base = F.struct(F.concat(u, F.lit("#0")).alias("line_id"),
                     F.concat(u, F.lit("  "), F.array_join(F.split(u, ""), " ")).alias("line"))
-    var = w.where(F.length("w") >= 7).select(
+    var = F.when(F.length("w") >= 7, F.struct(
         F.concat(u, F.lit("#1")).alias("line_id"),
-        F.concat(u, F.lit("(1)  "), F.array_join(F.reverse(F.split(u, "")), " ")).alias("line"))
-    return base.unionByName(var)
+        F.concat(u, F.lit("(1)  "), F.array_join(F.reverse(F.split(u, "")), " ")).alias("line")))
+    x = w.select(F.explode(F.array(base, var)).alias("l")).where(F.col("l").isNotNull())
+    return x.select("l.line_id", "l.line")
 
 
 def _lexicon(spark, sf, lang="en"):
