@@ -160,3 +160,15 @@ def test_bpe_train_matches_python(spark):
     assert got == want
     enc = {r.word: list(r.pieces) for r in VC.bpe_encode_types(wc, got).collect()}
     assert enc == words
+
+
+def test_perfect_subset_batches(spark):
+    from voxframe.operators import batch as BT
+    u = V.utt(spark, SF_SMALL).select("audio_unique_name", "speaker_name")
+    b = BT.perfect_subset_batches(u, "audio_unique_name", "speaker_name", batch_size=8, classes_per_batch=4).cache()
+    assert b.count() == b.select("audio_unique_name").distinct().count()          # no row used twice
+    per = b.groupBy("batch").agg(F.countDistinct("speaker_name").alias("c"), F.count(F.lit(1)).alias("n"))
+    full = per.where("n = 8")
+    assert full.where("c != 4").count() == 0                                      # 4 classes x 2 rounds
+    assert per.where("n != 8").count() <= 1                                       # at most one partial batch
+    assert b.groupBy("batch", "slot").count().where("count > 1").count() == 0

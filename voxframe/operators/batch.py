@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import global_position, group_position, md5_key
+from voxframe.functions.core import global_position, group_position, md5_key, md5_uniform
 
 
 def perfect_batches(df: DataFrame, key: str, cls: str, batch_size: int, num_gpus: int = 1,
@@ -111,3 +111,50 @@ def pairing(df: DataFrame, key: str, seed: int = 0, out: str = "partner") -> Dat
     a = global_position(df.select(key), [key], out="_r")
     b = global_position(df.select(F.col(key).alias(out)), [md5_key(seed, out), F.col(out)], out="_r")
     return a.join(b, on="_r").drop("_r")
+
+
+def perfect_subset_batches(df: DataFrame, key: str, cls: str, batch_size: int, classes_per_batch: int,
+                           seed: int = 0, drop_last: bool = False) -> DataFrame:
+    """Class-balanced batches over a random subset of ``classes_per_batch``
+    classes per batch (``batch_size / classes_per_batch`` rounds each).
+
+    Subset rule (ours): batch k takes ``m`` consecutive classes of one seeded
+    class permutation, starting at a seeded offset, so the selection table has
+    ``batches x m`` rows, never ``batches x classes``. A class's j-th use takes
+    its j-th row in seeded shuffle order (running count over its selections).
+    Batches stop at the first round where a selected class is exhausted; the
+    partial batch is kept unless ``drop_last``. Adds ``batch``, ``slot``.
+    """
+    m = classes_per_batch
+    if batch_size % m:
+        raise ValueError("batch size must be a multiple of classes per batch")
+    r = batch_size // m
+    n = df.agg(F.count(F.lit(1))).scalar()
+    classes = df.select(cls).distinct()
+    classes = global_position(classes.withColumn("_h", md5_key(seed, cls)), ["_h", cls], out="_ci") \
+        .withColumn("_ci", F.col("_ci") - 1).drop("_h")
+    n_cls = classes.agg(F.count(F.lit(1))).scalar()
+    counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_cnt"))
+    n_batches = (F.floor(n / batch_size) + 1).cast("long")
+    spark = df.sparkSession
+    sel = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), n_batches - 1)).alias("batch"))
+    sel = sel.select("batch", F.posexplode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("_slot_cls", "_i"))
+    sel = sel.withColumn("_ci", F.pmod(F.floor(md5_uniform(seed + 1, F.col("batch")) * n_cls).cast("long") + F.col("_i"), n_cls)) \
+        .drop("_i")
+    sel = sel.join(classes, "_ci").join(counts, cls)
+    prior = Window.partitionBy(cls).orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    sel = sel.withColumn("_used", F.coalesce(F.count(F.lit(1)).over(prior), F.lit(0)) * r)
+    # first round where some selected class runs out: (batch, round) in order
+    short = sel.where(F.col("_used") + r > F.col("_cnt")).select(
+        (F.col("batch") * r + (F.col("_cnt") - F.col("_used"))).alias("_stop"))
+    stop = short.agg(F.min("_stop")).scalar()
+    rounds = sel.select("batch", cls, "_slot_cls", "_used",
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r - 1).cast("long"))).alias("_round"))
+    rounds = rounds.withColumn("_g", F.col("batch") * r + F.col("_round"))
+    keep = F.coalesce(F.col("_g") < stop, F.lit(True))
+    if drop_last:
+        keep = keep & F.coalesce((F.col("batch") + 1) * r <= stop, F.lit(True))
+    rounds = rounds.where(keep).withColumn("_pos", F.col("_used") + F.col("_round") + 1)
+    pos = group_position(df.withColumn("_h", md5_key(seed, key)), [cls], ["_h", key], out="_pos").drop("_h")
+    out = rounds.join(pos, [cls, "_pos"])
+    return out.select(key, cls, "batch", (F.col("_round") * m + F.col("_slot_cls")).cast("long").alias("slot"))

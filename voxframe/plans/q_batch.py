@@ -223,3 +223,10 @@ def _seg_multiple(spark, sf):
     s = V.sig(spark, sf)
     k = SG.cut_to_multiple(s, SG.clip_lengths(s), 4)
     return k.groupBy("clip_id").agg(F.count(F.lit(1)).alias("kept_n"), F.sum("amp").alias("kept_sum"))
+
+
+@register("bat_perfect_subset")
+def _bat_perfect_subset(spark, sf):
+    """Rows-only: class-balanced batches over a seeded class subset per batch."""
+    u = V.utt(spark, sf).select(KEY, "speaker_name")
+    return BT.perfect_subset_batches(u, KEY, "speaker_name", batch_size=8, classes_per_batch=4)
