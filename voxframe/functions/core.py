@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +62,8 @@ def group_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
     group is split across as many tasks as it needs. ``order`` must end in a
     unique column (ties are never left to chance).
 
-    Plan: one range shuffle (sort), one small aggregate of
+    Plan: one range shuffle (sort, persisted so that the offsets and the rows
+    see the same partitions), one small aggregate of
     ``(partition, group) -> first id, count`` and a join of that small table
     back. The offset table has at most ``#groups + #partitions`` rows; it is
     broadcast when the caller knows the group count is bounded (languages,
@@ -72,6 +74,11 @@ def group_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
     key_cols = [F.col(k) for k in keys]
     s = df.orderBy(*key_cols, *order_cols).withColumn("_vf_mid", F.monotonically_increasing_id())
     s = s.withColumn("_vf_pid", F.shiftright("_vf_mid", 33))
+    # Both branches below must see the same partitions: range bounds come from
+    # a sample seeded by the RDD id, so two un-shared executions of the sort can
+    # cut differently. Persisting makes them read one materialisation (spills
+    # to disk; lost blocks are recomputed through the same partitioner).
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     stats = s.groupBy("_vf_pid", *keys).agg(F.min("_vf_mid").alias("_vf_first"),
                                             F.count(F.lit(1)).alias("_vf_n"))
     wk = Window.partitionBy(*keys).orderBy("_vf_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -125,23 +125,50 @@ def ref_longest_text(df, group: str, text: str, audio: str, order: str) -> DataF
 
 
 def cap_hours(df, group: str, order: list, duration: str, target_s: float = 720000.0,
-              min_clip: float = 0.5, slack_s: float = 10.0) -> DataFrame:
-    """Per group, in order, accept clips >= ``min_clip`` s until the budget.
-
-    Stop at the first eligible clip where the accepted total already reaches
-    the target, or where taking it would overshoot with less than ``slack_s``
-    left; otherwise an overshoot is accepted. Before the stop every eligible
-    clip is accepted, so the accepted total before row i is the running sum
-    of earlier eligible clips; the stop is ``min(pos)`` of the stop rows.
+              min_clip: float = 0.5, slack_s: float = 10.0, split: str | None = None,
+              split_order: list | None = None) -> DataFrame:
+    """Per group, split by split, in order, accept clips >= ``min_clip`` s.
+
+    Inside a split the accepted total before row i is the carried total of
+    earlier splits plus the running sum of earlier eligible clips of this
+    split. A split stops at its first clip where that total already reaches
+    the target, or where taking the clip would overshoot with less than
+    ``slack_s`` left; the next split starts again with the carried total (so
+    only reaching the target stops everything). Splits are few and run in
+    ``split_order``; per split the work is one range-partitioned position,
+    one blocked running sum and small per-group aggregates.
     """
     x = df.where(F.col(duration) >= min_clip)
-    x = group_position(x, [group], order, out="_p")
-    x = group_running_sum(x, [group], order, duration, out="_prev", exclusive=True, pos_col="_p")
+    if split is None:
+        x = x.withColumn("_split", F.lit("all"))
+        split, split_order = "_split", ["all"]
+    keys = [group, split]
+    x = group_position(x, keys, order, out="_p")
+    x = group_running_sum(x, keys, order, duration, out="_in", exclusive=True, pos_col="_p")
     t = F.lit(float(target_s))
-    stop = (F.col("_prev") >= t) | ((F.col("_prev") + F.col(duration) > t) & (t - F.col("_prev") < slack_s))
-    stops = x.where(stop).groupBy(group).agg(F.min("_p").alias("_stop"))
-    x = x.join(F.broadcast(stops), on=group, how="left")
-    return x.where(F.col("_stop").isNull() | (F.col("_p") < F.col("_stop"))).drop("_stop", "_p")
+    carried = None  # (group, _carry) accepted seconds before the current split
+    parts = []
+    for sv in split_order:
+        xs = x.where(F.col(split) == sv)
+        if carried is not None:
+            xs = xs.join(F.broadcast(carried), on=group, how="left")  # one row per group
+            prev = F.coalesce(F.col("_carry"), F.lit(0.0)) + F.col("_in")
+        else:
+            xs = xs.withColumn("_carry", F.lit(0.0))
+            prev = F.col("_in")
+        stop = (prev >= t) | ((prev + F.col(duration) > t) & (t - prev < slack_s))
+        stops = xs.where(stop).groupBy(group).agg(F.min("_p").alias("_stop"))
+        kept = xs.join(F.broadcast(stops), on=group, how="left") \
+            .where(F.col("_stop").isNull() | (F.col("_p") < F.col("_stop")))
+        parts.append(kept.drop("_stop", "_carry"))
+        acc = kept.groupBy(group).agg(F.sum(duration).alias("_acc"))
+        base = carried if carried is not None else xs.select(group).distinct().withColumn("_carry", F.lit(0.0))
+        carried = base.join(acc, on=group, how="full_outer").select(
+            group, (F.coalesce(F.col("_carry"), F.lit(0.0)) + F.coalesce(F.col("_acc"), F.lit(0.0))).alias("_carry"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.drop("_p", "_in", "_split")
 
 
 def cap_running(df, group: str, order: list, value: str, target: float, out_cum: str = "cum") -> DataFrame:

@@ -215,18 +215,26 @@ def _ref_longest_text(spark, sf):
 CAP_T = 50000
 
 
+CAP_SQL_STOP = "(c + prev >= {T} OR (c + prev + duration_s > {T} AND {T} - c - prev < 10))"
+
+
 @register("cap_hours", oracle(f"""
-WITH e AS (SELECT clip_id, language, duration_s, l_orderkey, l_linenumber FROM clip_len WHERE duration_s >= 0.5),
-r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY l_orderkey, l_linenumber, clip_id) AS p,
-  coalesce(sum(duration_s) OVER (PARTITION BY language ORDER BY l_orderkey, l_linenumber, clip_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM e),
-s AS (SELECT language, min(p) AS stop FROM r WHERE prev >= {CAP_T} OR (prev + duration_s > {CAP_T} AND {CAP_T} - prev < 10)
-  GROUP BY 1)
-SELECT r.clip_id, r.language FROM r LEFT JOIN s USING (language) WHERE s.stop IS NULL OR r.p < s.stop""", "clip_len"))
+WITH e AS (SELECT clip_id, language, duration_s, l_orderkey, l_linenumber, split FROM clip_len WHERE duration_s >= 0.5),
+r AS (SELECT *, row_number() OVER w AS p, coalesce(sum(duration_s) OVER (PARTITION BY language, split
+  ORDER BY l_orderkey, l_linenumber, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+  FROM e WINDOW w AS (PARTITION BY language, split ORDER BY l_orderkey, l_linenumber, clip_id)),
+r0 AS (SELECT *, 0.0 AS c FROM r WHERE split = 'train'),
+s0 AS (SELECT language, min(p) AS stop FROM r0 WHERE {CAP_SQL_STOP.format(T=CAP_T)} GROUP BY 1),
+k0 AS (SELECT r0.* FROM r0 LEFT JOIN s0 USING (language) WHERE s0.stop IS NULL OR r0.p < s0.stop),
+a0 AS (SELECT language, sum(duration_s) AS c FROM k0 GROUP BY 1),
+r1 AS (SELECT r.*, coalesce(a0.c, 0.0) AS c FROM r LEFT JOIN a0 USING (language) WHERE split = 'valid'),
+s1 AS (SELECT language, min(p) AS stop FROM r1 WHERE {CAP_SQL_STOP.format(T=CAP_T)} GROUP BY 1),
+k1 AS (SELECT r1.* FROM r1 LEFT JOIN s1 USING (language) WHERE s1.stop IS NULL OR r1.p < s1.stop)
+SELECT clip_id, language, split FROM k0 UNION ALL SELECT clip_id, language, split FROM k1""", "clip_len"))
 def _cap_hours(spark, sf):
-    c = V.clip_len(spark, sf).select("clip_id", "language", "duration_s", "l_orderkey", "l_linenumber")
-    return S.cap_hours(c, "language", ["l_orderkey", "l_linenumber", "clip_id"], "duration_s",
-                       target_s=CAP_T).select("clip_id", "language")
+    c = V.clip_len(spark, sf).select("clip_id", "language", "duration_s", "l_orderkey", "l_linenumber", "split")
+    return S.cap_hours(c, "language", ["l_orderkey", "l_linenumber", "clip_id"], "duration_s", target_s=CAP_T,
+                       split="split", split_order=["train", "valid"]).select("clip_id", "language", "split")
 
 
 @register("cap_words", oracle(f"""
