@@ -172,3 +172,16 @@ def test_perfect_subset_batches(spark):
     assert full.where("c != 4").count() == 0                                      # 4 classes x 2 rounds
     assert per.where("n != 8").count() <= 1                                       # at most one partial batch
     assert b.groupBy("batch", "slot").count().where("count > 1").count() == 0
+
+
+def test_group_position_consistent_when_branches_are_pruned_differently(spark):
+    # enough rows that the range partitioner samples (its seed follows the RDD id)
+    df = spark.range(60000).select((F.col("id") % 5).alias("k"), (F.col("id") % 2).alias("s"),
+                                   F.md5(F.col("id").cast("string")).alias("h"), "id", (F.col("id") * 3).alias("v"))
+    p = group_position(df, ["k", "s"], ["h", "id"], out="p")
+    a = p.where("s = 0").select("k", "id", "p")           # one consumer keeps few columns
+    b = p.where("s = 1").select("k", "id", "p", "v", "h")  # another keeps more
+    w = Window.partitionBy("k", "s").orderBy("h", "id")
+    ref = df.withColumn("p", F.row_number().over(w).cast("long"))
+    assert a.exceptAll(ref.where("s = 0").select("k", "id", "p")).count() == 0
+    assert b.select("k", "id", "p").exceptAll(ref.where("s = 1").select("k", "id", "p")).count() == 0
