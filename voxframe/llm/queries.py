@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import chat, mixing, pii, quality, sharding
+from voxframe.llm import chat, mixing, pii, quality, sharding, simhash
 from voxframe.llm.common import table
 from voxframe.llm.oracles import ORACLES
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -42,7 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_pii, op4_mixing, op5_sharding, op9_chat, op10_quality)
+    f.__name__: f for f in (op2_simhash, op3_pii, op4_mixing, op5_sharding, op9_chat, op10_quality)
 }
 
 
