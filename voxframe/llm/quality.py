@@ -143,8 +143,13 @@ def quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they are."""
-    cols = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(text).alias("_doc_text"))
-    good = quality(packed, "_doc_text", ("_row",), rules).filter("kept")
-    return good.select(*[F.col("_row")[c].alias(c) for c in cols])
+    """The rows of ``docs`` that the rules keep, with their columns as they are.
+
+    ``inline`` of one row or none does what a filter on ``kept`` would. A
+    filter is pushed below the projections, where the figures' definitions
+    replace their names and words are split anew for every window.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                         F.col(f"`{text}`").alias("_doc_text"))
+    judged = quality(packed, "_doc_text", ("_row",), rules)
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("_row"))))
