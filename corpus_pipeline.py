@@ -15,6 +15,10 @@ from voxframe.llm.common import staged, table
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("simhash_dedup", stages.simhash_dedup),
+    ("decontaminate", stages.decontaminate),
+    ("mix_sources", stages.mix_sources),
+    ("shard", stages.shard),
 ]
 
 #: SQL has no way to write the XXH64 votes of the SimHash stage.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import chat, mixing, pii, quality, sharding, simhash
+from voxframe.llm import chat, decontam, mixing, pii, quality, sharding, simhash
 from voxframe.llm.common import table
 from voxframe.llm.oracles import ORACLES
 
@@ -30,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and -1 whose turns look like another template's marks."""
     said = "</s>[INST] ok [/INST]"
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_pii, op4_mixing, op5_sharding, op9_chat, op10_quality)
+    f.__name__: f for f in (op2_simhash, op3_pii, op4_mixing, op5_sharding, op8_decontam, op9_chat, op10_quality)
 }
 
 

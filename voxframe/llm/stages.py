@@ -1,12 +1,38 @@
-"""The stages of the corpus pipeline, each around one operator."""
+"""The stages of the corpus pipeline, each around one operator.
+
+All but the last return the columns of the documents they got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import quality
+from voxframe.llm import decontam, mixing, quality, sharding, simhash
+from voxframe.llm.common import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; rejected ones go."""
     return quality.keep_good(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (the least doc_id)."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ``shard`` and ``grown_shard`` (after one more is added)."""
+    equal = [1.0] * sharding.SHARDS
+    docs = sharding.with_shard(docs, equal)
+    return sharding.with_shard(docs, [*equal, 1.0], out="grown_shard")
