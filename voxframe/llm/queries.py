@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import chat, decontam, linededup, mixing, pii, quality, sharding, simhash
+from voxframe.llm import chat, decontam, linededup, mixing, pii, quality, sharding, simhash, suffixdedup
 from voxframe.llm.common import table
 from voxframe.llm.oracles import ORACLES
 
@@ -34,6 +34,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixdedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_pii, op4_mixing, op5_sharding, op6_line_dedup, op8_decontam, op9_chat, op10_quality)
+    f.__name__: f for f in (op2_simhash, op3_pii, op4_mixing, op5_sharding, op6_line_dedup, op7_suffix_dedup,
+                            op8_decontam, op9_chat, op10_quality)
 }
 
 
