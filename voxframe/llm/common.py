@@ -44,6 +44,11 @@ def cell_bits(rows: int) -> int:
     return max(0, (max(1, rows) // CELL_ROWS).bit_length())
 
 
+def cell_of(key: str, bits: int) -> Column:
+    """The hash range, of ``2 ** bits``, in which a hex hash lies."""
+    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - bits)
+
+
 def ordered_prefix(df: DataFrame, group: list[str], key: str, ties: list[str], value: Column,
                    out: str, bits: int) -> tuple[DataFrame, DataFrame]:
     """Exclusive running sum of ``value`` in each ``group``, ordered by the hex
@@ -57,8 +62,7 @@ def ordered_prefix(df: DataFrame, group: list[str], key: str, ties: list[str], v
     cell table (one row per group and range, for callers that hang more
     per-group figures on it). Null group values form a group of their own.
     """
-    cell = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - bits)
-    x = df.withColumn("_cell", cell).withColumn("_v", value.cast("long"))
+    x = df.withColumn("_cell", cell_of(key, bits)).withColumn("_v", value.cast("long"))
     by = [*group, "_cell"]
     totals = x.groupBy(*by).agg(F.sum("_v").alias("_total"))
     before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,11 +70,3 @@ def ordered_prefix(df: DataFrame, group: list[str], key: str, ties: list[str], v
     inside = Window.partitionBy(*by).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn(out, F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return x, totals
-
-
-def same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    """Null-safe equality on ``cols`` (usable as a hash-join condition)."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond

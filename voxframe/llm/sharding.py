@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.core import md5_key
-from voxframe.llm.common import cell_bits, ordered_prefix, same, staged
+from voxframe.llm.common import cell_bits, ordered_prefix, staged
 
 SEED = 42
 SHARDS = 24
