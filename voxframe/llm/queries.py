@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import chat, decontam, linededup, mixing, pii, quality, sharding, simhash, suffixdedup
+from voxframe.llm import chat, decontam, licences, linededup, mixing, pii, quality, sharding, simhash, suffixdedup
 from voxframe.llm.common import table
 from voxframe.llm.oracles import ORACLES
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs; the chance in thousandths."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "predicted",
+                        F.round(F.col("chance") * 1000).cast("long").alias("chance"),
+                        F.round(F.col("agreement") * 1000).cast("long").alias("agreement"), "family", "text")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -60,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_pii, op4_mixing, op5_sharding, op6_line_dedup, op7_suffix_dedup,
+    f.__name__: f for f in (op1_licences, op2_simhash, op3_pii, op4_mixing, op5_sharding, op6_line_dedup, op7_suffix_dedup,
                             op8_decontam, op9_chat, op10_quality)
 }
 
