@@ -30,9 +30,8 @@ Q = 8
 EDIT_PERCENT = 10
 #: Characters of benchmark text in one block (what one task holds as index).
 BLOCK_CHARS = 4_000_000
-#: Characters of text that are hashed in one go.
-_CHUNK = 1 << 20
-_BITMAP_BITS = 22
+_SLOT_BITS = 20
+_SHIFT = 1 << 36
 
 
 @lru_cache(1)
@@ -72,24 +71,31 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
             out = piece.copy() if out is None else out * np.uint64(pow(base, width, 1 << 64)) + piece
             done += width
         if done == q:
-            return out ^ (out >> np.uint64(31))
+            return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         have = have[:-width] * np.uint64(pow(base, width, 1 << 64)) + have[width:]
         width *= 2
 
 
 @dataclass
 class Index:
-    """Q-gram index of a block of benchmark items."""
+    """Q-gram index of a block of benchmark items.
+
+    Distinct hashes are sorted, so those with the same leading bits lie
+    together: ``slot`` says where, and mostly it is one. ``place`` holds, by
+    hash, the positions of its q-grams in the items laid end to end.
+    """
 
     ids: list
     items: list[np.ndarray]
     budget: np.ndarray  # edits allowed, by item
     need: np.ndarray  # shared q-grams needed, by item
-    hashes: np.ndarray  # distinct, sorted
-    first: np.ndarray  # where each hash's postings begin
-    item: np.ndarray
-    pos: np.ndarray
-    bitmap: np.ndarray
+    hashes: np.ndarray
+    slot: np.ndarray
+    more: np.ndarray  # whether the next hash lies in the same slot
+    first: np.ndarray  # where each hash's places begin
+    place: np.ndarray
+    item: np.ndarray  # of each place
+    pos: np.ndarray  # in its item, of each place
     q: int
 
     @classmethod
@@ -104,45 +110,58 @@ class Index:
         m = np.array([len(c) for c in items], np.int64)
         budget = np.minimum(m * edit_percent // 100, (m - q) // q)
         every = [grams(c, q) for c in items]
-        h = np.concatenate(every) if every else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(items)), [len(g) for g in every]) if every else np.zeros(0, np.int64)
-        pos = np.concatenate([np.arange(len(g)) for g in every]) if every else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        hashes, first = np.unique(h[order], return_index=True)
-        bitmap = np.zeros(1 << _BITMAP_BITS, bool)
-        bitmap[(hashes >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)] = True
-        return cls(ids, items, budget, m - q + 1 - budget * q, hashes, np.append(first, len(h)),
-                   item[order], pos[order], bitmap, q)
+        h = np.concatenate([*every, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(items)), [len(g) for g in every]).astype(np.int64)
+        pos = np.concatenate([*(np.arange(len(g)) for g in every), np.zeros(0, np.int64)])
+        place = np.argsort(h, kind="stable")
+        hashes, first = np.unique(h[place], return_index=True)
+        top = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        slot = np.full(1 << _SLOT_BITS, -1, np.int32)
+        slot[top[::-1]] = np.arange(len(top))[::-1]
+        more = np.append(top[1:] == top[:-1], False)
+        return cls(ids, items, budget, m - q + 1 - budget * q, hashes, slot, more, np.append(first, len(h)),
+                   place, item, pos, q)
+
+    def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text position, hash number) of the q-grams that items have too."""
+        at = self.slot[(h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
+        p = np.flatnonzero(at >= 0)
+        at, h = at[p], h[p]
+        ps, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(p):
+            hit = self.hashes[at] == h
+            ps.append(p[hit])
+            ats.append(at[hit].astype(np.int64))
+            rest = np.flatnonzero(~hit & self.more[at])
+            p, at, h = p[rest], at[rest] + 1, h[rest]
+        return np.concatenate(ps), np.concatenate(ats)
 
     def regions(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, lowest diagonal) of the bands with enough shared q-grams."""
-        h = grams(chars, self.q)
-        p = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)])
+        """(item, lowest diagonal) of the bands that share enough q-grams.
+
+        Each item position counts once in a band, however often the text has
+        its q-gram there: an alignment uses it once.
+        """
+        p, at = self.shared(grams(chars, self.q))
         if not len(p):
             return p, p
-        at = np.searchsorted(self.hashes, h[p])
-        at[at == len(self.hashes)] = 0
-        hit = self.hashes[at] == h[p]
-        p, at = p[hit], at[hit]
         n = self.first[at + 1] - self.first[at]
-        post = np.repeat(self.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        item = self.item[post]
-        diagonal = np.repeat(p, n) - self.pos[post]
-        width = 2 * self.budget[item] + 16
-        low = diagonal + (1 << 40)  # positive, so that division cuts alike everywhere
-        band = low // width
-        also = low % width <= self.budget[item]  # the overlap with the band below
-        item = np.concatenate((item, item[also]))
-        band = np.concatenate((band, band[also] - 1))
-        order = np.lexsort((band, item))
-        item, band = item[order], band[order]
-        new = np.append(True, (item[1:] != item[:-1]) | (band[1:] != band[:-1]))[: len(item)]
-        start = np.flatnonzero(new)
+        place = self.place[np.repeat(self.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        budget = self.budget[self.item[place]]
+        width = 2 * budget + 16
+        low = np.repeat(p, n) - self.pos[place] + _SHIFT  # positive, so that division cuts alike everywhere
+        band, left = np.divmod(low, width)
+        also = left <= budget  # the overlap with the band below
+        bits = len(self.item).bit_length()
+        key = np.sort(np.concatenate((band << bits | place, (band[also] - 1) << bits | place[also])))
+        key = key[np.append(True, key[1:] != key[:-1])]
+        item, band = self.item[key & ((1 << bits) - 1)], key >> bits
+        start = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
         count = np.diff(np.append(start, len(item)))
         item, band = item[start], band[start]
         good = count >= self.need[item]
         item, band = item[good], band[good]
-        return item, band * (2 * self.budget[item] + 16) - (1 << 40)
+        return item, band * (2 * self.budget[item] + 16) - _SHIFT
 
     def matches(self, chars: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the best occurrence of each item."""
@@ -182,7 +201,7 @@ def banded(item: np.ndarray, chars: np.ndarray, low: int, high: int, k: int) ->
         stay = state + miss * span
         stay[:-1] = np.minimum(stay[:-1], state[1:] + span)
         state = np.minimum.accumulate(stay - steps * span) + steps * span
-        if j % 64 == 63 and state.min() // span > k:
+        if j % 8 == 7 and state.min() // span > k:
             return None
     ends = steps + low + len(item)
     state = np.where((ends >= 0) & (ends <= len(chars)), state, far * span)
