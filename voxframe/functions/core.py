@@ -53,41 +53,69 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def group_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "pos",
-                   broadcast_offsets: bool = True) -> DataFrame:
+_SORTED: list[DataFrame] = []
+
+
+def release_positions() -> None:
+    """Drop the stored sorts of all positions asked for so far. Call it when the
+    frames built on them have been written."""
+    while _SORTED:
+        _SORTED.pop().unpersist()
+
+
+def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Null-safe equality on column pairs; an equi-join for Spark."""
+    cond = F.lit(True)
+    for lc, rc in pairs:
+        cond = cond & left[lc].eqNullSafe(right[rc])
+    return cond
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, on=keys)`` in which null keys are equal to each other."""
+    r = right.select(*[F.col(f"`{c}`").alias(f"_vf_k_{c}" if c in keys else c) for c in right.columns])
+    return left.join(r, same_keys(left, r, [(k, f"_vf_k_{k}") for k in keys]), how).drop(*[f"_vf_k_{k}" for k in keys])
+
+
+def group_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "pos") -> DataFrame:
     """1-based position of each row inside its ``keys`` group by ``order``.
 
     Same answer as ``row_number() OVER (PARTITION BY keys ORDER BY order)``
     but the sort is range-partitioned on ``keys + order``, so a single huge
     group is split across as many tasks as it needs. ``order`` must end in a
-    unique column (ties are never left to chance).
-
-    Plan: one range shuffle (sort, persisted so that the offsets and the rows
-    see the same partitions), one small aggregate of
-    ``(partition, group) -> first id, count`` and a join of that small table
-    back. The offset table has at most ``#groups + #partitions`` rows; it is
-    broadcast when the caller knows the group count is bounded (languages,
-    classes); otherwise it is a plain join and AQE picks the strategy.
+    unique column (ties are never left to chance). A null key is a group.
+
+    Plan: the keys and order columns alone are sorted (one narrow range
+    shuffle, stored so that the offsets and the rows see the same partitions;
+    ``release_positions`` drops it); a small aggregate of ``(partition, group)
+    -> first id, count`` turns ids into positions; positions meet the rows
+    again on the unique column, with only the columns that the caller uses.
+    Where ``order`` has expressions, the rows themselves are sorted. No side
+    is hinted: sizes decide.
     """
     keys = list(keys)
     order_cols = [_col(c) for c in order]
     key_cols = [F.col(k) for k in keys]
-    s = df.orderBy(*key_cols, *order_cols).withColumn("_vf_mid", F.monotonically_increasing_id())
+    named = list(dict.fromkeys([*keys, *order])) if all(isinstance(c, str) for c in order) else df.columns
+    narrow = len(named) < len(df.columns)
+    base = df.select(*named) if narrow else df
+    s = base.orderBy(*key_cols, *order_cols).withColumn("_vf_mid", F.monotonically_increasing_id())
     s = s.withColumn("_vf_pid", F.shiftright("_vf_mid", 33))
     # Both branches below must see the same partitions: range bounds come from
-    # a sample seeded by the RDD id, so two un-shared executions of the sort can
-    # cut differently. Persisting makes them read one materialisation (spills
-    # to disk; lost blocks are recomputed through the same partitioner).
+    # a sample seeded by the RDD id, so two separate executions of the sort
+    # could cut differently.
     s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    _SORTED.append(s)
     stats = s.groupBy("_vf_pid", *keys).agg(F.min("_vf_mid").alias("_vf_first"),
                                             F.count(F.lit(1)).alias("_vf_n"))
     wk = Window.partitionBy(*keys).orderBy("_vf_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_vf_off", F.coalesce(F.sum("_vf_n").over(wk), F.lit(0))).drop("_vf_n")
-    if broadcast_offsets:
-        stats = F.broadcast(stats)
-    j = s.join(stats, on=["_vf_pid", *keys], how="inner", )
+    j = join_same(s, stats, ["_vf_pid", *keys])
     j = j.withColumn(out, (F.col("_vf_mid") - F.col("_vf_first") + F.col("_vf_off") + 1).cast("long"))
-    return j.drop("_vf_mid", "_vf_pid", "_vf_first", "_vf_off")
+    if not narrow:
+        return j.drop("_vf_mid", "_vf_pid", "_vf_first", "_vf_off")
+    ids = list(dict.fromkeys([*keys, order[-1]]))
+    return join_same(df.drop(out), j.select(*ids, out), ids)
 
 
 def global_position(df: DataFrame, order: Sequence, out: str = "pos") -> DataFrame:
@@ -140,32 +168,27 @@ def rebuild_tokens(tokens: DataFrame, keys: Sequence[str], pos: str, tok: str, o
 
 
 def group_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
-                      block: int = 4096, exclusive: bool = False, pos_col: str | None = None,
-                      broadcast_offsets: bool = True) -> DataFrame:
+                      block: int = 4096, exclusive: bool = False, pos_col: str | None = None) -> DataFrame:
     """Running ``sum(value)`` per ``keys`` group in ``order``, scalable to hot groups.
 
     Rows get their in-group position (range-partitioned, see
     ``group_position``), are cut into blocks of ``block`` consecutive rows,
     summed inside each block with a bounded window, and shifted by the
     exclusive prefix of earlier block totals (a small table: one row per
-    block). ``exclusive=True`` gives the sum of the rows *before* each row.
+    block). ``exclusive=True`` gives the sum of the rows *before* each row,
+    summed as such. A null key is a group; null values count as nothing.
     """
     keys = list(keys)
     pos = pos_col or "_vf_pos"
-    x = df if pos_col else group_position(df, keys, order, out=pos, broadcast_offsets=broadcast_offsets)
-    x = x.withColumn("_vf_v", _col(value).cast("double")).withColumn(
+    x = df if pos_col else group_position(df, keys, order, out=pos)
+    x = x.withColumn("_vf_v", F.coalesce(_col(value).cast("double"), F.lit(0.0))).withColumn(
         "_vf_blk", F.floor((F.col(pos) - 1) / F.lit(block)).cast("long"))
-    wb = Window.partitionBy(*keys, "_vf_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_vf_in", F.sum("_vf_v").over(wb))
+    wb = Window.partitionBy(*keys, "_vf_blk").orderBy(pos).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0)
     tot = x.groupBy(*keys, "_vf_blk").agg(F.sum("_vf_v").alias("_vf_t"))
     wt = Window.partitionBy(*keys).orderBy("_vf_blk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_vf_boff", F.coalesce(F.sum("_vf_t").over(wt), F.lit(0.0))).drop("_vf_t")
-    if broadcast_offsets:
-        tot = F.broadcast(tot)
-    x = x.join(tot, on=[*keys, "_vf_blk"], how="inner")
-    run = F.col("_vf_boff") + F.col("_vf_in")
-    if exclusive:
-        run = run - F.col("_vf_v")
-    x = x.withColumn(out, run)
-    drop = ["_vf_v", "_vf_blk", "_vf_in", "_vf_boff"] + ([] if pos_col else [pos])
-    return x.drop(*drop)
+    x = x.withColumn("_vf_in", F.coalesce(F.sum("_vf_v").over(wb), F.lit(0.0)))
+    x = join_same(x, tot, [*keys, "_vf_blk"])
+    x = x.withColumn(out, F.col("_vf_boff") + F.col("_vf_in"))
+    return x.drop("_vf_v", "_vf_blk", "_vf_in", "_vf_boff", *([] if pos_col else [pos]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import group_position, group_running_sum, md5_key, md5_uniform, range_join
+from voxframe.functions.core import group_position, group_running_sum, join_same, md5_key, md5_uniform, range_join
 
 
 def language_info(df: DataFrame, lang: str = "language") -> DataFrame:
@@ -57,15 +57,16 @@ def attribute_weights(df: DataFrame, attr: str, out: str = "weight",
     comes from the (small) per-value count table. Counts are a hash
     aggregate with map-side combine; the join back uses that table, never a
     window over a possibly hot value. Optional multipliers ``(attr, mult)``
-    apply after the norm; a value missing from them is dropped (the
-    reference raises).
+    apply after the norm; a value without one fails the job. A null value is
+    a value like any other.
     """
     counts = df.groupBy(attr).agg(F.count(F.lit(1)).alias("_n"))
     norm = counts.agg(F.sqrt(F.sum(1.0 / F.col("_n")))).scalar()
-    x = df.join(counts, on=attr, how="inner").withColumn(out, (1.0 / F.col("_n")) / norm).drop("_n")
+    x = join_same(df, counts, [attr]).withColumn(out, (1.0 / F.col("_n")) / norm).drop("_n")
     if multipliers is not None:
-        x = x.join(F.broadcast(multipliers), on=attr, how="inner") \
-             .withColumn(out, F.col(out) * F.col("mult")).drop("mult")
+        known = F.coalesce(F.col("mult").cast("double"), F.raise_error(F.concat(
+            F.lit(f"no multiplier for {attr} "), F.coalesce(F.col(attr).cast("string"), F.lit("null")))).cast("double"))
+        x = join_same(x, multipliers, [attr], "left").withColumn(out, F.col(out) * known).drop("mult")
     return x
 
 
@@ -94,14 +95,16 @@ def combined_weights(df: DataFrame, key: str, parts: list[tuple[str, float]], ou
 
 # ---- draws --------------------------------------------------------------
 
-def weighted_draws(spark: SparkSession, df: DataFrame, key: str, weight: str, n_draws: int,
+def weighted_draws(spark: SparkSession, df: DataFrame, key: str, weight: str, n_draws: int | None = None,
                    seed: int = 0, bins: int = 1 << 16) -> DataFrame:
-    """``n_draws`` draws with replacement, probability proportional to weight.
+    """``n_draws`` draws with replacement (default: an epoch, one per row),
+    probability proportional to weight.
 
     Rows get cumulative intervals ``[lo, hi)`` on [0, 1) (scalable running
     sum); each draw's md5-uniform is placed by a binned range join, so the
     join is an equi-join on the bin plus a filter - never a cross join.
     """
+    n_draws = df.count() if n_draws is None else n_draws
     g = df.withColumn("_g", F.lit(0))
     x = group_running_sum(g, ["_g"], [key], weight, out="_hi").drop("_g")
     total = df.agg(F.sum(weight)).scalar()
@@ -112,9 +115,11 @@ def weighted_draws(spark: SparkSession, df: DataFrame, key: str, weight: str, n_
     return j.select("draw_id", key)
 
 
-def language_uniform_draws(spark: SparkSession, df: DataFrame, key: str, lang: str, n_draws: int,
+def language_uniform_draws(spark: SparkSession, df: DataFrame, key: str, lang: str, n_draws: int | None = None,
                            seed: int = 0) -> DataFrame:
-    """Pick a language uniformly, then a row uniformly inside it."""
+    """Pick a language uniformly, then a row uniformly inside it; by default as
+    often as there are rows (an epoch)."""
+    n_draws = df.count() if n_draws is None else n_draws
     langs = df.select(lang).distinct()
     from voxframe.functions.core import global_position
     langs = global_position(langs, [lang], out="_li").withColumn("_li", F.col("_li") - 1)
@@ -122,7 +127,7 @@ def language_uniform_draws(spark: SparkSession, df: DataFrame, key: str, lang: s
     n_lang = langs.agg(F.count(F.lit(1))).scalar()
     d = spark.range(n_draws).withColumnRenamed("id", "draw_id")
     d = d.withColumn("_li", F.floor(md5_uniform(seed, F.col("draw_id")) * n_lang).cast("long"))
-    d = d.join(F.broadcast(langs), on="_li").join(F.broadcast(counts), on=lang)
+    d = join_same(d.join(langs, on="_li"), counts, [lang])  # one row per language
     d = d.withColumn("_p", (1 + F.floor(md5_uniform(seed + 1, F.col("draw_id")) * F.col("_n"))).cast("long"))
     x = group_position(df, [lang], [key], out="_p")
-    return d.join(x, on=[lang, "_p"]).select("draw_id", lang, key)
+    return join_same(d, x, [lang, "_p"]).select("draw_id", lang, key)

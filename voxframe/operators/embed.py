@@ -76,30 +76,33 @@ def mean_by_name(store: DataFrame, num_samples: int | None = None, randomize: bo
     return long_form(s).groupBy("name", "dim").agg(F.avg("x").alias("mean"))
 
 
-def centroid_sums(store: DataFrame, batch: str) -> DataFrame:
+def centroid_sums(store: DataFrame) -> DataFrame:
     """Per name: element-wise sum vector and count, rebuilt in dim order."""
-    lf = store.select(batch, "name", F.posexplode("embedding").alias("dim", "x"))
-    s = lf.groupBy(batch, "name", "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    g = s.groupBy(batch, "name").agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("_a"),
+    lf = store.select("name", F.posexplode("embedding").alias("dim", "x"))
+    s = lf.groupBy("name", "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    g = s.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("_a"),
                                      F.max("n").alias("n"))
-    return g.select(batch, F.col("name").alias("c_name"), F.transform("_a", lambda t: t["s"]).alias("c_sum"),
+    return g.select(F.col("name").alias("c_name"), F.transform("_a", lambda t: t["s"]).alias("c_sum"),
                     F.col("n").alias("c_n"))
 
 
-def name_batches(store: DataFrame, batch_names: int) -> DataFrame:
-    """Speakers cut into batches of ``batch_names`` (sorted by name)."""
-    names = store.select("name").distinct()
-    names = global_position(names, ["name"], out="_r").withColumn(
-        "batch", F.floor((F.col("_r") - 1) / batch_names).cast("long")).drop("_r")
-    return store.join(F.broadcast(names), on="name")  # one row per name
-
+def cosine_matrix(store: DataFrame, batch_names: int = 64, salts: int = 64, floor: float = 1e-6) -> DataFrame:
+    """GE2E similarity of every vector with every name's centroid; its own
+    centroid is the mean without the vector itself. Floored at 1e-6.
 
-def cosine_matrix(store: DataFrame, batch_names: int = 64, floor: float = 1e-6) -> DataFrame:
-    """GE2E similarity of every vector with every centroid of its batch; its
-    own centroid is the mean without the vector itself. Floored at 1e-6."""
-    x = name_batches(store, batch_names)
-    cs = centroid_sums(x, "batch")
-    j = x.join(cs, on="batch")
+    The matrix itself is the result. Centroids lie in blocks of
+    ``batch_names``, each block under ``salts`` keys; every vector meets every
+    block under one key drawn from its own, so no task holds a block's row of
+    the whole store.
+    """
+    cs = centroid_sums(store)
+    at = global_position(cs.select("c_name"), ["c_name"], out="_r").withColumn(
+        "batch", F.floor((F.col("_r") - 1) / batch_names).cast("long")).drop("_r")
+    cs = cs.join(at, on="c_name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    last = at.agg(F.max("batch")).scalar()
+    x = store.withColumn("salt", F.pmod(F.xxhash64("clip_key"), F.lit(salts)).cast("int"))
+    x = x.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0).cast("long")))))
+    j = x.join(cs, on=["batch", "salt"])
     own = F.col("c_name") == F.col("name")
     cent = F.when(own, F.zip_with("c_sum", "embedding", lambda s, v: (s - v) / (F.col("c_n") - 1))) \
         .otherwise(F.transform("c_sum", lambda s: s / F.col("c_n")))
@@ -136,12 +139,12 @@ def centroid_accuracy(cos: DataFrame) -> DataFrame:
     return out.withColumn("_chk", F.assert_true(nulls == 0, "null class label")).drop("_chk")
 
 
-def nearest_code(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id", max_codes: int = 65536) -> DataFrame:
+def nearest_code(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id", max_codes: int = 1 << 20, tile: int = 1024) -> DataFrame:
     """Nearest code by squared distance ``|x|^2 - 2 x.e + |e|^2``.
 
     The codebook is checked to be at most ``max_codes`` rows, collected once
     and shipped to the tasks; vectors stream through ``mapInPandas`` in Arrow
-    batches and each batch is one matrix product.
+    batches, and products are taken in tiles of bounded size.
     """
     n = codebook.count()
     if n > max_codes:
@@ -156,9 +159,17 @@ def nearest_code(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id", m
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            d = (x ** 2).sum(1, keepdims=True) - 2.0 * x @ emb.T + e2[None, :]
-            i = d.argmin(1)  # first minimum: lowest code on ties
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "code": codes[i], "dist": d[np.arange(len(i)), i]})
+            best, dist = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+            for a in range(0, len(x), tile):
+                rows = x[a:a + tile]
+                x2 = (rows ** 2).sum(1, keepdims=True)
+                for c in range(0, len(emb), tile):
+                    d = x2 - 2.0 * rows @ emb[c:c + tile].T + e2[None, c:c + tile]
+                    i = d.argmin(1)  # first minimum: lowest code on ties
+                    low = d[np.arange(len(i)), i]
+                    better = low < dist[a:a + tile]
+                    best[a:a + tile][better], dist[a:a + tile][better] = (i + c)[better], low[better]
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "code": codes[best], "dist": dist})
 
     return vectors.select(key, "embedding").mapInPandas(assign, f"{key} long, code long, dist double")
 

@@ -357,22 +357,22 @@ w AS (SELECT u.audio_unique_name, (1.0 / c.n) / nm.z AS weight FROM utt u JOIN c
 cs AS (SELECT audio_unique_name, weight, sum(weight) OVER (ORDER BY audio_unique_name ROWS UNBOUNDED PRECEDING) AS hi FROM w),
 t AS (SELECT sum(weight) AS tot FROM w),
 iv AS (SELECT audio_unique_name, (hi - weight) / tot AS lo, hi / tot AS hi FROM cs, t),
-d AS (SELECT range AS draw_id, {U(0, 'range')} AS u FROM range(2000))
+d AS (SELECT range AS draw_id, {U(0, 'range')} AS u FROM (SELECT unnest(range((SELECT count(*) FROM utt))) AS range))
 SELECT d.draw_id, iv.audio_unique_name FROM d JOIN iv ON d.u >= iv.lo AND d.u < iv.hi""", "utt"))
 def _smp_weighted(spark, sf):
     w = B.attribute_weights(V.utt(spark, sf).select(KEY, "language"), "language").select(KEY, "weight")
-    return B.weighted_draws(spark, w, KEY, "weight", 2000)
+    return B.weighted_draws(spark, w, KEY, "weight")
 
 
 @register("smp_lang_uniform", oracle(f"""
 WITH l AS (SELECT language, row_number() OVER (ORDER BY language) - 1 AS li FROM (SELECT DISTINCT language FROM utt)),
 c AS (SELECT language, count(*) AS n FROM utt GROUP BY 1),
-d AS (SELECT range AS draw_id, CAST(floor({U(0, 'range')} * (SELECT count(*) FROM l)) AS BIGINT) AS li FROM range(1000)),
+d AS (SELECT range AS draw_id, CAST(floor({U(0, 'range')} * (SELECT count(*) FROM l)) AS BIGINT) AS li FROM (SELECT unnest(range((SELECT count(*) FROM utt))) AS range)),
 d2 AS (SELECT d.draw_id, l.language, CAST(1 + floor({U(1, 'd.draw_id')} * c.n) AS BIGINT) AS p FROM d JOIN l USING (li) JOIN c USING (language)),
 x AS (SELECT audio_unique_name, language, row_number() OVER (PARTITION BY language ORDER BY audio_unique_name) AS p FROM utt)
 SELECT d2.draw_id, d2.language, x.audio_unique_name FROM d2 JOIN x USING (language, p)""", "utt"))
 def _smp_lang_uniform(spark, sf):
-    return B.language_uniform_draws(spark, V.utt(spark, sf).select(KEY, "language"), KEY, "language", 1000)
+    return B.language_uniform_draws(spark, V.utt(spark, sf).select(KEY, "language"), KEY, "language")
 
 
 @register("smp_subset", oracle("""

@@ -77,7 +77,7 @@ def sig(spark, sf_dir) -> DataFrame:
            * F.least(F.col("value"), F.lit(500.0)) / F.lit(500.0))
     x = e.select(F.col("user_id").alias("clip_id"), "ts", "event_id", amp.alias("amp"))
     # a clip may be arbitrarily long: positions come from the range-partitioned helper
-    x = group_position(x, ["clip_id"], ["ts", "event_id"], out="idx", broadcast_offsets=False)
+    x = group_position(x, ["clip_id"], ["ts", "event_id"], out="idx")
     return x.select("clip_id", (F.col("idx") - 1).alias("idx"), "ts", "amp")
 
 
