@@ -148,7 +148,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     maybe = occ.join(again, (occ["h1"] == again["_h1"]) & (occ["h2"] == again["_h2"]))
     wanted = maybe.distinct().groupBy(F.col("doc_id").alias("_d"), F.col("tid").alias("_t")).agg(
         F.collect_list(F.struct("first", "n", "lead")).alias("wanted"))
-    wanted = staged(wanted, "line-wanted")
+    wanted = staged(wanted, "line-wanted").hint("merge")  # it grows with the corpus: shuffled at every size
     texts = keyed.join(wanted, _same_rows(keyed, wanted)).select("doc_id", "tid", "text", "wanted")
     bodies = staged(texts.mapInArrow(*_bodies(kind)), "line-bodies")
     firsts = staged(bodies.groupBy(F.col("body").alias("_body")).agg(
@@ -168,7 +168,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     gone = repeated_chunks(docs, text).groupBy(F.col("doc_id").alias("_d"), F.col("tid").alias("_t")).agg(
         F.collect_list(F.struct("first", "n")).alias("gone"))
-    gone = staged(gone, "line-gone")
+    gone = staged(gone, "line-gone").hint("merge")
     keyed = _keyed(docs, text)
     return keyed.join(gone, _same_rows(keyed, gone), "left").select("doc_id", "text", "gone").mapInArrow(*_cut(kind))
 
