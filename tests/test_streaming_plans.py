@@ -1,74 +1,108 @@
-"""Streaming processors and plan shapes."""
+"""Streaming jobs and plan shapes."""
+
+import datetime as dt
+import random
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from tests.conftest import SF_SMALL
-from voxframe.functions.core import group_position
+from voxframe.functions.core import group_position, group_running_sum
 from voxframe.operators import text as TX
 from voxframe.streaming import jobs as J
 
 
-class _State:
-    def __init__(self):
-        self.exists, self.get = False, None
-
-    def update(self, v):
-        self.exists, self.get = True, v
-
-
-def _reference_crossfade(waves, overlap):
-    prev, held, out = None, None, []
-    for gen in waves:
-        gen = np.asarray(gen, dtype=np.float64)
-        chunk = gen[:-overlap] if prev is None else gen[len(prev) - overlap:-overlap].copy()
-        if held is not None:
-            if overlap > len(chunk):
-                out.append(gen[len(prev) - overlap:] if prev is not None else gen[-overlap:])
-                prev, held = gen, None
-                continue
-            chunk[:overlap] = held * np.linspace(1.0, 0.0, overlap) + chunk[:overlap] * np.linspace(0.0, 1.0, overlap)
-        held = gen[-overlap:]
-        prev = gen
-        out.append(chunk)
-    return out
-
-
-def test_crossfade_matches_sequential_reference():
-    rng = np.random.default_rng(0)
-    full = rng.normal(size=70)
-    waves = [full[: min(70, 16 * (i + 1))] for i in range(5)]
-    fn = J.crossfade_fn(4)
-    st = _State()
-    pdf = pd.DataFrame({"stream_id": [1] * 5, "seq": list(range(1, 6)), "wave": [w.tolist() for w in waves]})
-    got = list(fn((1,), iter([pdf]), st))[0]
-    want = _reference_crossfade(waves, 4)
-    assert len(got) == len(want)
-    for a, b in zip(got["chunk"], want):
-        assert np.allclose(a, b)
-
-
-def test_budget_stops_per_language():
-    fn = J.budget_fn(10.0, slack_s=1.0)
-    pdf = pd.DataFrame({"clip_id": list("abcd"), "language": ["x"] * 4, "duration_s": [4.0, 4.0, 4.0, 0.2],
-                        "l_orderkey": [1, 2, 3, 4], "l_linenumber": [1, 1, 1, 1]})
-    st = _State()
-    out = list(fn(("x",), iter([pdf]), st))[0]
-    assert list(out["clip_id"]) == ["a", "b", "c"] and st.get[0] == 12.0
-
-
-def test_ingest_once_equals_batch_distinct(spark):
-    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    got = J.ingest_once(spark, e)
-    assert got.count() == e.select("user_id").distinct().count()
-    assert got.select("user_id").distinct().count() == got.count()
-
-
-def test_group_position_plan_has_no_single_partition_window(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
-    plan = group_position(df, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.split("Subquery")[0] or "Window" not in plan
+def _steps(spark, waves, stream=1):
+    rows = [(stream, i + 1, 0, [float(v) for v in w]) for i, w in enumerate(waves)]
+    return spark.createDataFrame(rows, "stream_id long, seq long, at long, wave array<double>")
+
+
+def test_crossfade_by_hand(spark):
+    # overlap 3: weights 0, 1/2, 1 for the new samples
+    waves = [[0, 1, 2, 3, 4, 5], [0, 1, 2, 13, 14, 15, 16, 17, 18], [0] * 9 + [9]]
+    want = [[0, 1, 2], [3, (4 + 14) / 2, 15], [0, 0, 0, 9]]  # the third adds one sample only: all it has, unfaded
+    df = _steps(spark, waves)
+    for arrivals in (1, 3):
+        got = {r.seq: r.chunk for r in J.crossfade(spark, df, 3, arrivals).collect()}
+        assert [got[i] for i in (1, 2, 3)] == want
+
+
+def test_crossfade_after_a_short_step_is_not_faded(spark):
+    waves = [[1] * 6, [2] * 7, [3] * 12, [4] * 18]
+    # overlap 4: step 2 adds one sample and clears; step 3 starts unfaded; step 4 fades again
+    want = [[1, 1], [2] * 5, [3] * 5, [3, 3 + 1 / 3, 3 + 2 / 3, 4, 4, 4]]
+    for arrivals in (1, 2, 4):
+        got = {r.seq: r.chunk for r in J.crossfade(spark, _steps(spark, waves), 4, arrivals).collect()}
+        assert all(abs(a - b) < 1e-12 for i in range(4) for a, b in zip(got[i + 1], want[i], strict=True))
+
+
+def test_crossfade_short_steps_in_a_row(spark):
+    # every second short step finds nothing held, whether or not a batch ends between them
+    waves = [[1.0] * n for n in (8, 9, 10, 11, 20)]
+    want = [5, 4, 1, 4, 9]  # lengths: 8-3; 9-(8-3); 10-3-(9-3); 11-(10-3); 20-3-(11-3)
+    for arrivals in (1, 2, 5):
+        got = {r.seq: len(r.chunk) for r in J.crossfade(spark, _steps(spark, waves), 3, arrivals).collect()}
+        assert [got[i] for i in range(1, 6)] == want
+
+
+def test_budget_keeps_clip_order_across_batches_and_arrow_chunks(spark):
+    n = 30_000
+    rows = [(i, f"c{i:06d}", "x", 1.0) for i in range(n)] + [(i, f"n{i}", None, 0.7) for i in range(20)]
+    random.Random(1).shuffle(rows)
+    clips = spark.createDataFrame(rows, "pos long, clip_id string, language string, duration_s double")
+    for arrivals in (1, 6):
+        got = J.budget(spark, clips, ["pos", "clip_id"], 5000.0, arrivals=arrivals).collect()
+        mine = {r.clip_id: r.accepted_s for r in got if r.language == "x"}
+        assert mine == {f"c{i:06d}": i + 1.0 for i in range(5000)}
+        assert sum(r.language is None for r in got) == 20
+
+
+def test_budget_stops_by_hand(spark):
+    clips = spark.createDataFrame([(1, "a", "x", 4.0), (2, "b", "x", 4.0), (3, "c", "x", 4.0), (4, "d", "x", 0.2),
+                                   (5, "e", "x", 1.0)], "pos long, clip_id string, language string, duration_s double")
+    got = J.budget(spark, clips, ["pos", "clip_id"], 10.0, slack_s=1.0, arrivals=5)
+    assert [(r.clip_id, r.accepted_s) for r in got.orderBy("accepted_s").collect()] == [("a", 4.0), ("b", 8.0), ("c", 12.0)]
+
+
+def _events(spark, n=600, users=15):
+    rng = random.Random(2)
+    t0 = dt.datetime(2024, 1, 1)
+    at = [t0 + dt.timedelta(minutes=7 * i) for i in range(n)]
+    ids = list(range(n))
+    rng.shuffle(ids)  # ids and times disagree
+    rows = [(ids[i], at[i], i % users, 1.0) for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+
+
+def test_ingest_gives_each_key_once_over_many_arrivals(spark):
+    got = [r.user_id for r in J.ingest_once(spark, _events(spark), arrivals=7).collect()]
+    assert sorted(got) == list(range(15))
+
+
+def test_windows_lose_nothing_when_ids_and_times_disagree(spark):
+    e = _events(spark)
+    want = {r.w: r.n for r in e.groupBy((F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600).alias("w")).agg(
+        F.sum("value").alias("n")).collect()}
+    got = J.windowed_sum(spark, e, "1 hour", [], {"n": F.sum("value")}, arrivals=6)
+    assert {r.window_start: r.n for r in got.collect()} == want
+    slid = {r.window_start: r.n for r in J.sliding_from_tumbling(got, 3600, 2, [], ["n"]).collect()}
+    assert slid == {w: want.get(w, 0) + want.get(w + 3600, 0) for w in {*want, *(w - 3600 for w in want)}}
+
+
+def test_positions_keep_null_groups(spark):
+    rows = [(i, [None, "a", "b"][i % 3], float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    pos = {r.id: r.pos for r in group_position(df, ["k"], ["id"]).collect()}
+    assert pos == {i: i // 3 + 1 for i in range(9)}
+    run = {r.id: r.s for r in group_running_sum(df, ["k"], ["id"], "v", "s", exclusive=True).collect()}
+    assert run == {i: float(sum(range(i % 3, i, 3))) for i in range(9)}
+
+
+def test_group_position_sorts_narrow_rows_in_many_tasks(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id", F.lit("wide text").alias("text"))
+    x = group_position(df, ["k"], ["id"]).select("id", "pos")
+    x.collect()
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
+    assert "wide text" not in plan  # the sort holds keys and order columns, and consumers prune
 
 
 def test_text_cleaning_stays_in_the_jvm(spark):

@@ -1,32 +1,33 @@
 """Structured Streaming jobs: incremental ingest with de-duplication, windowed
 hour / real-time-factor counters, speaker activity sessions, a per-language
-hour budget and a chunk cross-fader (both ``applyInPandasWithState``).
+hour budget and a chunk cross-fader.
 
 Production shape: ``readStream`` over a landing folder of manifest / event
-files, event time with a watermark, ``append`` output to a parquet sink with
-its checkpoint in the cluster's shared ``spark.checkpoint.dir``. Windows and
-sessions are emitted once the watermark passes them and their state is then
-dropped, so state stays bounded by the watermark delay.
-
-Bounded replays (tests, backfills) stage the input as arriving files and end
-with a marker row far in the future; its batch advances the watermark so the
-last windows close. Marker rows are removed from the result.
+files with its checkpoint in the cluster's shared ``spark.checkpoint.dir``.
+Windows and sessions use event time with a watermark and are emitted once it
+passes them, so their state stays bounded by the delay. Jobs whose rule needs
+an order or everything seen so far (ingest, budget, cross-fade) run as
+``foreachBatch``: each micro-batch is an ordinary DataFrame, joined with a
+small state table; results and state go to folders named by the batch id, so a
+repeated batch replaces its own files and nothing is counted twice.
+
+Bounded replays (tests, backfills) land the input in several arrivals, by
+event time, and run the stream to the end of what is there after each; a last
+marker row, later than any window of the data can reach, closes the windows.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from voxframe.functions.core import group_position, group_running_sum, join_same
 from voxframe.session import ensure_checkpoint_dir
 
-MARKER = "__end_of_input__"
+ARRIVALS = 2
 
 
 def workdir(spark: SparkSession, name: str) -> str:
@@ -38,135 +39,226 @@ def utc_instant(ntz_col: str):
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ntz_col})"))
 
 
-def stage_arrivals(df: DataFrame, path: str, order: str, n_files: int = 2, marker: DataFrame | None = None) -> None:
-    """Write ``df`` as ``n_files`` successive arrivals (by ``order``), then the marker."""
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / n_files if hi is not None and hi != lo else 1
-    for i in range(n_files):
-        a = lo + i * step
-        b = lo + (i + 1) * step
-        part = df.where((F.col(order) >= a) & ((F.col(order) < b) if i < n_files - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    if marker is not None:
-        marker.coalesce(1).write.mode("append").parquet(path)
-
-
-def run_available_now(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run to the end of the available input into a parquet sink; return the table."""
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("path", f"{path}/out").option("checkpointLocation", f"{path}/chk")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/out")
-
-
-def event_stream(spark: SparkSession, events: DataFrame, name: str, delay: str = "1 hour", order: str = "event_id",
-                 ts: str = "ts") -> tuple[DataFrame, str]:
-    """Stage ``events`` as two arrivals plus an end-of-input marker row (a copy
-    of the last row one day later, ``_marker`` true) and open the stream."""
+def cut_arrivals(df: DataFrame, order: str, n: int = ARRIVALS) -> list[DataFrame]:
+    """``df`` cut into ``n`` arrivals of equal ranges of ``order``; nulls come first."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None or lo == hi or n == 1:
+        return [df]
+    cuts = [lo + (hi - lo) * i / n for i in range(1, n)]
+    at = sum((F.coalesce(F.col(order) >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    return [df.where(at == i) for i in range(n)]
+
+
+def replay(spark: SparkSession, arrivals: list[DataFrame], path: str, start: Callable[[DataFrame], object]) -> None:
+    """Land each arrival in the folder and run the stream over it to its end.
+    ``start`` gets the stream and returns a configured writer."""
+    schema = arrivals[0].schema
+    for a in arrivals:
+        a.write.mode("append").parquet(f"{path}/in")
+        writer = start(spark.readStream.schema(schema).parquet(f"{path}/in"))
+        query = writer.option("checkpointLocation", f"{path}/chk").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def replay_batches(spark: SparkSession, arrivals: list[DataFrame], path: str, out_schema: str, state_schema: str,
+                   step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``foreachBatch`` with state: ``step(batch, state)`` gives the batch's
+    result and the next state. Returns the table of all results."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        state = (session.read.schema(state_schema).parquet(f"{path}/state/{batch_id - 1}") if batch_id
+                 else _empty(session, state_schema))
+        out, after = step(batch, state)
+        out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+
+    replay(spark, arrivals, path, lambda s: s.writeStream.foreachBatch(run))
+    return spark.read.schema(out_schema).parquet(f"{path}/out")
+
+
+def ingest_once(spark: SparkSession, events: DataFrame, key: str = "user_id", order: str = "ts",
+                arrivals: int = ARRIVALS) -> DataFrame:
+    """Each key once, whichever arrival brings it: new keys are those that the
+    sink does not have."""
+    path = workdir(spark, "ingest")
+    kind = f"{key} {events.schema[key].dataType.simpleString()}"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        new = batch.select(key).distinct()
+        if batch_id:
+            seen = batch.sparkSession.read.schema(kind).parquet(f"{path}/out").where(F.col("batch") < batch_id)
+            seen = seen.select(F.col(key).alias("_seen"))
+            new = new.join(seen, new[key].eqNullSafe(seen["_seen"]), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    replay(spark, cut_arrivals(events.select(key, order), order, arrivals), path,
+           lambda s: s.writeStream.foreachBatch(run))
+    return spark.read.schema(kind).parquet(f"{path}/out").select(key)
+
+
+def _event_table(spark: SparkSession, events: DataFrame, name: str, delay: str, reach: str,
+                 query: Callable[[DataFrame], DataFrame], ts: str = "ts", arrivals: int = ARRIVALS) -> DataFrame:
+    """Run ``query`` over the events in event time; its table, marker included.
+
+    The marker is a row of nulls, later than the last event by more than the
+    watermark delay and the ``reach`` of a window or session.
+    """
     path = workdir(spark, name)
     data = events.withColumn("_marker", F.lit(False))
-    mk = (data.orderBy(F.col(order).desc()).limit(1)
-          .withColumn(ts, F.col(ts) + F.expr("INTERVAL 1 DAY")).withColumn(order, F.col(order) + 1)
-          .withColumn("_marker", F.lit(True)))
-    stage_arrivals(data, f"{path}/in", order, 2, mk)
-    s = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    s = s.withColumn(ts, utc_instant(ts)).withWatermark(ts, delay)
-    return s, path
-
-
-def ingest_once(spark: SparkSession, events: DataFrame, key: str = "user_id", delay: str = "1 hour") -> DataFrame:
-    """Each key processed once (within the watermark delay)."""
-    s, path = event_stream(spark, events, "ingest", delay)
-    d = s.where(~F.col("_marker")).dropDuplicatesWithinWatermark([key]).select(key)
-    return run_available_now(d, path)
-
-
-def windowed_sum(spark: SparkSession, events: DataFrame, length: str, slide: str | None, keys: list[str],
-                 aggs: dict, delay: str = "10 minutes", name: str = "window") -> DataFrame:
-    """Tumbling (``slide`` None) or sliding event-time windows; ``aggs`` maps
-    output names to aggregate columns. Windows holding the marker are dropped."""
-    s, path = event_stream(spark, events, name, delay)
-    w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    agg = s.groupBy(w.alias("w"), *keys).agg(*[c.alias(k) for k, c in aggs.items()], F.max("_marker").alias("_m"))
-    agg = agg.select(F.unix_micros(F.col("w.start")).alias("_s"), *keys, *aggs, "_m")
-    out = run_available_now(agg, path)
+    late = F.max(ts) + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {reach}") * 2 + F.expr("INTERVAL 1 DAY")
+    marker = data.agg(late.alias(ts)).where(F.col(ts).isNotNull()).select(
+        *[F.col(ts).cast(f.dataType) if f.name == ts else F.lit(f.name == "_marker").alias(f.name)
+          if f.name == "_marker" else F.lit(None).cast(f.dataType).alias(f.name) for f in data.schema.fields])
+
+    def start(s: DataFrame):
+        timed = s.withColumn(ts, utc_instant(ts)).withWatermark(ts, delay)
+        return query(timed).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
+
+    replay(spark, [*cut_arrivals(data, ts, arrivals), marker], path, start)
+    return spark.read.parquet(f"{path}/out")
+
+
+def windowed_sum(spark: SparkSession, events: DataFrame, length: str, keys: list[str], aggs: dict[str, Column],
+                 delay: str = "10 minutes", name: str = "window", arrivals: int = ARRIVALS) -> DataFrame:
+    """Tumbling event-time windows; ``aggs`` maps output names to aggregates."""
+    cols = list(dict.fromkeys(["ts", *keys, *events.columns]))
+
+    def query(s: DataFrame) -> DataFrame:
+        agg = s.groupBy(F.window("ts", length).alias("w"), *keys).agg(
+            *[c.alias(k) for k, c in aggs.items()], F.max("_marker").alias("_m"))
+        return agg.select(F.unix_micros(F.col("w.start")).alias("_s"), *keys, *aggs, "_m")
+
+    out = _event_table(spark, events.select(*cols), name, delay, length, query, arrivals=arrivals)
     return out.where(~F.col("_m")).select((F.col("_s") / 1000000).cast("long").alias("window_start"), *keys, *aggs)
 
 
-def sessions(spark: SparkSession, events: DataFrame, gap: str, key: str = "user_id",
-             delay: str = "1 hour") -> DataFrame:
+def sliding_from_tumbling(windows: DataFrame, step_s: int, steps: int, keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums over windows of ``steps`` consecutive tumbling windows, one starting
+    at every step (also those that only begin before the data)."""
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.col("window_start") - i * step_s))
+    x = windows.select(start.alias("window_start"), *keys, *sums)
+    return x.groupBy("window_start", *keys).agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def sessions(spark: SparkSession, events: DataFrame, gap: str, key: str = "user_id", delay: str = "1 hour",
+             arrivals: int = ARRIVALS) -> DataFrame:
     """Activity sessions per key: a new session after ``gap`` without events."""
-    s, path = event_stream(spark, events, "sessions", delay)
-    agg = s.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"),
-                                                                      F.max("_marker").alias("_m"))
-    agg = agg.select(key, F.unix_micros(F.col("w.start")).alias("_s"), F.unix_micros(F.col("w.end")).alias("_e"), "n", "_m")
-    out = run_available_now(agg, path)
+    def query(s: DataFrame) -> DataFrame:
+        agg = s.groupBy(F.session_window("ts", gap).alias("w"), key).agg(
+            F.count(F.lit(1)).alias("n"), F.max("_marker").alias("_m"))
+        return agg.select(key, F.unix_micros(F.col("w.start")).alias("_s"), F.unix_micros(F.col("w.end")).alias("_e"),
+                          "n", "_m")
+
+    out = _event_table(spark, events.select("ts", key), "sessions", delay, gap, query, arrivals=arrivals)
     return out.where(~F.col("_m")).select(key, (F.col("_s") / 1000000).cast("long").alias("session_start"),
                                           (F.col("_e") / 1000000).cast("long").alias("session_end"), "n")
 
 
-# ------------------------------------------------------------ stateful processors
-
-def budget_fn(target_s: float, min_clip: float = 0.5, slack_s: float = 10.0):
-    """Per language: accept clips (in clip order within each micro-batch)
-    until the accepted seconds reach ``target_s`` (same rule as ``cap_hours``)."""
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, stopped = state.get if state.exists else (0.0, False)
-        out = []
-        for pdf in pdfs:
-            for row in pdf.sort_values(["l_orderkey", "l_linenumber", "clip_id"]).itertuples(index=False):
-                if stopped or row.duration_s < min_clip:
-                    continue
-                if total >= target_s or (total + row.duration_s > target_s and target_s - total < slack_s):
-                    stopped = True
-                    continue
-                total += row.duration_s
-                out.append((row.language, row.clip_id, row.duration_s, total))
-        state.update((total, stopped))
-        if out:
-            yield pd.DataFrame(out, columns=["language", "clip_id", "duration_s", "accepted_s"])
-
-    return fn
-
-
-def crossfade_fn(overlap: int):
-    """Stream stitching: each input row carries the cumulative generated wave;
-    emit the new part, cross-fading the held overlap (old 1->0, new 0->1).
-    A chunk shorter than the overlap passes through and clears it."""
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev_len, held = state.get if state.exists else (-1, None)
-        out = []
-        for pdf in pdfs:
-            for row in pdf.sort_values("seq").itertuples(index=False):
-                gen = np.asarray(row.wave, dtype=np.float64)
-                chunk = gen[:-overlap] if prev_len < 0 else gen[prev_len - overlap:-overlap]
-                chunk = chunk.copy()
-                if held is not None:
-                    if overlap > len(chunk):
-                        chunk = gen[prev_len - overlap:] if prev_len >= 0 else gen[-overlap:]
-                        out.append((row.stream_id, row.seq, chunk.tolist()))
-                        prev_len, held = len(gen), None
-                        continue
-                    h = np.asarray(held)
-                    chunk[:overlap] = h * np.linspace(1.0, 0.0, overlap) + chunk[:overlap] * np.linspace(0.0, 1.0, overlap)
-                held = gen[-overlap:].tolist()
-                prev_len = len(gen)
-                out.append((row.stream_id, row.seq, chunk.tolist()))
-        state.update((prev_len, held))
-        if out:
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk"])
-
-    return fn
-
-
-def stateful_run(spark: SparkSession, df: DataFrame, name: str, key: str, fn, out_schema: str, state_schema: str,
-                 order: str) -> DataFrame:
-    path = workdir(spark, name)
-    stage_arrivals(df, f"{path}/in", order, 2)
-    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    res = s.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    return run_available_now(res, path)
+def budget(spark: SparkSession, clips: DataFrame, order: list[str], target_s: float, min_clip: float = 0.5,
+           slack_s: float = 10.0, group: str = "language", arrivals: int = ARRIVALS) -> DataFrame:
+    """Accept clips per ``group`` in arrival order until ``target_s`` seconds
+    (the rule of ``cap_hours``); ``group, clip_id, duration_s, accepted_s``.
+
+    The seconds before a clip are those carried from earlier batches plus a
+    blocked running sum inside the batch: the order holds for the whole
+    batch, and no task has to hold a group.
+    """
+    schema = {f.name: f.dataType.simpleString() for f in clips.schema.fields}
+    state_schema = f"{group} {schema[group]}, total double, stopped boolean"
+
+    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        x = batch.where(F.col("duration_s") >= min_clip)
+        x = group_position(x, [group], order, out="_p")
+        x = group_running_sum(x, [group], order, "duration_s", "_in", exclusive=True, pos_col="_p")
+        x = join_same(x, state, [group], "left")
+        before = F.coalesce(F.col("total"), F.lit(0.0)) + F.col("_in")
+        left = F.lit(target_s) - before
+        stop = F.coalesce("stopped", F.lit(False)) | (left <= 0) | ((F.col("duration_s") > left) & (left < slack_s))
+        stops = x.where(stop).groupBy(group).agg(F.min("_p").alias("_stop"))
+        kept = join_same(x, stops, [group], "left").where(F.col("_stop").isNull() | (F.col("_p") < F.col("_stop")))
+        out = kept.select(group, "clip_id", "duration_s", (before + F.col("duration_s")).alias("accepted_s"))
+        took = out.groupBy(group).agg(F.max("accepted_s").alias("total")).withColumn("stopped", F.lit(False))
+        ended = stops.select(group, F.lit(0.0).alias("total"), F.lit(True).alias("stopped"))
+        after = state.unionByName(took).unionByName(ended).groupBy(group).agg(
+            F.max("total").alias("total"), F.max("stopped").alias("stopped"))
+        return out, after
+
+    path = workdir(spark, "budget")
+    return replay_batches(
+        spark, cut_arrivals(clips, order[0], arrivals), path,
+        f"{group} {schema[group]}, clip_id {schema['clip_id']}, duration_s double, accepted_s double", state_schema,
+        step).select(group, "clip_id", "duration_s", "accepted_s")
+
+
+def stitched(steps: DataFrame, overlap: int) -> DataFrame:
+    """Chunks of streams that are generated in growing steps.
+
+    ``steps`` has ``stream_id, seq, at, wave``: the wave from sample ``at`` on
+    (at the latest the last ``overlap`` samples of the step before). A step
+    gives the samples from ``overlap`` before the previous end to ``overlap``
+    before its own end; its first ``overlap`` samples fade linearly from what
+    the previous step held there. A step that adds fewer samples than that
+    gives all it has and leaves nothing held; what follows nothing held is not
+    faded. Among steps in a row that are that short, every second one
+    therefore finds nothing held, which makes all of it arithmetic on the
+    lengths of neighbours.
+    """
+    order = Window.partitionBy("stream_id").orderBy("seq")
+    size = F.size("wave")
+    tail = F.slice("wave", F.greatest(size - overlap + 1, F.lit(1)), overlap)
+    x = steps.withColumn("_len", F.col("at") + size).withColumn("_tail", tail)
+    x = x.withColumn("_prev", F.lag("_len").over(order)).withColumn("_old", F.lag("_tail").over(order))
+    x = x.withColumn("_short", F.coalesce(F.col("_len") - F.col("_prev") < overlap, F.lit(False)))
+    x = x.withColumn("_run", F.sum((~F.col("_short")).cast("int")).over(order))
+    in_run = Window.partitionBy("stream_id", "_run").orderBy("seq")
+    x = x.withColumn("_clears", F.col("_short") & (F.sum(F.col("_short").cast("int")).over(in_run) % 2 == 1))
+    held = F.col("_prev").isNotNull() & ~F.coalesce(F.lag("_clears").over(order), F.lit(False))
+    x = x.withColumn("_held", held)
+    begin = F.greatest(F.coalesce(F.col("_prev") - overlap, F.lit(0)) - F.col("at"), F.lit(0))
+    end = F.when(F.col("_clears"), size).otherwise(size - overlap)
+    x = x.withColumn("_new", F.slice("wave", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")))
+    ramp = F.lit(0.0) if overlap == 1 else None
+
+    def mixed(new: Column, i: Column) -> Column:
+        t = ramp if ramp is not None else i / float(overlap - 1)
+        return F.when(i < overlap, F.get("_old", i) * (1.0 - t) + new * t).otherwise(new)
+
+    chunk = F.when(F.col("_held") & ~F.col("_clears"), F.transform("_new", mixed)).otherwise(F.col("_new"))
+    return x.select("stream_id", "seq", chunk.alias("chunk"), "_clears")
+
+
+def crossfade(spark: SparkSession, steps: DataFrame, overlap: int, arrivals: int = ARRIVALS) -> DataFrame:
+    """``stitched`` over a stream of steps: each micro-batch is stitched together
+    with the rows that decide on its first step, carried from before: the last
+    run of short steps and the step in front of it."""
+    cols = ["stream_id", "seq", "at", "wave"]
+    schema = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    kept = ", ".join(f"{c} {schema[c]}" for c in cols)
+
+    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = state.unionByName(batch.select(*cols).withColumn("new", F.lit(True)))
+        chunks = stitched(rows.select(*cols), overlap)
+        fresh = batch.select(F.col("stream_id").alias("_s"), F.col("seq").alias("_q"))
+        out = chunks.join(fresh, (chunks["stream_id"] == fresh["_s"]) & (chunks["seq"] == fresh["_q"])).select(
+            "stream_id", "seq", "chunk")
+        order = Window.partitionBy("stream_id").orderBy("seq")
+        length = F.col("at") + F.size("wave")
+        short = F.coalesce(length - F.lag(length).over(order) < overlap, F.lit(False))
+        whole = Window.partitionBy("stream_id")
+        last = rows.withColumn("_short", short).withColumn(
+            "_from", F.max(F.when(~F.col("_short"), F.col("seq"))).over(whole))
+        last = last.where(F.col("seq") >= F.col("_from"))
+        size = F.size("wave")
+        cut = F.greatest(size - overlap, F.lit(0))  # later steps look at the last samples only
+        after = last.select("stream_id", "seq", (F.col("at") + cut).cast(schema["at"]).alias("at"),
+                            F.slice("wave", cut + 1, overlap).alias("wave"), F.lit(False).alias("new"))
+        return out, after
+
+    path = workdir(spark, "crossfade")
+    return replay_batches(spark, cut_arrivals(steps.select(*cols), "seq", arrivals), path,
+                          f"stream_id {schema['stream_id']}, seq {schema['seq']}, chunk array<double>",
+                          f"{kept}, new boolean", step).select("stream_id", "seq", "chunk")
