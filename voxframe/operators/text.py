@@ -12,12 +12,14 @@ Rule kinds:
   ("re", pattern, repl)           regex replace all (``$1`` groups)
   ("strip",)                      strip whitespace at both ends
   ("collapse",)                   runs of whitespace -> one space
+  ("edge", flag, word, end, repl) replace ``word`` where no letter, digit or _ stands in front
   ("guard", pattern, rules)       apply ``rules`` only where ``pattern`` is found
                                   (one scan instead of one per rule)
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 # Whitespace as Python's str methods see it, written so that Java regex and RE2 agree.
 WS = "[\\t\\n\\x0B\\f\\r \\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-WORD_EDGE = "(^|[^\\p{L}\\p{N}_])"  # stands for a leading \b; group 1 is put back
+WORD_CHAR = "[\\p{L}\\p{N}_]"
+WORD_END = "[^\\p{L}\\p{N}_]|$"
+WORD_EDGE = "(^|[^\\p{L}\\p{N}_])"  # a word may start behind it
 
 # the same characters as a plain set, for trim()
 WS_CHARS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
@@ -57,6 +61,8 @@ def to_col(rules: Sequence[tuple], c: Column, raw: Column | None = None) -> Colu
             # Java's \s+ covers every ASCII whitespace; the full class only where needed
             probe = raw if raw is not None else c
             c = F.when(probe.rlike(EXOTIC_WS), F.regexp_replace(c, WS + "+", " ")).otherwise(F.regexp_replace(c, "\\s+", " "))
+        elif k == "edge":
+            c = F.regexp_replace(c, _java(f"{r[1]}(?<!{WORD_CHAR}){r[2]}{r[3]}"), _re_escape_repl(r[4]))
         elif k == "guard":
             c = F.when(c.rlike(_java(r[1])), to_col(r[2], c)).otherwise(c)
         else:
@@ -89,6 +95,14 @@ def to_sql(rules: Sequence[tuple], e: str) -> str:
             e = f"trim({e}, {_sq(WS_CHARS)})"
         elif k == "collapse":
             e = f"regexp_replace({e}, {_sq(WS + '+')}, ' ', 'g')"
+        elif k == "edge":
+            # no lookaround there: a mark behind every character that ends a word says where one may start
+            marked = f"chr(1) || regexp_replace({e}, '([^\\p{{L}}\\p{{N}}_])', '\\1' || chr(1), 'g')"
+            inner = re.sub(r"([.\- ])", "\\1\\\\x01?", r[2])
+            tail = f"(\\x01|{WORD_END})" if "(?!" in r[3] else r[3]
+            hit = f"{r[1]}\\x01{inner}{tail}"
+            repl = r[4].replace("\\", "\\\\") + ("\\1" if "(?!" in r[3] else "")
+            e = f"replace(regexp_replace({marked}, {_sq(hit)}, {_sq(repl)}, 'g'), chr(1), '')"
         elif k == "guard":
             e = f"CASE WHEN regexp_matches({e}, {_sq(r[1])}) THEN {to_sql(r[2], e)} ELSE {e} END"
     return e
@@ -189,18 +203,8 @@ def abbrev_rules(pairs, dot: bool = True, ignore_case: bool = True, trailing_edg
     flag = "(?i)" if ignore_case else ""
     tail = "([^\\p{L}\\p{N}_]|$)" if trailing_edge else ("\\." if dot else "")
     guard = f"{flag}{WORD_EDGE}({'|'.join(p for p, _ in pairs)}){tail}"
-    return [("guard", guard, _abbrev_chain(pairs, dot, ignore_case, trailing_edge))]
-
-
-def _abbrev_chain(pairs, dot: bool, ignore_case: bool, trailing_edge: bool) -> list[tuple]:
-    out = []
-    for pat, rep in pairs:
-        flag = "(?i)" if ignore_case else ""
-        if trailing_edge:
-            out.append(("re", f"{flag}{WORD_EDGE}{pat}([^\\p{{L}}\\p{{N}}_]|$)", f"$1{_re_escape_repl(rep)}$2"))
-        else:
-            out.append(("re", f"{flag}{WORD_EDGE}{pat}{'\\.' if dot else ''}", f"$1{_re_escape_repl(rep)}"))
-    return out
+    end = f"(?!{WORD_CHAR})" if trailing_edge else ("\\." if dot else "")
+    return [("guard", guard, [("edge", flag, pat, end, rep) for pat, rep in pairs])]
 
 
 def multilingual_abbrev_rules(lang: str) -> list[tuple]:
