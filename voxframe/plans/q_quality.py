@@ -113,8 +113,8 @@ def _qua_stft(spark, sf):
     pe = SG.preemphasis(s, 0.97)
     mags = None
     for i, (n, h) in enumerate(SCALES):
-        y = SG.stft_magnitude(SG.frame_samples(s, n, h), n).withColumnRenamed("value", "y")
-        yh = SG.stft_magnitude(SG.frame_samples(pe, n, h), n).withColumnRenamed("value", "y_hat")
+        y = SG.stft(s, n, h).withColumnRenamed("value", "y")
+        yh = SG.stft(pe, n, h).withColumnRenamed("value", "y_hat")
         m = y.join(yh, ["clip_id", "frame", "bin"]).withColumn("scale", F.lit(i))
         mags = m if mags is None else mags.unionByName(m)
     mags = mags.withColumn("y", F.greatest("y", F.lit(1e-8))).withColumn("y_hat", F.greatest("y_hat", F.lit(1e-8)))

@@ -78,9 +78,9 @@ def _sig_preemph(spark, sf):
     return SG.preemphasis(_sig(spark, sf), 0.97)
 
 
-@register("sig_deemph")
+@register("sig_deemph", oracle("SELECT clip_id, idx, amp FROM sig", "sig", rnd=("amp",)))
 def _sig_deemph(spark, sf):
-    """Rows-only: recursive filter as a per-clip fold; checked in pytest (deemph(preemph(x)) == x)."""
+    """The inverse of pre-emphasis gives the signal again."""
     return SG.deemphasis(SG.preemphasis(_sig(spark, sf), 0.97), 0.97)
 
 
@@ -170,23 +170,20 @@ def _sig_reverb(spark, sf):
     return SG.reverb(_sig(spark, sf), RIR)
 
 
-N_FFT, HOP = 8, 2
+N_FFT, HOP, N_MELS = 1024, 256, 80
 FRAME_SQL = f"""n AS (SELECT clip_id, count(*) AS n FROM sig GROUP BY 1),
 fr AS (SELECT clip_id, n, frame, unnest(range(0, {N_FFT})) AS k FROM (SELECT clip_id, n, unnest(range(0, n // {HOP} + 1)) AS frame FROM n)),
 fi AS (SELECT clip_id, n, frame, k, frame * {HOP} - {N_FFT // 2} + k AS i0 FROM fr),
-fj AS (SELECT clip_id, frame, k, CASE WHEN i1 >= n THEN 2 * (n - 1) - i1 ELSE i1 END AS idx FROM (
-  SELECT *, CASE WHEN i0 < 0 THEN -i0 ELSE i0 END AS i1 FROM fi)),
+fp AS (SELECT *, greatest(2 * (n - 1), 1) AS period FROM fi),
+fm AS (SELECT *, ((i0 % period) + period) % period AS i1 FROM fp),
+fj AS (SELECT clip_id, frame, k, least(i1, 2 * (n - 1) - i1) AS idx FROM fm),
 frames_l AS (SELECT fj.clip_id, fj.frame, fj.k, s.amp FROM fj JOIN sig s ON s.clip_id = fj.clip_id AND s.idx = fj.idx)"""
 
 
 def _basis_sql(n_fft=N_FFT):
-    rows = []
-    for k in range(n_fft):
-        w = 0.5 - 0.5 * math.cos(2 * math.pi * k / n_fft)
-        for b in range(n_fft // 2 + 1):
-            ang = 2 * math.pi * b * k / n_fft
-            rows.append(f"({k}, {b}, {w * math.cos(ang)!r}, {-w * math.sin(ang)!r})")
-    return f"basis AS (SELECT * FROM (VALUES {', '.join(rows)}) t(k, bin, wc, ws))"
+    return f"""basis AS (SELECT k, bin, (0.5 - 0.5 * cos(2 * pi() * k / {n_fft})) * cos(2 * pi() * ((bin * k) % {n_fft}) / {n_fft}) AS wc,
+  -(0.5 - 0.5 * cos(2 * pi() * k / {n_fft})) * sin(2 * pi() * ((bin * k) % {n_fft}) / {n_fft}) AS ws
+  FROM (SELECT unnest(range(0, {n_fft})) AS k), (SELECT unnest(range(0, {n_fft // 2 + 1})) AS bin))"""
 
 
 STFT_SQL = f"""{FRAME_SQL}, {_basis_sql()},
@@ -195,11 +192,11 @@ mag AS (SELECT clip_id, frame, bin, sqrt(pow(sum(amp * wc), 2) + pow(sum(amp * w
 
 
 def _frames(spark, sf):
-    return SG.frame_samples(_sig(spark, sf), N_FFT, HOP)
+    return SG.frames_of(_sig(spark, sf), N_FFT, HOP)
 
 
 def _mag(spark, sf):
-    return SG.stft_magnitude(_frames(spark, sf), N_FFT)
+    return SG.stft(_sig(spark, sf), N_FFT, HOP)
 
 
 @register("frm_frame", oracle(f"WITH {FRAME_SQL} SELECT * FROM frames_l", "sig", rnd=("amp",)))
@@ -212,7 +209,7 @@ def _frm_stft_mag(spark, sf):
     return _mag(spark, sf)
 
 
-MEL = SG.mel_basis(16000, N_FFT, 3)
+MEL = SG.mel_basis(16000, N_FFT, N_MELS)
 
 
 @register("frm_mel", oracle(f"""
@@ -423,15 +420,13 @@ def _dur_hours(spark, sf):
     return SG.duration_report(V.clip_len(spark, sf), "duration_s", "split")
 
 
-@register("feat_build")
+@register("feat_build", oracle(f"""
+WITH {STFT_SQL} SELECT clip_id, frame, bin, value, 'linear' AS feature, clip_id % 2 = 0 AS reused FROM mag""", "sig", rnd=("value",)))
 def _feat_build(spark, sf):
-    """Rows-only: incremental feature table - clips already done are skipped
-    (``left_anti``), the rest go through the array-form STFT kernel."""
+    """Incremental feature table: clips whose features exist are taken from
+    there, only the others (``left_anti``) are computed."""
     s = _sig(spark, sf)
-    done = s.select("clip_id").distinct().where(F.col("clip_id") % 2 == 0)
-    todo = SG.to_arrays(s.join(done, "clip_id", "left_anti"))
-    return todo.mapInPandas(SG.stft_kernel(N_FFT, HOP), "clip_id long, frame long, bin long, value double") \
-        .withColumn("feature", F.lit("linear"))
-
-
-__all__ = ["np"]
+    store = SG.stft(s.where(F.col("clip_id") % 2 == 0), N_FFT, HOP)
+    todo = s.join(store.select("clip_id").distinct(), "clip_id", "left_anti")
+    both = store.withColumn("reused", F.lit(True)).unionByName(SG.stft(todo, N_FFT, HOP).withColumn("reused", F.lit(False)))
+    return both.withColumn("feature", F.lit("linear"))
