@@ -158,10 +158,26 @@ def test_bpe_train_matches_python(spark):
     got = [(r.left, r.right) for r in VC.bpe_train(spark, wc, 6).orderBy("rank").collect()]
     want, words = _python_bpe(counts, 6)
     assert got == want
-    enc = {r.word: list(r.pieces) for r in VC.bpe_encode_types(wc, got).collect()}
+    enc = {r.word: list(r.pieces) for r in VC.bpe_encode_types(wc, {None: got}).collect()}
     assert enc == words
 
 
+def test_bpe_to_size_matches_python_for_every_language(spark):
+    rng = np.random.default_rng(3)
+    langs = {}
+    for lang, letters in (("en", "abcd"), ("de", "äßuv"), ("ru", "жшя")):
+        langs[lang] = {"".join(rng.choice(list(letters), size=rng.integers(1, 9))): int(rng.integers(1, 40)) for _ in range(60)}
+    wc = spark.createDataFrame([(k, w, n) for k, c in langs.items() for w, n in c.items()], "lang string, word string, n long")
+    for limit in (2_000_000, 10):
+        got = {}
+        for r in VC.bpe_train_to_size(wc, "lang", 12, max_types=limit).orderBy("rank").collect():
+            got.setdefault(r.lang, []).append((r.left, r.right))
+        enc = {(r.lang, r.word): r.pieces for r in VC.bpe_encode_types(wc, got, "lang").collect()}
+        for k, counts in langs.items():
+            want, words = _python_bpe(counts, 12 - 1 - len(set("".join(counts))))
+            assert got[k] == want and all(enc[(k, w)] == p for w, p in words.items())
+
+
 def test_perfect_subset_batches(spark):
     from voxframe.operators import batch as BT
     u = V.utt(spark, SF_SMALL).select("audio_unique_name", "speaker_name")

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -250,6 +250,89 @@ def bpe_train(spark: SparkSession, words: DataFrame, num_merges: int, word: str
     return spark.createDataFrame(merges, "rank long, left string, right string, n long")
 
 
+class _Pairs:
+    """Adjacent symbol pairs of word types with their counts, kept up to date
+    merge by merge: only the words that hold the merged pair are touched."""
+
+    def __init__(self, words: list[str], counts: list[int]):
+        self.words, self.counts = [list(w) for w in words], counts
+        self.total: dict[tuple[str, str], int] = {}
+        self.where: dict[tuple[str, str], set[int]] = {}
+        for i in range(len(words)):
+            self._count(i, 1)
+
+    def _count(self, i: int, sign: int) -> None:
+        w = self.words[i]
+        for pair in zip(w, w[1:]):
+            self.total[pair] = self.total.get(pair, 0) + sign * self.counts[i]
+            if sign > 0:
+                self.where.setdefault(pair, set()).add(i)
+
+    def best(self) -> tuple[tuple[str, str], int] | None:
+        """The most frequent pair, the least one among equals."""
+        top = min(((-n, pair) for pair, n in self.total.items() if n > 0), default=None)
+        return (top[1], -top[0]) if top else None
+
+    def merge(self, pair: tuple[str, str]) -> None:
+        for i in self.where.pop(pair):
+            self._count(i, -1)
+            self.words[i] = merged_symbols(self.words[i], pair)
+            self._count(i, 1)
+        self.total.pop(pair, None)
+
+
+def merged_symbols(symbols: list[str], pair: tuple[str, str]) -> list[str]:
+    """Every non-overlapping ``pair`` made one symbol, from the left."""
+    out: list[str] = []
+    i = 0
+    while i < len(symbols):
+        if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
+            out.append(pair[0] + pair[1])
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
+def bpe_train_to_size(words: DataFrame, key: str, vocab_size: int = 500, specials: int = 1,
+                      max_types: int = 2_000_000) -> DataFrame:
+    """Merges per ``key`` (language) until special tokens, characters and merges
+    make ``vocab_size`` tokens: ``key, rank, left, right, n``.
+
+    Training needs the distinct word types of a language, not its text. Their
+    number is checked: up to ``max_types`` a language is one task (all at the
+    same time); a larger one goes through ``bpe_train``, a distributed
+    aggregation per merge.
+    """
+    kind = words.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, rank long, left string, right string, n long"
+    alphabet = words.select(key, F.explode(symbols(F.col("word"))).alias("c")).groupBy(key).agg(
+        F.countDistinct("c").alias("chars"))
+    sizes = alphabet.join(words.groupBy(key).agg(F.count(F.lit(1)).alias("types")), key).collect()  # a row per language
+    large = [r[key] for r in sizes if r["types"] > max_types]
+    chars_of = {r[key]: r["chars"] for r in sizes}
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf[key].iloc[0]
+        pairs = _Pairs(pdf["word"].tolist(), pdf["n"].tolist())
+        rows = []
+        for rank in range(max(0, vocab_size - specials - chars_of[name])):
+            if (top := pairs.best()) is None:
+                break
+            pairs.merge(top[0])
+            rows.append((name, rank, *top[0], top[1]))
+        return pd.DataFrame(rows, columns=[key, "rank", "left", "right", "n"])
+
+    some = words.where(~F.col(key).isin(large)) if large else words
+    out = some.where(F.col(key).isNotNull()).groupBy(key).applyInPandas(train, schema)
+    for name in large:
+        n = max(0, vocab_size - specials - chars_of[name])
+        merges = bpe_train(words.sparkSession, words.where(F.col(key) == name), n)
+        out = out.unionByName(merges.withColumn(key, F.lit(name)))
+    return out
+
+
 def merge_vocab(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old ids kept; tokens only in ``new`` appended after, in their new-id order."""
     base = old.agg(F.max("id")).scalar()
@@ -325,21 +408,43 @@ def _re_quote(s: str) -> str:
     return "".join("\\" + c if c in "\\.^$|?*+()[]{}" else c for c in s)
 
 
-def bpe_encode_types(words: DataFrame, merges: list[tuple[str, str]], word: str = "word") -> DataFrame:
-    """Apply ordered merges to each distinct word type (a chained fold per
-    merge, JVM-side). Types are far fewer than tokens; callers join back."""
-    syms = symbols(F.col(word))
-    for a, b in merges:
-        syms = apply_merge(syms, a, b)
-    return words.select(word, syms.alias("pieces"))
-
-
-def bpe_encode(df: DataFrame, key: str, text: str, merges: list[tuple[str, str]]) -> DataFrame:
-    """Pre-tokenise, encode the distinct word types once, join back to every
-    occurrence: ``(key, pos, word, pieces)``."""
-    toks = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PRETOKEN_RE), 0)).alias("pos", "word"))
-    types = bpe_encode_types(toks.select("word").distinct(), merges)
-    return toks.join(types, "word")
+def _encoded(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
+    """Merges of lowest rank first, as in training."""
+    pieces = list(word)
+    while len(pieces) > 1:
+        pair = min(zip(pieces, pieces[1:]), key=lambda p: rank.get(p, len(rank)))
+        if pair not in rank:
+            break
+        pieces = merged_symbols(pieces, pair)
+    return pieces
+
+
+def bpe_encode_types(words: DataFrame, merges: dict[str | None, list[tuple[str, str]]], key: str | None = None,
+                     word: str = "word") -> DataFrame:
+    """``pieces`` of each distinct word type, by the merges of its ``key``
+    (``merges[None]`` without one). Types are far fewer than tokens; the
+    merges, bounded by the vocabulary size, go along with the tasks."""
+    rank = {k: {pair: i for i, pair in reversed(list(enumerate(m)))} for k, m in merges.items()}
+    cols = [key, word] if key else [word]
+    schema = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in cols)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = pdf[cols].copy()
+            names = pdf[key] if key else [None] * len(pdf)
+            out["pieces"] = [_encoded(w, rank.get(k, {})) for k, w in zip(names, pdf[word])]
+            yield out
+
+    return words.select(*cols).mapInPandas(run, f"{schema}, pieces array<string>")
+
+
+def bpe_encode(df: DataFrame, key: str, text: str, merges: dict[str | None, list[tuple[str, str]]],
+               lang: str) -> DataFrame:
+    """Pre-tokenise, encode the distinct word types of each language once, join
+    back to every occurrence: ``(key, pos, word, pieces)``."""
+    toks = df.select(key, lang, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PRETOKEN_RE), 0)).alias("pos", "word"))
+    types = bpe_encode_types(toks.select(lang, "word").distinct(), merges, lang)
+    return toks.join(types, [lang, "word"])
 
 
 # parameters of the rule-built syllable table: initials and final -> phone string

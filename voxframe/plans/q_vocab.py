@@ -138,10 +138,13 @@ def _tok_untag(spark, sf):
 WC_SQL = f"wc AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_sq(VC.PRETOKEN_RE)})) AS word FROM documents WHERE lang = '@LANG@') GROUP BY word)"
 
 
-@register("bpe_word_counts", oracle("WITH " + WC_SQL.replace("@LANG@", "en") + " SELECT word, n FROM wc"))
+ALL_WC_SQL = (f"wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, {_sq(VC.PRETOKEN_RE)})) AS word "
+              "FROM documents) GROUP BY lang, word)")
+
+
+@register("bpe_word_counts", oracle("WITH " + ALL_WC_SQL + " SELECT lang, word, n FROM wc"))
 def _bpe_word_counts(spark, sf):
-    d = V.table(spark, sf, "documents").where(F.col("lang") == "en")
-    return VC.word_counts(d, "text")
+    return VC.word_counts(V.table(spark, sf, "documents"), "text", ["lang"])
 
 
 def _pairs_sql(lang):
@@ -151,18 +154,27 @@ pc AS (SELECT c[i] AS "left", c[i + 1] AS "right", n FROM (SELECT n, c, unnest(r
 """)
 
 
-@register("bpe_pair_counts", oracle(_pairs_sql("en") + 'SELECT "left", "right", sum(n) AS n FROM pc GROUP BY ALL'))
+@register("bpe_pair_counts", oracle("WITH " + ALL_WC_SQL + """,
+pc AS (SELECT lang, c[i] AS "left", c[i + 1] AS "right", n FROM (SELECT lang, n, c, unnest(range(1, len(c))) AS i FROM (
+  SELECT lang, n, string_split(word, '') AS c FROM wc)))
+SELECT lang, "left", "right", sum(n) AS n FROM pc GROUP BY ALL"""))
 def _bpe_pair_counts(spark, sf):
-    d = V.table(spark, sf, "documents").where(F.col("lang") == "en")
-    w = VC.word_counts(d, "text").withColumn("symbols", VC.symbols(F.col("word")))
-    return VC.pair_counts(w)
+    w = VC.word_counts(V.table(spark, sf, "documents"), "text", ["lang"]).withColumn("symbols", VC.symbols(F.col("word")))
+    return VC.pair_counts(w, keys=["lang"])
 
 
 @register("bpe_train")
 def _bpe_train(spark, sf):
-    """Rows-only: iterative, one aggregation per merge (checked in pytest against a Python trainer)."""
-    d = V.table(spark, sf, "documents").where(F.col("lang") == "en")
-    return VC.bpe_train(spark, VC.word_counts(d, "text"), num_merges=8)
+    """Rows-only: iterative, every language to the vocabulary size (checked in
+    pytest against a plain trainer)."""
+    return _trained(spark, sf)
+
+
+VOCAB_SIZE = 500
+
+
+def _trained(spark, sf):
+    return VC.bpe_train_to_size(VC.word_counts(V.table(spark, sf, "documents"), "text", ["lang"]), "lang", VOCAB_SIZE)
 
 
 @register("bpe_merge_vocab", oracle(f"""
@@ -317,11 +329,12 @@ def _lex_cache(spark, sf):
 
 @register("bpe_encode")
 def _bpe_encode(spark, sf):
-    """Rows-only: learned merges applied to the corpus through its distinct word types."""
-    d = V.table(spark, sf, "documents").where(F.col("lang") == "en")
-    merges = [(r["left"], r["right"]) for r in VC.bpe_train(spark, VC.word_counts(d, "text"), num_merges=8)
-              .orderBy("rank").collect()]
-    enc = VC.bpe_encode(d, "doc_id", "text", merges)
+    """Rows-only: learned merges of every language applied to the corpus through
+    its distinct word types."""
+    merges = {}
+    for r in _trained(spark, sf).orderBy("lang", "rank").collect():  # bounded by languages x vocabulary size
+        merges.setdefault(r["lang"], []).append((r["left"], r["right"]))
+    enc = VC.bpe_encode(V.table(spark, sf, "documents"), "doc_id", "text", merges, "lang")
     return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.size("pieces")).alias("n_pieces"))
 
 
