@@ -21,13 +21,17 @@ def perfect_batches(df: DataFrame, key: str, cls: str, batch_size: int, num_gpus
     Rounds stop at the first exhausted class (``min(count)``); a batch holds
     ``batch_size / n_classes`` rounds. The leftover partial batch is kept
     unless ``drop_last``, cut to whole groups per device. Adds ``batch``,
-    ``slot`` (position in the batch).
+    ``slot`` (position in the batch). A batch size that the classes (times the
+    devices) do not divide fails the job.
     """
     classes = df.select(cls).distinct()
     classes = global_position(classes, [cls], out="_ci").withColumn("_ci", F.col("_ci") - 1)
     n_cls = classes.agg(F.count(F.lit(1))).scalar()
     min_count = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n")).scalar()
-    rpb = F.floor(F.lit(batch_size) / n_cls).cast("long")
+    fits = F.lit(batch_size) % (n_cls * num_gpus) == 0
+    rpb = F.when(fits, F.floor(F.lit(batch_size) / n_cls)).otherwise(F.raise_error(F.concat(
+        F.lit(f"a batch of {batch_size} on {num_gpus} devices is not a multiple of the classes: "),
+        n_cls.cast("string"))).cast("long")).cast("long")
     full = F.floor(min_count / rpb).cast("long")
     left = min_count - full * rpb
     left = F.floor(left / num_gpus).cast("long") * num_gpus

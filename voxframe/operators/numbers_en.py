@@ -68,14 +68,15 @@ def cardinal(digits: Column, andword: str = "") -> Column:
     ng = F.size(groups)
     mills = _arr(MILLS)
     chunks = F.transform(groups, lambda g, i: F.when(
-        g.cast("int") > 0, F.concat(_hundreds(g.cast("int"), andword), F.element_at(mills, ng - i))).otherwise(F.lit("")))
+        g.cast("int") > 0, F.concat(_hundreds(g.cast("int"), andword), F.try_element_at(mills, ng - i))).otherwise(F.lit("")))
     chunks = F.filter(chunks, lambda c: c != "")
     k = F.size(chunks)
     last = F.try_element_at(chunks, F.lit(-1))
     head = F.array_join(F.slice(chunks, 1, k - 1), ", ")
     join = F.lit(f" {andword} ") if andword else F.lit(" ")
     many = F.when(~last.contains(" "), F.concat(head, join, last)).otherwise(F.concat(head, F.lit(", "), last))
-    return F.when(n == 0, F.lit("zero")).when(k == 1, last).otherwise(many)
+    too_long = n > 3 * len(MILLS)  # no word for its scale: the digits stay
+    return F.when(n == 0, F.lit("zero")).when(too_long, digits).when(k == 1, last).otherwise(many)
 
 
 def _pair(p: Column) -> Column:
@@ -116,9 +117,9 @@ def currency_words(tok: Column) -> Column:
     sym = F.substring(tok, 1, 1)
     value = tok.substr(F.lit(2), F.lit(1 << 20))
     parts = F.split(F.replace(value, F.lit(","), F.lit("")), "\\.", -1)
-    integer = F.coalesce(F.nullif(F.element_at(parts, 1), F.lit("")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    integer = F.coalesce(F.nullif(F.element_at(parts, 1), F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     frac_s = F.try_element_at(parts, F.lit(2))
-    fraction = F.coalesce(F.nullif(frac_s, F.lit("")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    fraction = F.coalesce(F.nullif(frac_s, F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
     def unit(idx):
         return _unit_by_symbol(sym, idx)

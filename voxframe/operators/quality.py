@@ -41,8 +41,10 @@ def stft_losses(mags: DataFrame) -> DataFrame:
 
 
 def running_mean(df: DataFrame, keys, order: str, value: str, out: str = "running_mean") -> DataFrame:
+    """Mean of all values up to a row, as a decimal: values are taken to twelve
+    digits and summed exactly, so the order of summation does not matter."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.avg(value).over(w))
+    return df.withColumn(out, F.sum(F.col(value).cast("decimal(28,12)")).over(w) / F.count(value).over(w))
 
 
 def ema(values, alpha: float = 0.99):

@@ -192,6 +192,8 @@ DEFAULT_CHAR_LIMIT = 1200
 LANGUAGE_CODES = {"Hindi": "hi", "Kannada": "ka", "Malayalam": "ml", "Marathi": "ma", "Tamil": "ta",
                   "Telugu": "tu", "Bengali": "bn", "Gujarati": "gu", "English": "en"}
 
+KNOWN_CODES = sorted({*LANGUAGE_CODES.values(), *CHAR_LIMITS})
+
 MULTI_LANGS = ["ar", "cs", "de", "en", "es", "fr", "hu", "it", "nl", "pl", "pt", "ru", "tr", "zh", "ko"]
 
 
@@ -371,10 +373,12 @@ def char_limit(lang: Column) -> Column:
 
 
 def lang_code(name: Column) -> Column:
-    """Language name -> code; a code with a region suffix keeps its base."""
+    """Language name -> code; a known code with a region suffix keeps its base;
+    null for anything else."""
     m = F.create_map(*[x for k, v in LANGUAGE_CODES.items() for x in (F.lit(k), F.lit(v))])
     base = F.split_part(name, F.lit("-"), F.lit(1))
-    return F.coalesce(F.try_element_at(m, name), F.when(F.length(base) <= 3, F.lower(base)))
+    code = F.lower(base)
+    return F.coalesce(F.try_element_at(m, name), F.when(code.isin(*KNOWN_CODES), code))
 
 
 def strip_ranges(text: Column, ranges: Sequence[tuple[int, int]]) -> Column:

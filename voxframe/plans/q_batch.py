@@ -18,14 +18,14 @@ KEY = "audio_unique_name"
 WITH c AS (SELECT language, row_number() OVER (ORDER BY language) - 1 AS ci FROM (SELECT DISTINCT language FROM clip_len)),
 nc AS (SELECT count(*) AS nc FROM c),
 mc AS (SELECT min(n) AS mc FROM (SELECT language, count(*) AS n FROM clip_len GROUP BY 1)),
-p AS (SELECT 8 // nc AS rpb, mc FROM nc, mc),
+p AS (SELECT 12 // nc AS rpb, mc FROM nc, mc),
 q AS (SELECT rpb, mc AS rounds FROM p),
 r AS (SELECT clip_id, language, row_number() OVER (PARTITION BY language ORDER BY {H(0, 'clip_id')}, clip_id) AS rd FROM clip_len)
 SELECT r.clip_id, r.language, (rd - 1) // q.rpb AS batch, ((rd - 1) % q.rpb) * (SELECT nc FROM nc) + c.ci AS slot
 FROM r JOIN c USING (language), q WHERE rd <= q.rounds""", "clip_len"))
 def _bat_perfect(spark, sf):
     c = V.clip_len(spark, sf).select("clip_id", "language")
-    return BT.perfect_batches(c, "clip_id", "language", batch_size=8)
+    return BT.perfect_batches(c, "clip_id", "language", batch_size=12)
 
 
 @register("bat_bucket", oracle(f"""

@@ -14,7 +14,7 @@ from voxframe.operators import quality as QA
 from voxframe.operators import signal as SG
 import re
 
-from voxframe.plans.q_text import CODES_SQL, NAME_SQL as _NAME_SQL
+from voxframe.plans.q_text import CODES_SQL, KNOWN_SQL, NAME_SQL as _NAME_SQL
 from voxframe.plans.registry import oracle, register
 
 NAME_SQL = re.sub(r"\blang\b", "language", _NAME_SQL)
@@ -122,19 +122,20 @@ def _qua_stft(spark, sf):
 
 
 @register("qua_running_avg", oracle("""
-SELECT clip_id, idx, avg(CAST(round(amp * 10000) AS BIGINT)) OVER (PARTITION BY clip_id ORDER BY idx
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_mean FROM sig""", "sig", rnd=("running_mean",)))
+SELECT clip_id, idx, sign(s) * ((2 * abs(s) + n * 1000000) // (2 * n * 1000000)) / 1000000.0 AS running_mean FROM (
+  SELECT clip_id, idx, count(*) OVER w AS n, sum(CAST(CAST(amp AS DECIMAL(28,12)) * 1000000000000 AS HUGEINT)) OVER w AS s FROM sig
+  WINDOW w AS (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", "sig", rnd=("running_mean",)))
 def _qua_running_avg(spark, sf):
-    """Running mean of the 1e-4-quantised signal (integer sums are exact in any engine)."""
-    s = V.sig(spark, sf).select("clip_id", "idx", F.round(F.col("amp") * 10000).cast("long").alias("amp"))
-    return QA.running_mean(s, ["clip_id"], "idx", "amp").drop("amp")
+    s = V.sig(spark, sf).select("clip_id", "idx", "amp")
+    x = QA.running_mean(s, ["clip_id"], "idx", "amp").drop("amp")
+    return x.withColumn("running_mean", F.round("running_mean", 6))
 
 
 # ------------------------------------------------------------- inference
 
 INFER_SQL = f"""x AS (SELECT doc_id, {NAME_SQL} AS language, generated_sentence FROM bench),
 v AS (SELECT doc_id, coalesce({CODES_SQL.replace('CASE x', 'CASE language')},
-  CASE WHEN length(split_part(language, '-', 1)) <= 3 THEN lower(split_part(language, '-', 1)) END) AS language_code,
+  CASE WHEN lower(split_part(language, '-', 1)) IN ({KNOWN_SQL}) THEN lower(split_part(language, '-', 1)) END) AS language_code,
   generated_sentence FROM x),
 r AS (SELECT doc_id, language_code, CASE WHEN language_code IS NULL THEN 'unknown_language'
   WHEN trim(coalesce(generated_sentence, '')) = '' THEN 'empty_text' ELSE 'ok' END AS reason FROM v)"""

@@ -131,12 +131,12 @@ LEX_SQL = f"""lex AS (SELECT 'en' AS lang, CAST(n AS VARCHAR) AS token,
 
 @register("nrm_numbers_lex", oracle(f"""
 WITH {LEX_SQL},
-d AS (SELECT doc_id, lang, text FROM documents WHERE regexp_matches(text, '[0-9]')),
+d AS (SELECT doc_id, lang, text FROM documents),
 t AS (SELECT doc_id, lang, unnest(range(0, len(ts))) AS pos, ts FROM (SELECT doc_id, lang, regexp_extract_all(text, '{DIGIT_TOKENS}') AS ts FROM d)),
 r AS (SELECT t.doc_id, t.pos, coalesce(lex.word, t.ts[t.pos + 1]) AS tok FROM t LEFT JOIN lex ON lex.lang = t.lang AND lex.token = t.ts[t.pos + 1])
 SELECT doc_id, string_agg(tok, '' ORDER BY pos) AS text, count(*) AS n_tokens FROM r GROUP BY doc_id"""))
 def _nrm_numbers_lex(spark, sf):
-    d = _docs(spark, sf).where(F.col("text").rlike("[0-9]"))
+    d = _docs(spark, sf)
     t = d.select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(DIGIT_TOKENS), 0)).alias("pos", "tok"))
     lex = small_number_lexicon(spark)
     j = t.join(F.broadcast(lex), (t.lang == lex.lang) & (t.tok == lex.token), "left")  # lexicon: 1000 rows
@@ -254,11 +254,12 @@ def _txt_script(spark, sf):
 NAMES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
 NAME_SQL = "CASE doc_id % 3 WHEN 0 THEN (CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + \
     " END) WHEN 1 THEN concat(upper(lang), '-US') ELSE lang END"
+KNOWN_SQL = ", ".join(f"'{c}'" for c in TX.KNOWN_CODES)
 CODES_SQL = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TX.LANGUAGE_CODES.items()) + " END"
 
 
 @register("txt_lang_code", oracle(f"""
-SELECT doc_id, x AS language, coalesce({CODES_SQL}, CASE WHEN length(split_part(x, '-', 1)) <= 3 THEN lower(split_part(x, '-', 1)) END)
+SELECT doc_id, x AS language, coalesce({CODES_SQL}, CASE WHEN lower(split_part(x, '-', 1)) IN ({KNOWN_SQL}) THEN lower(split_part(x, '-', 1)) END)
   AS code FROM (SELECT doc_id, {NAME_SQL} AS x FROM documents)"""))
 def _txt_lang_code(spark, sf):
     d = _docs(spark, sf).select("doc_id", F.expr(NAME_SQL).alias("language"))
@@ -269,9 +270,9 @@ BN_DIGITS = "০১২৩৪৫৬৭৮৯"
 
 
 @register("nrm_digits", oracle(f"""
-SELECT doc_id, translate(text, '0123456789', '{BN_DIGITS}') AS text FROM documents WHERE regexp_matches(text, '[0-9]')"""))
+SELECT doc_id, translate(text, '0123456789', '{BN_DIGITS}') AS text FROM documents"""))
 def _nrm_digits(spark, sf):
-    d = _docs(spark, sf).where(F.col("text").rlike("[0-9]"))
+    d = _docs(spark, sf)
     return d.select("doc_id", F.translate("text", "0123456789", BN_DIGITS).alias("text"))
 
 

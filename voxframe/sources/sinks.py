@@ -42,15 +42,20 @@ def write_embeddings(store: DataFrame, path: str, buckets: int = 64, key: str =
     store.repartition(buckets, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system that it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_features(new: DataFrame, path: str, keys=("clip_id", "feature")) -> DataFrame:
     """Incremental cache: rows whose keys are already stored are skipped
     (``left_anti``), the rest appended, partitioned by feature."""
     spark = new.sparkSession
-    try:
+    todo = new
+    if path_exists(spark, path):  # any other trouble with the store fails the job
         have = spark.read.parquet(path).select(*keys).distinct()
         todo = new.join(have, list(keys), "left_anti")
-    except Exception:  # noqa: BLE001 - first run: nothing stored yet
-        todo = new
     todo.write.mode("append").partitionBy("feature").parquet(path)
     return spark.read.parquet(path)
 
