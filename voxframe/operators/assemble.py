@@ -39,7 +39,7 @@ def union_datasets(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 def drop_ignored(df: DataFrame, speakers: DataFrame, col: str = "speaker_name") -> DataFrame:
     """``left_anti`` against the (small, broadcast) ignored-speaker list."""
-    return df.join(F.broadcast(speakers.select(col).distinct()), on=col, how="left_anti")
+    return df.join(speakers.select(col).distinct(), on=col, how="left_anti")
 
 
 def keep_existing(df: DataFrame, listing: DataFrame, path: str = "audio_file", lpath: str = "path") -> DataFrame:
@@ -85,7 +85,7 @@ def id_map(df: DataFrame, col: str, out: str = "id") -> DataFrame:
 
 
 def apply_ids(df: DataFrame, col: str, ids: DataFrame, out: str) -> DataFrame:
-    return df.join(F.broadcast(ids.select(F.col("name").alias(col), F.col("id").alias(out))), on=col, how="left")
+    return df.join(ids.select(F.col("name").alias(col), F.col("id").alias(out)), on=col, how="left")
 
 
 def new_names(new: DataFrame, old: DataFrame, col: str) -> DataFrame:

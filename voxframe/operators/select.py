@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import global_position, group_position, group_running_sum, md5_key
+from voxframe.functions.core import global_position, group_position, group_running_sum, join_same, md5_key
 
 
 def length_flags(df: DataFrame, text_len: str, audio_len: str, min_text: int, max_text: int,
@@ -104,9 +104,9 @@ def sample_per_group(df, group: str, key: str, n: int, seed: int = 0) -> DataFra
 
 
 def tail_by_hours(df, order: str, duration: str, hours: float) -> DataFrame:
-    """The last ``round(h*3600/avg_dur)`` rows in ``order``."""
+    """The last ``round(h*3600/avg_dur)`` rows in ``order`` (half to even)."""
     avg = df.agg(F.avg(duration)).scalar()
-    limit = F.round(F.lit(hours * 3600.0) / avg)
+    limit = F.bround(F.lit(hours * 3600.0) / avg)
     x = global_position(df, [F.col(order).desc()], out="_rev")
     return x.where(F.col("_rev") <= limit).drop("_rev")
 
@@ -151,20 +151,20 @@ def cap_hours(df, group: str, order: list, duration: str, target_s: float = 7200
     for sv in split_order:
         xs = x.where(F.col(split) == sv)
         if carried is not None:
-            xs = xs.join(F.broadcast(carried), on=group, how="left")  # one row per group
+            xs = join_same(xs, carried, [group], "left")
             prev = F.coalesce(F.col("_carry"), F.lit(0.0)) + F.col("_in")
         else:
             xs = xs.withColumn("_carry", F.lit(0.0))
             prev = F.col("_in")
         stop = (prev >= t) | ((prev + F.col(duration) > t) & (t - prev < slack_s))
         stops = xs.where(stop).groupBy(group).agg(F.min("_p").alias("_stop"))
-        kept = xs.join(F.broadcast(stops), on=group, how="left") \
+        kept = join_same(xs, stops, [group], "left") \
             .where(F.col("_stop").isNull() | (F.col("_p") < F.col("_stop")))
         parts.append(kept.drop("_stop", "_carry"))
         acc = kept.groupBy(group).agg(F.sum(duration).alias("_acc"))
         base = carried if carried is not None else xs.select(group).distinct().withColumn("_carry", F.lit(0.0))
-        carried = base.join(acc, on=group, how="full_outer").select(
-            group, (F.coalesce(F.col("_carry"), F.lit(0.0)) + F.coalesce(F.col("_acc"), F.lit(0.0))).alias("_carry"))
+        carried = base.unionByName(acc.withColumnRenamed("_acc", "_carry")).groupBy(group).agg(
+            F.coalesce(F.sum("_carry"), F.lit(0.0)).alias("_carry"))
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)

@@ -150,11 +150,14 @@ def encode_chars_arrow(text: Column, table: np.ndarray) -> Column:
 
 
 def encode_chars_join(df: DataFrame, key: str, text: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """Join form for large vocabularies: explode, broadcast join, ordered rebuild."""
+    """Join form for large vocabularies: explode, join (its size decides how),
+    ordered rebuild. A text without any known character has no ids."""
     c = df.select(key, F.posexplode(chars(F.col(text))).alias("pos", "token"))
-    j = c.join(F.broadcast(vocab.select("token", "id")), on="token")
+    j = c.join(vocab.select("token", "id"), on="token")
     agg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_a"))
-    return agg.select(key, F.transform("_a", lambda s: s["id"]).alias(out))
+    ids = agg.select(key, F.transform("_a", lambda s: s["id"]).alias(out))
+    return df.select(key).join(ids, on=key, how="left").withColumn(
+        out, F.coalesce(F.col(out), F.array().cast(ids.schema[out].dataType)))
 
 
 def inverse_lut(vocab: DataFrame) -> Column:

@@ -199,10 +199,8 @@ WHERE r <= (SELECT round_even(1800 / avg(duration_s), 0) FROM s)""", "votes"))
 def _tail_hours(spark, sf):
     v = S.flt_votes(V.votes(spark, sf))
     top = S.top_k_counts(v, "client_id", 1).select("client_id")
-    s = v.join(top, "client_id", "left_semi")
-    avg = s.agg(F.avg("duration_s")).scalar()
-    x = global_position(s.select("doc_id"), [F.col("doc_id").desc()], out="_r")
-    return x.where(F.col("_r") <= F.bround(F.lit(1800.0) / avg, 0)).select("doc_id")
+    s = v.join(top, "client_id", "left_semi").select("doc_id", "duration_s")
+    return S.tail_by_hours(s, "doc_id", "duration_s", 0.5).select("doc_id")
 
 
 @register("ref_longest_text", oracle("""

@@ -56,7 +56,7 @@ def parse_per_file(files: DataFrame, spec_name: str, root: str, ignored: Sequenc
     y = x.select("path", "text", F.concat(*parts).alias("audio_file"), spk.alias("speaker_name"), F.col("_spk").alias("_raw"))
     if ignored:
         ig = files.sparkSession.createDataFrame([(s,) for s in ignored], "_raw string")
-        y = y.join(F.broadcast(ig), "_raw", "left_anti")
+        y = y.join(ig, "_raw", "left_anti")
     if listing is not None and spec.get("exists"):
         y = y.join(listing.select(F.col("path").alias("audio_file")).distinct(), "audio_file", "left_semi")
     return y.drop("_raw").withColumn("root_path", F.lit(root))
@@ -92,7 +92,7 @@ def voxceleb_index(listing: DataFrame, length_ms: str) -> DataFrame:
     names = x.select("speaker_name").distinct()
     from voxframe.functions.core import global_position
     ids = global_position(names, ["speaker_name"], out="speaker_id").withColumn("speaker_id", F.col("speaker_id") - 1)
-    return x.join(F.broadcast(ids), "speaker_name").select(F.col("path").alias("wav_filename"),
+    return x.join(ids, "speaker_name").select(F.col("path").alias("wav_filename"),
                                                            F.col(length_ms).alias("wav_length_ms"), "speaker_id", "speaker_name")
 
 
