@@ -99,3 +99,51 @@ def test_wav_bytes_round_trip():
         f.flush()
         with wave.open(f.name) as w:
             assert w.getframerate() == 16000 and w.getnframes() == 3
+
+
+def test_libri_tts_fails_on_a_missing_file(spark):
+    import pytest
+    from voxframe.sources.manifest import parse_lines
+    lines = spark.createDataFrame([(0, "12_3_0\ta\tone"), (1, "12_3_1\tb\ttwo")], "line_no long, line string") \
+        .selectExpr("*", "CAST(NULL AS STRING) AS file_path")
+    have = parse_lines(lines, "libri_tts", "/r").selectExpr("audio_file AS path")
+    assert parse_lines(lines, "libri_tts", "/r", listing=have).count() == 2
+    with pytest.raises(Exception, match="does not exist"):
+        parse_lines(lines, "libri_tts", "/r", listing=have.limit(1)).collect()
+
+
+def test_unlisted_multiplier_fails_and_null_values_count(spark):
+    import pytest
+    from voxframe.operators import balance as B
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "k long, g string")
+    w = {r.k: r.weight for r in B.attribute_weights(df, "g").collect()}
+    assert len(w) == 3 and w[3] == pytest.approx(2 * w[1])
+    mult = spark.createDataFrame([("a", 2.0)], "g string, mult double")
+    with pytest.raises(Exception, match="no multiplier"):
+        B.attribute_weights(df, "g", multipliers=mult).collect()
+
+
+def test_every_name_meets_every_vector(spark):
+    import numpy as np
+    from voxframe.operators import embed as E
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i}", f"n{i // 2:03d}", [float(x) for x in rng.normal(size=4)]) for i in range(140)]
+    cos = E.cosine_matrix(spark.createDataFrame(rows, "clip_key string, name string, embedding array<double>"))
+    assert cos.count() == 140 * 70 and cos.select("clip_key", "c_name").distinct().count() == 140 * 70
+
+
+def test_unknown_language_has_no_code(spark):
+    from pyspark.sql import functions as F
+    from voxframe.operators import text as TX
+    df = spark.createDataFrame([("xyz",), ("Hindi",), ("en-US",), ("de",), ("qq-1",)], "l string")
+    assert [r.c for r in df.select(TX.lang_code(F.col("l")).alias("c")).collect()] == [None, "hi", "en", "de", None]
+
+
+def test_batches_need_a_size_that_classes_divide(spark):
+    import pytest
+    from voxframe.operators import batch as BT
+    df = spark.createDataFrame([(i, i % 5) for i in range(50)], "k long, c long")
+    assert BT.perfect_batches(df, "k", "c", batch_size=10).count() == 50
+    for size in (4, 12):
+        with pytest.raises(Exception, match="multiple of the classes"):
+            BT.perfect_batches(df, "k", "c", batch_size=size).collect()

@@ -10,6 +10,7 @@ from voxframe import views as V
 from voxframe.plans.registry import oracle, register
 from voxframe.sources import files as FS
 from voxframe.sources.manifest import parse_lines, parse_sql
+from voxframe.streaming.jobs import workdir
 
 IGNORED = ["src0", "src5", "0", "5"]
 T = "translate(text, concat('|', chr(9), chr(13), chr(10), ','), '     ')"
@@ -86,6 +87,9 @@ def _src_query(name: str):
             p0 = parse_lines(ln, name, root, IGNORED)
             lst = p0.where(F.col("line_no") % 7 != 0).select(F.col("audio_file").alias("path"))
             return parse_lines(ln, name, root, IGNORED, listing=lst)
+        if spec.get("require_all"):
+            lst = parse_lines(ln, name, root).select(F.col("audio_file").alias("path"))
+            return parse_lines(ln, name, root, IGNORED, listing=lst)
         return parse_lines(ln, name, root, IGNORED)
 
 
@@ -191,13 +195,21 @@ for _n in (1, 2):
     _vox_query(_n)
 
 
-@register("src_sam_accenture")
+SAM_ROOT = "/data/sam"
+
+
+@register("src_sam_accenture", oracle(f"""
+SELECT text, concat('{SAM_ROOT}/vo_voice_quality_transformation/sam', doc_id, '.wav') AS audio_file, 'sam_accenture' AS speaker_name,
+  '{SAM_ROOT}' AS root_path FROM documents WHERE doc_id % 7 <> 0"""))
 def _src_sam_accenture(spark, sf):
-    """Rows-only (no XML in the SQL oracle): ``fileid`` elements parsed with the XML reader."""
+    """XML files with one ``fileid`` element a document; every seventh has no audio."""
     d = V.table(spark, sf, "documents")
-    esc = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    xml = F.concat(F.lit('<fileid id="sam'), F.col("doc_id"), F.lit('">'), esc, F.lit("</fileid>"))
-    return FS.sam_items(d.select(xml.alias("xml")), "/data/sam")
+    path = f"{workdir(spark, 'sam')}/voice_over_recordings"
+    (d.select(F.concat(F.lit("sam"), "doc_id").alias("_id"), F.col("text").alias("_VALUE")).write.format("xml")
+     .option("rootTag", "files").option("rowTag", "fileid").save(path))
+    listing = d.where(F.col("doc_id") % 7 != 0).select(
+        F.concat(F.lit(f"{SAM_ROOT}/vo_voice_quality_transformation/sam"), "doc_id", F.lit(".wav")).alias("path"))
+    return FS.sam_items(spark, path, SAM_ROOT, listing)
 
 
 @register("src_voxceleb_index", oracle(f"""

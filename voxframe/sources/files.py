@@ -96,12 +96,15 @@ def voxceleb_index(listing: DataFrame, length_ms: str) -> DataFrame:
                                                            F.col(length_ms).alias("wav_length_ms"), "speaker_id", "speaker_name")
 
 
-def sam_items(xml_lines: DataFrame, root: str) -> DataFrame:
-    """``<fileid id="..">text</fileid>`` rows -> utterances (XML parser)."""
-    p = xml_lines.select(F.from_xml("xml", "_id string, _VALUE string").alias("r"))
-    return p.select(F.col("r._VALUE").alias("text"),
-                    F.concat(F.lit(root + "/vo_voice_quality_transformation/"), F.col("r._id"), F.lit(".wav")).alias("audio_file"),
-                    F.lit("sam_accenture").alias("speaker_name"), F.lit(root).alias("root_path"))
+def sam_items(spark: SparkSession, xml_path: str, root: str, listing: DataFrame) -> DataFrame:
+    """``<fileid id="..">text</fileid>`` elements of the XML files -> utterances
+    whose audio is in ``listing``; others are skipped."""
+    x = (spark.read.format("xml").option("rowTag", "fileid").option("ignoreSurroundingSpaces", "false")
+         .schema("_id string, _VALUE string").load(xml_path))
+    y = x.select(F.col("_VALUE").alias("text"),
+                 F.concat(F.lit(root + "/vo_voice_quality_transformation/"), F.col("_id"), F.lit(".wav")).alias("audio_file"),
+                 F.lit("sam_accenture").alias("speaker_name"), F.lit(root).alias("root_path"))
+    return y.join(listing.select(F.col("path").alias("audio_file")).distinct(), "audio_file", "left_semi").select(*y.columns)
 
 
 WORDS_SCHEMA = "segments array<struct<words: array<struct<word: string, start: double, end: double>>>>"

@@ -128,9 +128,20 @@ def parse_lines(lines: DataFrame, spec_name: str, root: str, ignored: Sequence[s
     if listing is not None and spec.get("exists"):
         y = y.join(listing.select(F.col("path").alias("audio_file")).distinct(), on="audio_file", how="left_semi")
     y = y.withColumn("root_path", F.lit(root))
+    if listing is not None and spec.get("require_all"):
+        y = require_listed(y, listing)
     return y.select("line_no", *FIELDS, "root_path")
 
 
+def require_listed(items: DataFrame, listing: DataFrame) -> DataFrame:
+    """``items`` whose audio all exists; a file that is not listed fails the job."""
+    have = listing.select(F.col("path").alias("audio_file")).distinct().withColumn("_listed", F.lit(True))
+    j = items.join(have, on="audio_file", how="left")
+    missing = F.raise_error(F.concat(F.lit("audio file does not exist: "), F.coalesce("audio_file", F.lit("null"))))
+    ok = F.when(F.col("_listed"), F.col("audio_file")).otherwise(missing.cast("string"))
+    return j.withColumn("audio_file", ok).select(*items.columns)
+
+
 def _nancy(x: DataFrame, spec: dict, root: str) -> DataFrame:
     """``( id "text" )``: id is the second whitespace token, text sits between
     the first quote and the character before the last quote."""
