@@ -147,3 +147,11 @@ def test_batches_need_a_size_that_classes_divide(spark):
     for size in (4, 12):
         with pytest.raises(Exception, match="multiple of the classes"):
             BT.perfect_batches(df, "k", "c", batch_size=size).collect()
+
+
+def test_every_manifest_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("wav_filename|wav_filesize|transcript|client_id|duration|levenshtein\nx.wav|1|one|s1|2.0|0\n")
+    (tmp_path / "b.csv").write_text("client_id|transcript|wav_filename\ns2|two|y.wav\ns3|three|z.wav\n")
+    got = read_manifest(spark, str(tmp_path / "*.csv"), "cml_tts", "/r").collect()
+    assert sorted((r.text, r.audio_file.rsplit("/", 1)[-1], r.speaker_name) for r in got) == [
+        ("one", "x.wav", "s1"), ("three", "z.wav", "s3"), ("two", "y.wav", "s2")]

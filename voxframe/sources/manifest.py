@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import global_position
+from voxframe.functions.core import global_position, join_same
 from voxframe.operators.text import WS
 from voxframe.sources.specs import SPECS
 
@@ -26,7 +26,8 @@ def read_manifest(spark: SparkSession, path: str, spec_name: str, root: str, **k
     spec = SPECS[spec_name]
     r = spark.read.option("encoding", spec.get("encoding", "UTF-8")).option("lineSep", "\n").text(path)
     lines = r.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"),
-                     F.col("_metadata.file_path").alias("file_path"))
+                     F.col("_metadata.file_path").alias("file_path"),
+                     F.col("_metadata.file_block_start").alias("block_start"))
     return parse_lines(lines, spec_name, root, **kw)
 
 
@@ -74,7 +75,8 @@ def _template(parts, root, ctx) -> Column:
 
 def parse_lines(lines: DataFrame, spec_name: str, root: str, ignored: Sequence[str] = (),
                 listing: DataFrame | None = None) -> DataFrame:
-    """``lines(line_no, line[, file_path])`` -> utterance rows of the layout."""
+    """``lines(line_no, line[, file_path])`` -> utterance rows of the layout. Layouts
+    with a header read column names from the first line of each file."""
     spec = SPECS[spec_name]
     x = lines if "file_path" in lines.columns else lines.withColumn("file_path", F.lit(None).cast("string"))
     if spec.get("nancy"):
@@ -87,13 +89,17 @@ def parse_lines(lines: DataFrame, spec_name: str, root: str, ignored: Sequence[s
     x = x.withColumn("_cols", F.split("line", re.escape(sep), -1))
     ctx: dict = {"pos": {}}
     if spec.get("header"):
-        first = x.agg(F.min("line_no")).scalar()
-        names = x.agg(F.min_by(F.col("_cols"), F.col("line_no"))).scalar()
+        # every file has a header of its own: its first line, whichever split that came in
+        start = F.col("block_start") if "block_start" in x.columns else F.lit(0)
+        heads = x.groupBy("file_path").agg(
+            F.min_by(F.struct("_cols", "line_no"), F.struct(start, F.col("line_no"))).alias("_head"))
+        x = join_same(x, heads, ["file_path"])
+        names = F.col("_head._cols")
         for f in ("text", "audio", "speaker", "ref", "language", "emotion"):
             for p in spec.get(f, []):
                 if p[0] == "name":
                     ctx["pos"][p[1]] = F.array_position(names, F.lit(p[1])).cast("int")
-        x = x.where(F.col("line_no") > first)
+        x = x.where(F.col("line_no") != F.col("_head.line_no"))
     if spec.get("exact_fields"):
         x = x.where(F.size("_cols") == spec["exact_fields"])
     out = {
