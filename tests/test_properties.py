@@ -201,3 +201,15 @@ def test_group_position_consistent_when_branches_are_pruned_differently(spark):
     ref = df.withColumn("p", F.row_number().over(w).cast("long"))
     assert a.exceptAll(ref.where("s = 0").select("k", "id", "p")).count() == 0
     assert b.select("k", "id", "p").exceptAll(ref.where("s = 1").select("k", "id", "p")).count() == 0
+
+
+def test_large_character_vocabulary_round_trip(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(12_000)) + "\U0002A6D6\U0001F600"
+    df = spark.createDataFrame([(1, text), (2, "xyz"), (3, ""), (4, None)], "id long, text string")
+    vocab = VC.build_vocab(VC.unique_chars(df.where("id = 1"), "text"))
+    table = VC.code_point_table(vocab)
+    enc = df.withColumn("ids", VC.encode_chars_arrow(F.col("text"), table))
+    back = {r.id: r.t for r in enc.select("id", VC.decode_arrow(F.col("ids"), vocab).alias("t")).collect()}
+    assert back == {1: text, 2: "", 3: "", 4: None}
+    joined = {r.id: list(r.ids) for r in VC.encode_chars_join(df.where("id < 4"), "id", "text", vocab).collect()}
+    assert joined == {r.id: list(r.ids) for r in enc.where("id < 4").collect()}

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from voxframe.functions.core import global_position, rebuild_tokens
 from voxframe.operators.text import WS
 
+#: Symbols of a literal map or array in a plan; larger vocabularies take the Arrow or join forms.
 MAP_LIMIT = 10_000
+#: Bound of a character vocabulary.
+CODE_POINTS = 0x110000
 
 # fixed values: special symbols and default punctuation of the character vocabulary
 PAD, EOS, BOS, BLANK = "<PAD>", "<EOS>", "<BOS>", "<BLNK>"
@@ -62,7 +66,7 @@ def unique_single_language(df: DataFrame, symbols: str, lang: str) -> DataFrame:
 
 
 def build_vocab(characters: DataFrame, char_col: str = "char", punctuations: str = PUNCTUATIONS,
-                specials: Sequence[str] = (PAD, EOS, BOS, BLANK), max_symbols: int = MAP_LIMIT) -> DataFrame:
+                specials: Sequence[str] = (PAD, EOS, BOS, BLANK), max_symbols: int = CODE_POINTS) -> DataFrame:
     """``(token, id)``: specials, then sorted unique characters, then punctuation.
 
     The distinct character set is bounded by Unicode (checked against
@@ -73,7 +77,7 @@ def build_vocab(characters: DataFrame, char_col: str = "char", punctuations: str
     if len(cs) > max_symbols:
         raise ValueError(f"more than {max_symbols} distinct characters")
     vocab = list(specials) + sorted(cs) + list(dict.fromkeys(punctuations))
-    dups = {t for t in vocab if vocab.count(t) > 1}
+    dups = {t for t, n in Counter(vocab).items() if n > 1}
     if dups:
         raise ValueError(f"duplicate symbols in vocabulary: {sorted(dups)}")
     return spark.createDataFrame([(t, i) for i, t in enumerate(vocab)], "token string, id long")
@@ -119,32 +123,29 @@ def encode_chars(text: Column, lut: Column) -> Column:
 
 def code_point_table(vocab: DataFrame) -> np.ndarray:
     """Code point -> id (``-1`` = not in the vocabulary) for the Arrow encoder."""
-    n = vocab.count()
-    if n > MAP_LIMIT:
-        raise ValueError(f"vocabulary of {n} symbols: use encode_chars_join")
-    rows = [(ord(r["token"]), r["id"]) for r in vocab.select("token", "id").collect() if len(r["token"]) == 1]
-    table = np.full(max(c for c, _ in rows) + 1, -1, dtype=np.int64)
+    single = vocab.where(F.length("token") == 1).select("token", "id")  # at most one per code point
+    rows = [(ord(r["token"]), r["id"]) for r in single.limit(CODE_POINTS).collect()]
+    table = np.full(max((c for c, _ in rows), default=0) + 1, -1, dtype=np.int64)
     for c, i in rows:
         table[c] = i
     return table
 
 
 def encode_chars_arrow(text: Column, table: np.ndarray) -> Column:
-    """text -> ids per Arrow batch: UTF-32 code points indexed into the table
-    (vectorised; per-character lambdas in the JVM are interpreted)."""
+    """text -> ids per Arrow batch: the batch's texts end to end as UTF-32 code
+    points, indexed into the table once and cut at the texts' ends."""
     top = len(table)
 
     @F.pandas_udf("array<long>")
     def enc(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            if t is None:
-                out.append(None)
-                continue
-            cp = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-            ids = np.where(cp < top, table[np.minimum(cp, top - 1)], -1)
-            out.append(ids[ids >= 0])
-        return pd.Series(out)
+        texts = ["" if t is None else t for t in s]
+        cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        ids = np.where(cp < top, table[np.minimum(cp, top - 1)], -1)
+        known = ids >= 0
+        before = np.append(0, np.cumsum(known))
+        ends = before[np.cumsum([len(t) for t in texts])] if texts else []
+        parts = np.split(ids[known], ends)[:len(texts)]
+        return pd.Series([None if t is None else p for t, p in zip(s, parts)], dtype=object)
 
     return enc(text)
 
@@ -153,9 +154,9 @@ def encode_chars_join(df: DataFrame, key: str, text: str, vocab: DataFrame, out:
     """Join form for large vocabularies: explode, join (its size decides how),
     ordered rebuild. A text without any known character has no ids."""
     c = df.select(key, F.posexplode(chars(F.col(text))).alias("pos", "token"))
-    j = c.join(vocab.select("token", "id"), on="token")
-    agg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_a"))
-    ids = agg.select(key, F.transform("_a", lambda s: s["id"]).alias(out))
+    j = c.join(vocab.select("token", F.col("id").alias("_id")), on="token")
+    agg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_id"))).alias("_a"))
+    ids = agg.select(key, F.transform("_a", lambda s: s["_id"]).alias(out))
     return df.select(key).join(ids, on=key, how="left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast(ids.schema[out].dataType)))
 
@@ -164,7 +165,7 @@ def inverse_lut(vocab: DataFrame) -> Column:
     """id -> token as a literal array (ids are dense 0..n-1)."""
     rows = dict(vocab.select("id", "token").limit(MAP_LIMIT + 1).collect())
     if len(rows) > MAP_LIMIT:
-        raise ValueError(f"vocabulary above {MAP_LIMIT} symbols: decode with a join")
+        raise ValueError(f"vocabulary above {MAP_LIMIT} symbols: use decode_arrow")
     return F.array(*[F.lit(rows.get(i)) for i in range(max(rows) + 1)])
 
 
@@ -172,6 +173,17 @@ def decode(ids: Column, inv: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.try_element_at(inv, (i + 1).cast("int"))), "")
 
 
+def decode_arrow(ids: Column, vocab: DataFrame) -> Column:
+    """ids -> text per Arrow batch, for vocabularies of any size; ids outside are dropped."""
+    rows = {r["id"]: r["token"] for r in vocab.select("id", "token").limit(CODE_POINTS).collect()}
+
+    @F.pandas_udf("string")
+    def dec(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: None if a is None else "".join(rows.get(int(i), "") for i in a))
+
+    return dec(ids)
+
+
 def intersperse(ids: Column, blank_id: int) -> Column:
     """``b x1 b x2 ... xn b``."""
     return F.concat(F.flatten(F.transform(ids, lambda x: F.array(F.lit(blank_id).cast("long"), x.cast("long")))),
