@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe import views as V
-from voxframe.functions.core import rebuild_tokens
 from voxframe.operators import text as TX
 from voxframe.operators.select import word_count
 from voxframe.plans.registry import oracle, register
@@ -137,13 +136,15 @@ r AS (SELECT t.doc_id, t.pos, coalesce(lex.word, t.ts[t.pos + 1]) AS tok FROM t
 SELECT doc_id, string_agg(tok, '' ORDER BY pos) AS text, count(*) AS n_tokens FROM r GROUP BY doc_id"""))
 def _nrm_numbers_lex(spark, sf):
     d = _docs(spark, sf)
-    t = d.select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(DIGIT_TOKENS), 0)).alias("pos", "tok"))
-    lex = small_number_lexicon(spark)
-    j = t.join(F.broadcast(lex), (t.lang == lex.lang) & (t.tok == lex.token), "left")  # lexicon: 1000 rows
-    j = j.select("doc_id", "pos", F.coalesce("word", "tok").alias("tok"))
-    out = rebuild_tokens(j, ["doc_id"], "pos", "tok", "text", sep="")
-    n = j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    return out.join(n, "doc_id")
+    # one row per language: its lexicon as a map (a thousand words), looked up in the row
+    lex = small_number_lexicon(spark).groupBy("lang").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
+    t = d.join(F.broadcast(lex), "lang", "left").select(
+        "doc_id", "words", F.regexp_extract_all("text", F.lit(DIGIT_TOKENS), 0).alias("toks"))
+    said = F.transform("toks", lambda w: F.when(w.rlike("^[0-9]{1,3}$"), F.coalesce(
+        F.try_element_at(F.col("words"), w), w)).otherwise(w))
+    return t.where(F.size("toks") > 0).select("doc_id", F.array_join(said, "").alias("text"),
+                                              F.size("toks").cast("long").alias("n_tokens"))
 
 
 DICT = {"the": "THE", "le": "LE", "der": "DER", "el": "EL", "and": "AND", "et": "ET"}
@@ -157,10 +158,11 @@ r AS (SELECT t.doc_id, t.pos, coalesce(dict.v, t.ws[t.pos + 1]) AS tok FROM t LE
 SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS text FROM r GROUP BY doc_id"""))
 def _nrm_dictionary(spark, sf):
     d = _docs(spark, sf)
-    t = d.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("pos", "tok"))
-    dic = spark.createDataFrame(list(DICT.items()), "k string, v string")
-    j = t.join(F.broadcast(dic), t.tok == dic.k, "left").select("doc_id", "pos", F.coalesce("v", "tok").alias("tok"))
-    return rebuild_tokens(j, ["doc_id"], "pos", "tok", "text")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    # a small map is looked up in the row; a large one would be a join of word types
+    dic = F.create_map(*[F.lit(x) for kv in DICT.items() for x in kv])
+    said = F.transform(words, lambda w: F.coalesce(F.try_element_at(dic, w), w))
+    return d.select("doc_id", F.array_join(said, " ").alias("text"))
 
 
 # ---- punctuation and sentences ------------------------------------------------
