@@ -103,13 +103,22 @@ def _wav_folder(spark, sf):
     return p
 
 
-@register("src_audio_listing")
+WAV_SQL = "concat('spk', clip_id % 4, '/', clip_id, '.wav') AS path"
+
+
+def _in_folder():
+    return F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path")
+
+
+@register("src_audio_listing", oracle(f"SELECT {WAV_SQL}, 44 + 2 * count(*) AS length FROM sig GROUP BY clip_id", "sig"))
 def _src_audio_listing(spark, sf):
-    """Rows-only: recursive WAV listing (file bytes never read)."""
-    return FS.list_audio(spark, _wav_folder(spark, sf)).select("path", "length")
+    """Recursive WAV listing (file bytes never read)."""
+    return FS.list_audio(spark, _wav_folder(spark, sf)).select(_in_folder(), "length")
 
 
-@register("src_audio_probe")
+@register("src_audio_probe", oracle(f"""
+SELECT {WAV_SQL}, 8000 AS sample_rate, count(*) AS n_samples, 1 AS channels, 2 AS sample_width, count(*) / 8000.0 AS seconds FROM sig GROUP BY clip_id""",
+                                    "sig", rnd=("seconds",)))
 def _src_audio_probe(spark, sf):
-    """Rows-only: WAV headers parsed per Arrow batch: rate, samples, seconds."""
-    return FS.probe_audio(spark, _wav_folder(spark, sf)).drop("error")
+    """WAV headers parsed per Arrow batch: rate, samples, channels, seconds."""
+    return FS.probe_audio(spark, _wav_folder(spark, sf)).withColumn("path", _in_folder()).drop("error")

@@ -9,12 +9,12 @@ nothing is collected to the driver.
 from __future__ import annotations
 
 import io
-import os
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,15 +89,19 @@ def write_audio_by_lang(audio: DataFrame, path: str) -> None:
 
 
 def materialize_wavs(clips: DataFrame, folder: str, sr: int, key: str = "clip_id", sub=None) -> None:
-    """Write one WAV file per clip under ``folder`` (a mounted path) from the tasks."""
+    """Write one WAV file per clip under ``folder`` from the tasks, through the
+    file system that the folder's scheme names (shared by all executors). A
+    repeated task writes the same files again."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
+        store, root = fs.FileSystem.from_uri(folder)
+        n, made = 0, set()
         for pdf in it:
             for k, s, d in zip(pdf[key], pdf["samples"], pdf["_dir"]):
-                p = os.path.join(folder, str(d), f"{k}.wav")
-                os.makedirs(os.path.dirname(p), exist_ok=True)
-                with open(p, "wb") as f:
+                if d not in made:
+                    store.create_dir(f"{root}/{d}", recursive=True)
+                    made.add(d)
+                with store.open_output_stream(f"{root}/{d}/{k}.wav") as f:
                     f.write(wav_bytes(s, sr))
                 n += 1
         yield pd.DataFrame({"n": [n]})
