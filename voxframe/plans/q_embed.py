@@ -176,9 +176,11 @@ def text_embedder(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"clip_key": pdf["clip_key"], "embedding": vecs})
 
 
-@register("emb_compute")
+@register("emb_compute", oracle("""
+SELECT concat('clip#', doc_id) AS clip_key, source AS name, CASE WHEN v.clip_key IS NULL THEN 'computed' ELSE 'reused' END AS origin,
+  CAST(coalesce(len(v.embedding), 64) AS BIGINT) AS dim FROM documents d LEFT JOIN dvec v ON v.clip_key = concat('clip#', doc_id)""", "dvec"))
 def _emb_compute(spark, sf):
-    """Rows-only: reuse stored vectors, embed only the gaps with a model in mapInPandas."""
+    """Reuse stored vectors, embed only the gaps with a model in mapInPandas."""
     docs = V.table(spark, sf, "documents").select(F.concat(F.lit("clip#"), "doc_id").alias("clip_key"),
                                                   F.col("source").alias("name"), "text")
     old = V.dvec(spark, sf).select("clip_key", F.col("embedding").alias("old_embedding"))
