@@ -26,10 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path under ``spark.checkpoint.dir``."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/voxframe-llm/{what}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/voxframe-llm/{what}-{uuid.uuid4().hex}"
+    path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -43,7 +43,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suffixdedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    kept = suffixdedup.dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
