@@ -35,8 +35,10 @@ THRESHOLD = 0.5
 #: Share of a paragraph's or template's n-grams (of the smaller) that must agree.
 CONFIRM = 0.5
 
-TRIGGERS = ("licen[sc]|copyright|copyleft|all rights reserved|permission|redistribut|warrant|public domain|spdx|"
-            r"\bmit\b|\bgnu\b|\bgpl|\blgpl|\bagpl|apache|\bbsd\b|mozilla|\bmpl\b|creative commons|\bcc[- ]?(?:by|0)|unlicense")
+#: A paragraph without any of these is unknown. MIT counts in capitals only: in
+#: small letters it is an everyday word of other languages.
+TRIGGERS = ("(?i:licen[sc]|copyright|copyleft|all rights reserved|permission|redistribut|warrant|public domain|spdx|"
+            r"\bgnu\b|\bgpl|\blgpl|\bagpl|apache|\bbsd\b|mozilla|\bmpl\b|creative commons|\bcc[- ]?(?:by|0)|unlicense)|\bMIT\b")
 
 #: Characteristic lines of well-known licences.
 TEMPLATES = {
@@ -178,7 +180,7 @@ def training_rows(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE
     by_hash = F.xxhash64(F.col("doc_id").cast("string"))
     some = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(by_hash, "doc_id").limit(sample_docs)
     ordinary = paragraphs(docs.join(F.broadcast(some), "doc_id", "left_semi"), text)
-    ordinary = ordinary.filter(~F.lower("text").rlike(TRIGGERS)).select(
+    ordinary = ordinary.filter(~F.col("text").rlike(TRIGGERS)).select(
         F.lit(UNKNOWN).alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 4).alias("held"))
     return known.unionByName(ordinary)
 
@@ -262,12 +264,10 @@ def scan(docs: DataFrame, text: str = "text", model: Model | None = None, thresh
     empty result; other columns are not read.
     """
     model = model or train(docs, text)
-    may = paragraphs(docs, text).filter(F.lower("text").rlike(TRIGGERS))
-    may = staged(may.withColumn("words", words_in(F.col("text"))).withColumn("grams", grams_of("words"))
-                 .withColumn("row", F.monotonically_increasing_id()), "licence-paragraphs")
-    # equal paragraphs are scored once
-    distinct = may.select(F.xxhash64("text").alias("h"), "text", "grams").dropDuplicates(["h", "text"])
-    judged = classified(distinct, ["h", "text"], model, threshold).filter(F.col("family") != UNKNOWN)
+    may = paragraphs(docs, text).filter(F.col("text").rlike(TRIGGERS))
+    may = staged(may, "licence-paragraphs")
+    distinct = _with_grams(may.select("text").distinct())  # equal paragraphs are scored once
+    judged = classified(distinct, ["text"], model, threshold).filter(F.col("family") != UNKNOWN)
     t = template_grams(docs.sparkSession).withColumnRenamed("family", "_f")  # one row per family
     j = judged.join(F.broadcast(t), judged["family"] == t["_f"]).withColumn("words", words_in(F.col("text")))
     j = j.withColumn("grams", grams_of("words"))
