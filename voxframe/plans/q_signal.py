@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from voxframe import views as V
