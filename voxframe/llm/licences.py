@@ -259,14 +259,16 @@ def scan(docs: DataFrame, text: str = "text", model: Model | None = None, thresh
     A paragraph is a non-blank line. ``agreement`` is the share of n-grams in
     common with the predicted family's closest template, of the smaller of the
     two sets; from CONFIRM on the prediction is confirmed, below it ``family``
-    is unknown. Paragraphs that are predicted unknown are left out. Null and blank texts have no paragraphs; repeated rows and paragraphs
-    are scored alike and stay as often as they occur; an empty table gives an
-    empty result; other columns are not read.
+    is unknown. Paragraphs that are predicted unknown are left out. Null and
+    blank texts have no paragraphs; repeated rows and paragraphs are scored
+    alike and stay as often as they occur; an empty table gives an empty
+    result; other columns are not read.
     """
     model = model or train(docs, text)
     may = paragraphs(docs, text).filter(F.col("text").rlike(TRIGGERS))
     may = staged(may, "licence-paragraphs")
-    distinct = _with_grams(may.select("text").distinct())  # equal paragraphs are scored once
+    # equal paragraphs are scored once; written, as what explodes n-grams would pull their making into its filter
+    distinct = staged(_with_grams(may.select("text").distinct()).select("text", "grams"), "licence-grams")
     judged = classified(distinct, ["text"], model, threshold).filter(F.col("family") != UNKNOWN)
     t = template_grams(docs.sparkSession).withColumnRenamed("family", "_f")  # one row per family
     j = judged.join(F.broadcast(t), judged["family"] == t["_f"]).withColumn("words", words_in(F.col("text")))
