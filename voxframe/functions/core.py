@@ -56,9 +56,16 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 _SORTED: list[DataFrame] = []
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` kept by the executors for several uses, until ``release_positions``;
+    lost blocks are recomputed."""
+    _SORTED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _SORTED[-1]
+
+
 def release_positions() -> None:
-    """Drop the stored sorts of all positions asked for so far. Call it when the
-    frames built on them have been written."""
+    """Drop all that positions and budgets have stored so far. Call it when the
+    frames built on it have been written."""
     while _SORTED:
         _SORTED.pop().unpersist()
 
@@ -104,8 +111,7 @@ def group_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
     # Both branches below must see the same partitions: range bounds come from
     # a sample seeded by the RDD id, so two separate executions of the sort
     # could cut differently.
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    _SORTED.append(s)
+    s = stored(s)
     stats = s.groupBy("_vf_pid", *keys).agg(F.min("_vf_mid").alias("_vf_first"),
                                             F.count(F.lit(1)).alias("_vf_n"))
     wk = Window.partitionBy(*keys).orderBy("_vf_pid").rowsBetween(Window.unboundedPreceding, -1)

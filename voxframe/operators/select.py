@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import global_position, group_position, group_running_sum, join_same, md5_key
+from voxframe.functions.core import global_position, group_position, group_running_sum, join_same, md5_key, stored
 
 
 def length_flags(df: DataFrame, text_len: str, audio_len: str, min_text: int, max_text: int,
@@ -145,6 +145,7 @@ def cap_hours(df, group: str, order: list, duration: str, target_s: float = 7200
     keys = [group, split]
     x = group_position(x, keys, order, out="_p")
     x = group_running_sum(x, keys, order, duration, out="_in", exclusive=True, pos_col="_p")
+    x = stored(x)  # every split asks for its stops, its rows and its total
     t = F.lit(float(target_s))
     carried = None  # (group, _carry) accepted seconds before the current split
     parts = []
