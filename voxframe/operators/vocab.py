@@ -20,6 +20,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,16 +138,16 @@ def encode_chars_arrow(text: Column, table: np.ndarray) -> Column:
     points, indexed into the table once and cut at the texts' ends."""
     top = len(table)
 
-    @F.pandas_udf("array<long>")
-    def enc(s: pd.Series) -> pd.Series:
-        texts = ["" if t is None else t for t in s]
-        cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    @F.arrow_udf("array<long>")
+    def enc(texts: pa.Array) -> pa.Array:
+        known = texts.fill_null("")
+        cp = np.frombuffer("".join(known.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64)
         ids = np.where(cp < top, table[np.minimum(cp, top - 1)], -1)
-        known = ids >= 0
-        before = np.append(0, np.cumsum(known))
-        ends = before[np.cumsum([len(t) for t in texts])] if texts else []
-        parts = np.split(ids[known], ends)[:len(texts)]
-        return pd.Series([None if t is None else p for t, p in zip(s, parts)], dtype=object)
+        keep = ids >= 0
+        before = np.append(0, np.cumsum(keep))
+        ends = np.append(0, np.cumsum(pc.utf8_length(known).to_numpy(zero_copy_only=False)))
+        offsets = pa.array(before[ends].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(ids[keep]), mask=texts.is_null())
 
     return enc(text)
 
