@@ -48,7 +48,7 @@ def split_by_speaker(df: DataFrame, key: str, speaker: str, size: float = 0.01,
     first = (x.groupBy(speaker).agg(F.min(F.struct("_h", key)).alias("_m"))
              .select(F.col(f"_m.{key}").alias(key), F.lit(True).alias("_reserved")))
     x = x.join(first, on=key, how="left")
-    cand = x.where(F.col("_reserved").isNull())
+    cand = x.where(F.col("_reserved").isNull()).select("_h", key)
     cand = global_position(cand, ["_h", key], out="_g").select(key, "_g")
     x = x.join(cand, on=key, how="left")
     return x.withColumn("split", F.when(F.col("_g") <= k, "eval").otherwise("train")).drop("_h", "_g", "_reserved")
