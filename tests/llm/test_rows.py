@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import brute
@@ -217,3 +218,19 @@ def test_licences_held_out_accuracy_and_scan(spark, docs_of):
 def test_templates_hold_trigger_words():
     import re
     assert all(re.search(licences.TRIGGERS, t) for texts in licences.TEMPLATES.values() for t in texts)
+
+
+def test_licences_without_trigger_words_meet_the_model(spark, docs_of):
+    from pyspark.sql import functions as F
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    lines = ["released under mit", "No part of this publication may be reproduced, stored or transmitted",
+             "Die Lizenz dieses Textes ist frei", "to deal in the Software without restriction, including without limitation the rights",
+             "free and unencumbered software released to all", "part of the project, all free", "all all all 2 1 2 or later"]
+    df = docs_of(list(enumerate([*given, *lines])))
+    model = licences.train(df)
+    every = licences.paragraphs(df).select("text").distinct()
+    grams = licences.staged(licences._with_grams(every).select("text", "grams"), "test-grams")
+    ungated = licences.classified(grams, ["text"], model).filter(F.col("family") != "unknown")
+    want = {(r.text, r.family, round(r.chance, 9)) for r in ungated.collect()}
+    got = {(r.text, r.predicted, round(r.chance, 9)) for r in licences.scan(df, model=model).collect()}
+    assert got == want and any(not re.search(licences.TRIGGERS, t) for t, _, _ in got)

@@ -8,9 +8,10 @@ temperature, fitted on held-out rows; the unknown class wins where no family
 reaches a calibrated THRESHOLD. A prediction is confirmed by comparing the
 paragraph's n-grams with the family's templates.
 
-Scoring is relational: a paragraph with a trigger word gives its n-grams, they
-meet the weights in a join, and the sums per paragraph are the scores. All
-templates contain a trigger word; a paragraph without any is unknown.
+Scoring is relational: a paragraph gives its n-grams, they meet the weights in
+a join, and the sums per paragraph are the scores. Paragraphs whose words bound
+every family's score below that of the unknown class (``may_score``) are left
+out before: the model itself would call them unknown.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ THRESHOLD = 0.5
 #: Share of a paragraph's or template's n-grams (of the smaller) that must agree.
 CONFIRM = 0.5
 
-#: A paragraph without any of these is unknown. MIT counts in capitals only: in
-#: small letters it is an everyday word of other languages.
+#: Sampled paragraphs with any of these are no examples of ordinary text (training
+#: only). MIT counts in capitals only: in small letters it is an everyday word of
+#: other languages.
 TRIGGERS = ("(?i:licen[sc]|copyright|copyleft|all rights reserved|permission|redistribut|warrant|public domain|spdx|"
             r"\bgnu\b|\bgpl|\blgpl|\bagpl|apache|\bbsd\b|mozilla|\bmpl\b|creative commons|\bcc[- ]?(?:by|0)|unlicense)|\bMIT\b")
 
@@ -188,8 +190,9 @@ def training_rows(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE
 class Model:
     """Weights (n-gram -> one number a class), intercepts and temperature."""
 
-    def __init__(self, classes: list[str], weights: DataFrame, intercepts: list[float], temperature: float):
-        self.classes, self.weights = classes, weights
+    def __init__(self, classes: list[str], used: list[tuple[str, list[float]]], weights: DataFrame,
+                 intercepts: list[float], temperature: float):
+        self.classes, self.used, self.weights = classes, used, weights
         self.intercepts, self.temperature = intercepts, temperature
 
 
@@ -206,7 +209,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, v
     matrix = fitted.coefficientMatrix.toArray()
     used = [(t, [float(v) for v in matrix[:, i]]) for i, t in enumerate(terms.vocabulary) if matrix[:, i].any()]
     weights = staged(spark.createDataFrame(used, "gram string, w array<double>"), "licence-weights")
-    model = Model(classes, weights, [float(v) for v in fitted.interceptVector.toArray()], 1.0)
+    model = Model(classes, used, weights, [float(v) for v in fitted.interceptVector.toArray()], 1.0)
     model.temperature = _temperature(held, model)
     return model
 
@@ -246,6 +249,35 @@ def classified(rows: DataFrame, keys: list[str], model: Model, threshold: float
     return x.select(*keys, family.alias("family"), F.col("best").alias("chance"))
 
 
+def may_score(text: Column, model: Model) -> Column:
+    """Whether the model could choose a family for a paragraph; false is a proof
+    that it is unknown.
+
+    A family is chosen only if its score is not below that of the unknown class:
+    the weights of its n-grams, less those for unknown, must make up for the gap
+    of the intercepts. Single words count exactly; a longer n-gram that lifts the
+    family counts at one of its words, which is there whenever the n-gram is, and
+    one that lowers it not at all. The sum over a paragraph's words is thus never
+    below what the family gains.
+    """
+    u = model.classes.index(UNKNOWN)
+    others = [i for i in range(len(model.classes)) if i != u]
+    gaps = [model.intercepts[i] - model.intercepts[u] for i in others]
+    caps: dict[str, list[float]] = {}
+    for gram, w in model.used:
+        words = gram.split(" ")
+        lifts = [w[i] - w[u] if len(words) == 1 else max(0.0, w[i] - w[u]) for i in others]
+        if any(lifts):
+            word = max(words, key=lambda x: (len(x), x))
+            caps[word] = [a + b for a, b in zip(caps.get(word, [0.0] * len(others)), lifts, strict=True)]
+    if not caps:
+        return F.lit(max(gaps) >= 0)
+    cap = F.create_map(*[F.lit(v) for item in caps.items() for v in item])
+    there = F.array_intersect(words_in(text), F.lit(list(caps)))
+    sums = F.aggregate(there, F.lit(gaps), lambda a, w: F.zip_with(a, F.element_at(cap, w), lambda x, y: x + y))
+    return F.exists(sums, lambda v: v >= -1e-6)
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
     lines = [(family, t) for family, texts in TEMPLATES.items() for t in texts]
     rows = _with_grams(spark.createDataFrame(lines, "family string, text string"))
@@ -265,7 +297,7 @@ def scan(docs: DataFrame, text: str = "text", model: Model | None = None, thresh
     result; other columns are not read.
     """
     model = model or train(docs, text)
-    may = paragraphs(docs, text).filter(F.col("text").rlike(TRIGGERS))
+    may = paragraphs(docs, text).filter(may_score(F.col("text"), model))
     may = staged(may, "licence-paragraphs")
     # equal paragraphs are scored once; written, as what explodes n-grams would pull their making into its filter
     distinct = staged(_with_grams(may.select("text").distinct()).select("text", "grams"), "licence-grams")
