@@ -92,6 +92,24 @@ def test_pii_added_spans(docs_of):
     assert got[2] == got[4] == got[6] == []
 
 
+def test_pii_context_of_lists(docs_of):
+    texts = ["SSN: 123-45-6789, 234-56-7890, 345-67-8901, 456-78-9012, 567-89-0123", "Tel. 030 555-0199, 040 555-0177",
+             "030 555-0199, 040 555-0177 are phone numbers", "123-45-6789 234-56-7890 345-67-8901 ssn",
+             "+1 2+1 2+1 2+1 2+1 2+1 2+1 2+1 2 call", "fax" + "+1 2" * 9 + " 030 555-0199", "fax" + "+1 2" * 10 + " 030 555-0199",
+             "ssn " + "é𝒳" * 18 + " 123-45-6789", "ssn " + "é𝒳" * 17 + " 123-45-6789 " + "x" * 30 + " 234-56-7890"]
+    for r in pii.find_pii(docs_of(list(enumerate(texts)))).collect():
+        t = texts[r.doc_id]
+        near = lambda k, s, e: re.search(pii.CONTEXT[k], t[max(0, s - 40):s].lower()) or re.search(pii.CONTEXT[k], t[e:e + 40].lower())
+        assert all(s.score == pii.SCORES[s.kind] + 30 * bool(near(s.kind, s.start, s.end)) for s in r.spans)
+        base = [(s, e) for _, s, e in brute.base_pii(t)]
+        want = [(k, *m.span()) for k in ("ssn", "call") for m in re.finditer(pii.EXTRA[k][0], t)
+                if near(k, *m.span()) and (k == "ssn" or 7 <= len(re.sub("[^0-9]", "", m[0])) <= 15)
+                and not any(s < m.end() and m.start() < e for s, e in base)]
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in ("ssn", "call")] == want
+        assert r.doc_id != 0 or len(want) >= 3
+        assert r.doc_id != 1 or len(want) == 2
+
+
 def mix_docs():
     docs, i = [(0, None, "b"), (1, "", "a"), (2, "w " * 4000, "huge"), (None, "x y", "b"), (None, "x y", "b")], 3
     for s, n in (("a", 40), ("b", 7), ("c", 3), (None, 5), ("d", 200), ("é", 2)):

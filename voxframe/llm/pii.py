@@ -62,6 +62,10 @@ _SPAN = "array<struct<start:bigint,m:string,pre:string,post:string>>"
 #: Matches whose offsets are added up in one go; a text's matches are taken in
 #: blocks of so many, which keeps long lists of matches near linear.
 BLOCK = 256
+#: The least length of a match of any pattern; as many matches as fill a WINDOW
+#: on one side are looked at.
+SHORTEST = 4
+NEAR = WINDOW // SHORTEST
 
 
 def _steps(text: str, pattern: str, needs: str) -> Column:
@@ -95,6 +99,23 @@ def _spans(steps: str) -> Column:
     return F.when(n > 0, F.flatten(F.transform(blocks, block))).otherwise(F.array().cast(_SPAN))
 
 
+def _surrounded(steps: str) -> Column:
+    """Steps whose ``pre`` and ``post`` reach WINDOW code points into the text.
+
+    A shorter gap to the neighbouring match is followed by that match and the
+    gap beyond it, and so on; ``pre`` and ``post`` as given are whole gaps then.
+    """
+    def one(s: Column, i: Column) -> Column:
+        ahead = F.slice(steps, F.greatest(i - (NEAR - 1), F.lit(1)), F.least(i, F.lit(NEAR)))
+        pre = F.array_join(F.transform(ahead, lambda a: F.concat(a["pre"], a["m"])), "")
+        post = F.array_join(F.transform(F.slice(steps, i + 2, NEAR), lambda b: F.concat(b["m"], b["post"])), "")
+        return F.struct(s["gap"].alias("gap"), s["m"].alias("m"),
+                        F.right(F.concat(pre, s["pre"]), F.lit(WINDOW)).alias("pre"),
+                        F.left(F.concat(s["post"], post), F.lit(WINDOW)).alias("post"))
+
+    return F.transform(steps, one)
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of at most 20 digits has a valid Luhn check digit."""
     d = F.lpad(digits, 20, "0")
@@ -138,12 +159,15 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     Kinds come as listed in KINDS, each by start; ends are exclusive, offsets
     are code points of the whole text. Base spans need their check only; other
     spans need a check, a score of THRESHOLD and no overlap with a base span.
+    Context is the WINDOW code points of the text before and behind a match,
+    other matches included.
     Null and empty texts have no spans. Repeated rows are each looked at;
     other columns of ``docs`` are not read.
     """
     patterns = {**BASE, **EXTRA}
     x = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     x = x.select(key, *[_steps("_text", p, needs).alias(f"_s_{k}") for k, (p, needs) in patterns.items()])
+    x = x.select(key, *[_surrounded(f"_s_{k}").alias(f"_s_{k}") for k in patterns])
     x = x.select(key, *[_spans(f"_s_{k}").alias(f"_m_{k}") for k in patterns])
     typed = "array<struct<kind:string,start:bigint,end:bigint,score:int>>"
 
