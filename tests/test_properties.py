@@ -213,3 +213,20 @@ def test_large_character_vocabulary_round_trip(spark):
     assert back == {1: text, 2: "", 3: "", 4: None}
     joined = {r.id: list(r.ids) for r in VC.encode_chars_join(df.where("id < 4"), "id", "text", vocab).collect()}
     assert joined == {r.id: list(r.ids) for r in enc.where("id < 4").collect()}
+
+
+def test_bpe_takes_the_null_language(spark):
+    rows = [(1, "en", "abab abc"), (2, None, "xyxy xyz xyxy"), (3, None, "zzxy"), (4, "en", "abab")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for limit in (100, 0):
+        got = {}
+        wc = VC.word_counts(df, "text", ["lang"])
+        for r in VC.bpe_train_to_size(wc, "lang", 6, max_types=limit).orderBy("rank").collect():
+            got.setdefault(r.lang, []).append((r.left, r.right))
+        assert set(got) == {"en", None}
+        counts = {r.word: r.n for r in wc.where("lang IS NULL").collect()}
+        want, words = _python_bpe(counts, 6 - 1 - len(set("".join(counts))))
+        assert got[None] == want
+    enc = VC.bpe_encode(df, "doc_id", "text", got, "lang").collect()
+    assert {r.doc_id for r in enc} == {1, 2, 3, 4}
+    assert all("".join(r.pieces) == r.word for r in enc)

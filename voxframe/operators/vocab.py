@@ -317,7 +317,8 @@ def bpe_train_to_size(words: DataFrame, key: str, vocab_size: int = 500, special
     """Merges per ``key`` (language) until special tokens, characters and merges
     make ``vocab_size`` tokens: ``key, rank, left, right, n``.
 
-    Training needs the distinct word types of a language, not its text. Their
+    The null language is one of them. Training needs the distinct word types of
+    a language, not its text. Their
     number is checked: up to ``max_types`` a language is one task (all at the
     same time); a larger one goes through ``bpe_train``, a distributed
     aggregation per merge.
@@ -326,12 +327,13 @@ def bpe_train_to_size(words: DataFrame, key: str, vocab_size: int = 500, special
     schema = f"{key} {kind}, rank long, left string, right string, n long"
     alphabet = words.select(key, F.explode(symbols(F.col("word"))).alias("c")).groupBy(key).agg(
         F.countDistinct("c").alias("chars"))
-    sizes = alphabet.join(words.groupBy(key).agg(F.count(F.lit(1)).alias("types")), key).collect()  # a row per language
+    types = words.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("types"))
+    sizes = alphabet.join(types, F.col(key).eqNullSafe(F.col("_key"))).collect()  # a row per language
     large = [r[key] for r in sizes if r["types"] > max_types]
     chars_of = {r[key]: r["chars"] for r in sizes}
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[key].iloc[0]
+        name = None if pd.isna(pdf[key].iloc[0]) else pdf[key].iloc[0]
         pairs = _Pairs(pdf["word"].tolist(), pdf["n"].tolist())
         rows = []
         for rank in range(max(0, vocab_size - specials - chars_of[name])):
@@ -341,12 +343,14 @@ def bpe_train_to_size(words: DataFrame, key: str, vocab_size: int = 500, special
             rows.append((name, rank, *top[0], top[1]))
         return pd.DataFrame(rows, columns=[key, "rank", "left", "right", "n"])
 
-    some = words.where(~F.col(key).isin(large)) if large else words
-    out = some.where(F.col(key).isNotNull()).groupBy(key).applyInPandas(train, schema)
+    some = words
+    for name in large:
+        some = some.where(~F.col(key).eqNullSafe(F.lit(name)))
+    out = some.groupBy(key).applyInPandas(train, schema)
     for name in large:
         n = max(0, vocab_size - specials - chars_of[name])
-        merges = bpe_train(words.sparkSession, words.where(F.col(key) == name), n)
-        out = out.unionByName(merges.withColumn(key, F.lit(name)))
+        merges = bpe_train(words.sparkSession, words.where(F.col(key).eqNullSafe(F.lit(name))), n)
+        out = out.unionByName(merges.withColumn(key, F.lit(name).cast(kind)))
     return out
 
 
@@ -449,7 +453,7 @@ def bpe_encode_types(words: DataFrame, merges: dict[str | None, list[tuple[str,
         for pdf in it:
             out = pdf[cols].copy()
             names = pdf[key] if key else [None] * len(pdf)
-            out["pieces"] = [_encoded(w, rank.get(k, {})) for k, w in zip(names, pdf[word])]
+            out["pieces"] = [_encoded(w, rank.get(None if pd.isna(k) else k, {})) for k, w in zip(names, pdf[word])]
             yield out
 
     return words.select(*cols).mapInPandas(run, f"{schema}, pieces array<string>")
@@ -461,7 +465,9 @@ def bpe_encode(df: DataFrame, key: str, text: str, merges: dict[str | None, list
     back to every occurrence: ``(key, pos, word, pieces)``."""
     toks = df.select(key, lang, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PRETOKEN_RE), 0)).alias("pos", "word"))
     types = bpe_encode_types(toks.select(lang, "word").distinct(), merges, lang)
-    return toks.join(types, [lang, "word"])
+    types = types.withColumnsRenamed({lang: "_lang", "word": "_word"})
+    same = toks[lang].eqNullSafe(types["_lang"]) & (toks["word"] == types["_word"])
+    return toks.join(types, same).drop("_lang", "_word")
 
 
 # parameters of the rule-built syllable table: initials and final -> phone string
