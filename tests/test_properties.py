@@ -230,3 +230,9 @@ def test_bpe_takes_the_null_language(spark):
     enc = VC.bpe_encode(df, "doc_id", "text", got, "lang").collect()
     assert {r.doc_id for r in enc} == {1, 2, 3, 4}
     assert all("".join(r.pieces) == r.word for r in enc)
+
+
+def test_vectors_of_a_name_are_not_collected(spark):
+    from voxframe.plans import load_all
+    plan = load_all()[0]["emb_by_name"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

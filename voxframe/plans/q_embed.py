@@ -62,9 +62,9 @@ def _emb_by_clip(spark, sf):
 @register("emb_by_name", oracle("""
 SELECT name, count(*) AS n_vectors, sum(embedding[1]) AS first_sum FROM dvec GROUP BY name""", "dvec", rnd=("first_sum",)))
 def _emb_by_name(spark, sf):
-    g = V.dvec(spark, sf).groupBy("name").agg(F.collect_list("embedding").alias("vs"))
-    return g.select("name", F.size("vs").cast("long").alias("n_vectors"),
-                    F.aggregate(F.transform("vs", lambda v: F.element_at(v, 1)), F.lit(0.0), lambda a, x: a + x).alias("first_sum"))
+    return V.dvec(spark, sf).groupBy("name").agg(
+        F.count("embedding").alias("n_vectors"),
+        F.coalesce(F.sum(F.element_at("embedding", 1)), F.lit(0.0)).alias("first_sum"))
 
 
 @register("emb_mean", oracle(f"""
