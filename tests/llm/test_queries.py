@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_its_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     cols = [d[0] for d in want.description]

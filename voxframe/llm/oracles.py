@@ -97,4 +97,38 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM a
 """
 
-ORACLES = {"op4_mixing": OP4, "op9_chat": OP9, "op10_quality": OP10}
+_ROUND = """
+p{n} AS (SELECT rid, arg_min(c, (far, c)) AS c, min(far) AS far
+         FROM (SELECT v.rid, k.c, sum((v.x - k.x) * (v.x - k.x)) AS far FROM v JOIN k{n} k USING (d) GROUP BY v.rid, k.c)
+         GROUP BY rid)"""
+
+_MOVED = """,
+m{n} AS (SELECT p.c, v.d, sum(v.x) AS s, count(*) AS n FROM p{n} p JOIN v USING (rid) GROUP BY p.c, v.d),
+k{next} AS (SELECT k.c, k.d, CASE WHEN n IS NULL THEN k.x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x
+            FROM k{n} k LEFT JOIN m{n} m ON m.c = k.c AND m.d = k.d),"""
+
+OP11 = """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+           WHERE len(embedding) = 64
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+v AS MATERIALIZED (SELECT rid, d, CAST(floor(256 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS x
+                   FROM (SELECT rid, embedding, unnest(generate_series(1, 64)) AS d FROM e)),
+h AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM e),
+k0 AS (SELECT h.c, v.d, v.x FROM h JOIN v USING (rid) WHERE h.c < 40),""" + "".join(
+    _ROUND.format(n=n) + _MOVED.format(n=n, next=n + 1) for n in range(5)) + _ROUND.format(n=5) + """
+SELECT e.vec_id, CAST(p.c AS INTEGER) AS cluster, CAST(p.far AS BIGINT) AS distance,
+       CAST(sum(p.far) OVER (PARTITION BY p.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(p.far) OVER () AS BIGINT) AS inertia, s.sha AS centroid_sha256
+FROM p5 p JOIN e USING (rid)
+JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS sha FROM k5 GROUP BY c) s USING (c)
+"""
+
+OP12 = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id ASC NULLS LAST)
+"""
+
+ORACLES = {"op4_mixing": OP4, "op9_chat": OP9, "op10_quality": OP10, "op11_centroids": OP11, "op12_exact_dedup": OP12}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import chat, decontam, licences, linededup, mixing, pii, quality, sharding, simhash, suffixdedup
+from voxframe.llm import (centroids, chat, decontam, exactdedup, licences, linededup, mixing, pii, quality, sharding, simhash,
+                          suffixdedup, tokenalign)
 from voxframe.llm.common import table
 from voxframe.llm.oracles import ORACLES
 
@@ -67,9 +68,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table stands for both sides: half of its ids are history, half arrive."""
+    found = exactdedup.dedup(table(spark, sf_dir, "documents"), exactdedup.half())
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_licences, op2_simhash, op3_pii, op4_mixing, op5_sharding, op6_line_dedup, op7_suffix_dedup,
-                            op8_decontam, op9_chat, op10_quality)
+                            op8_decontam, op9_chat, op10_quality, op11_centroids, op12_exact_dedup, op13_token_alignment)
 }
 
 
