@@ -81,12 +81,9 @@ def test_encode_decode_identity_in_vocabulary(spark):
     chars = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyzé"], "char string")
     vocab = VC.build_vocab(chars)
     table = VC.code_point_table(vocab)
-    inv = VC.inverse_lut(vocab)
     df = spark.createDataFrame([("hello world, été!",), ("",)], "t string")
-    r = df.select("t", VC.decode(VC.encode_chars_arrow(F.col("t"), table), inv).alias("d")).collect()
+    r = df.select("t", VC.decode_arrow(VC.encode_chars_arrow(F.col("t"), table), vocab).alias("d")).collect()
     assert [x.d for x in r] == ["hello world, été!", ""]
-    jvm = df.select(VC.decode(VC.encode_chars(F.col("t"), VC.vocab_lut(vocab)), inv).alias("d")).collect()
-    assert [x.d for x in jvm] == [x.d for x in r]
 
 
 def test_quantize_round_trip_within_a_step(spark):
@@ -126,58 +123,6 @@ def test_mel_basis_rows_are_triangles():
     assert np.all(m >= 0) and np.all(m.sum(axis=1) > 0)
 
 
-def _python_bpe(counts, n_merges):
-    words = {w: list(w) for w in counts}
-    merges = []
-    for _ in range(n_merges):
-        pc = {}
-        for w, n in counts.items():
-            s = words[w]
-            for a, b in zip(s, s[1:]):
-                pc[(a, b)] = pc.get((a, b), 0) + n
-        if not pc:
-            break
-        (a, b), _n = sorted(pc.items(), key=lambda kv: (-kv[1], kv[0]))[0]
-        merges.append((a, b))
-        for w in words:
-            s, out, i = words[w], [], 0
-            while i < len(s):
-                if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            words[w] = out
-    return merges, words
-
-
-def test_bpe_train_matches_python(spark):
-    counts = {"lower": 5, "lowest": 2, "newer": 6, "wider": 3, "new": 2, "aaaa": 4}
-    wc = spark.createDataFrame(list(counts.items()), "word string, n long")
-    got = [(r.left, r.right) for r in VC.bpe_train(spark, wc, 6).orderBy("rank").collect()]
-    want, words = _python_bpe(counts, 6)
-    assert got == want
-    enc = {r.word: list(r.pieces) for r in VC.bpe_encode_types(wc, {None: got}).collect()}
-    assert enc == words
-
-
-def test_bpe_to_size_matches_python_for_every_language(spark):
-    rng = np.random.default_rng(3)
-    langs = {}
-    for lang, letters in (("en", "abcd"), ("de", "äßuv"), ("ru", "жшя")):
-        langs[lang] = {"".join(rng.choice(list(letters), size=rng.integers(1, 9))): int(rng.integers(1, 40)) for _ in range(60)}
-    wc = spark.createDataFrame([(k, w, n) for k, c in langs.items() for w, n in c.items()], "lang string, word string, n long")
-    for limit in (2_000_000, 10):
-        got = {}
-        for r in VC.bpe_train_to_size(wc, "lang", 12, max_types=limit).orderBy("rank").collect():
-            got.setdefault(r.lang, []).append((r.left, r.right))
-        enc = {(r.lang, r.word): r.pieces for r in VC.bpe_encode_types(wc, got, "lang").collect()}
-        for k, counts in langs.items():
-            want, words = _python_bpe(counts, 12 - 1 - len(set("".join(counts))))
-            assert got[k] == want and all(enc[(k, w)] == p for w, p in words.items())
-
-
 def test_perfect_subset_batches(spark):
     from voxframe.operators import batch as BT
     u = V.utt(spark, SF_SMALL).select("audio_unique_name", "speaker_name")
@@ -215,23 +160,6 @@ def test_large_character_vocabulary_round_trip(spark):
     assert joined == {r.id: list(r.ids) for r in enc.where("id < 4").collect()}
 
 
-def test_bpe_takes_the_null_language(spark):
-    rows = [(1, "en", "abab abc"), (2, None, "xyxy xyz xyxy"), (3, None, "zzxy"), (4, "en", "abab")]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    for limit in (100, 0):
-        got = {}
-        wc = VC.word_counts(df, "text", ["lang"])
-        for r in VC.bpe_train_to_size(wc, "lang", 6, max_types=limit).orderBy("rank").collect():
-            got.setdefault(r.lang, []).append((r.left, r.right))
-        assert set(got) == {"en", None}
-        counts = {r.word: r.n for r in wc.where("lang IS NULL").collect()}
-        want, words = _python_bpe(counts, 6 - 1 - len(set("".join(counts))))
-        assert got[None] == want
-    enc = VC.bpe_encode(df, "doc_id", "text", got, "lang").collect()
-    assert {r.doc_id for r in enc} == {1, 2, 3, 4}
-    assert all("".join(r.pieces) == r.word for r in enc)
-
-
 def test_vectors_of_a_name_are_not_collected(spark):
     from voxframe.plans import load_all
     plan = load_all()[0]["emb_by_name"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()

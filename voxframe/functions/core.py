@@ -13,13 +13,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.session import ensure_checkpoint_dir
+
 TWO_52 = float(2 ** 52)
 
 
@@ -70,6 +73,22 @@ def release_positions() -> None:
         _SORTED.pop().unpersist()
 
 
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared folder, read back, and where it lies: cuts
+    lineage, survives lost executors, and all uses see the same rows."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/voxframe/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``written`` made, wherever the shared folder is."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     """Null-safe equality on column pairs; an equi-join for Spark."""
     cond = F.lit(True)

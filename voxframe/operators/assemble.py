@@ -53,7 +53,7 @@ def missing_files(df: DataFrame, listing: DataFrame, path: str = "audio_file", l
 def require_audio(df: DataFrame, listing: DataFrame, path: str = "audio_file") -> DataFrame:
     """Pass ``df`` through, failing the job if any file is missing."""
     n_missing = missing_files(df, listing, path).agg(F.count(F.lit(1))).scalar()
-    return df.withColumn("_chk", F.assert_true(n_missing == 0, "missing audio files")).drop("_chk")
+    return df.where(F.assert_true(n_missing == 0, "missing audio files").isNull())
 
 
 def field_count_check(lines: DataFrame, line: str, order: str, sep: str = "|") -> DataFrame:

@@ -51,7 +51,7 @@ def union_unique(stores: list[DataFrame], key: str = "clip_key") -> DataFrame:
     for s in stores[1:]:
         u = u.unionByName(s)
     dups = u.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1))).scalar()
-    return u.withColumn("_chk", F.assert_true(dups == 0, "duplicate embedding keys")).drop("_chk")
+    return u.where(F.assert_true(dups == 0, "duplicate embedding keys").isNull())
 
 
 def summary(store: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def centroid_accuracy(cos: DataFrame) -> DataFrame:
         F.avg((F.col("pred") == F.col("name")).cast("double")).alias("accuracy"))
     macro = per.agg(F.avg("accuracy").alias("accuracy")).select(F.lit(None).cast("string").alias("class"), "accuracy")
     out = per.unionByName(macro)
-    return out.withColumn("_chk", F.assert_true(nulls == 0, "null class label")).drop("_chk")
+    return out.where(F.assert_true(nulls == 0, "null class label").isNull())
 
 
 def nearest_code(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id", max_codes: int = 1 << 20, tile: int = 1024) -> DataFrame:

@@ -2,13 +2,8 @@
 
 * Character sets are found with ``array_distinct`` per text, then a hash
   distinct: each task ships only its own distinct characters.
-* Encoding uses a literal ``map`` when the vocabulary is small (checked: at
-  most ``MAP_LIMIT`` symbols, collected once like a config), so ids are
-  computed inside one projection; larger vocabularies use the
-  explode / broadcast-join / ordered-rebuild form.
-* BPE training is one Spark aggregation per merge over *distinct word types*
-  (not over the corpus), with the rewritten word table checkpointed to the
-  cluster's shared checkpoint folder every few merges.
+* Encoding indexes a table of code points with whole Arrow batches.
+* BPE works on *distinct word types*, not over the corpus (training: ``bpe``).
 * Lexicon lookups are joins on ``(language, word)`` against the lexicon
   table, never Python dictionaries.
 """
@@ -22,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.core import global_position, rebuild_tokens
@@ -64,7 +59,7 @@ def unique_single_language(df: DataFrame, symbols: str, lang: str) -> DataFrame:
     """Distinct symbols of a one-language corpus; more languages fail the job."""
     n_lang = df.agg(F.count_distinct(lang)).scalar()
     u = df.select(F.explode(F.array_distinct(chars(F.col(symbols)))).alias("symbol")).distinct()
-    return u.withColumn("_chk", F.assert_true(n_lang <= 1, "phonemes of more than one language")).drop("_chk")
+    return u.where(F.assert_true(n_lang <= 1, "phonemes of more than one language").isNull())
 
 
 def build_vocab(characters: DataFrame, char_col: str = "char", punctuations: str = PUNCTUATIONS,
@@ -92,37 +87,6 @@ def oov(df: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     return c.groupBy("char").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocab_map(vocab: DataFrame, key: str = "token", value: str = "id") -> Column:
-    """A literal map column from a small vocabulary (size checked first)."""
-    n = vocab.count()
-    if n > MAP_LIMIT:
-        raise ValueError(f"vocabulary of {n} symbols: use encode_chars_join")
-    rows = vocab.select(key, value).limit(MAP_LIMIT + 1).collect()
-    return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
-
-
-def vocab_lut(vocab: DataFrame, max_code_point: int = 1 << 17) -> Column:
-    """Code point -> id as a literal array (O(1) per character, unlike a map
-    lookup). Only single-character symbols are encodable from text."""
-    n = vocab.count()
-    if n > MAP_LIMIT:
-        raise ValueError(f"vocabulary of {n} symbols: use encode_chars_join")
-    rows = [(r["token"], r["id"]) for r in vocab.select("token", "id").collect() if len(r["token"]) == 1]
-    top = max((ord(t) for t, _ in rows), default=0)
-    if top >= max_code_point:
-        raise ValueError("code point outside the lookup range")
-    table = [None] * (top + 1)
-    for t, i in rows:
-        table[ord(t)] = i
-    return F.array(*[F.lit(v).cast("long") for v in table])
-
-
-def encode_chars(text: Column, lut: Column) -> Column:
-    """text -> ids with the JVM lookup array; characters outside the vocabulary are dropped."""
-    ids = F.transform(chars(text), lambda ch: F.try_element_at(lut, F.ascii(ch) + 1))
-    return F.filter(ids, lambda i: i.isNotNull())
-
-
 def code_point_table(vocab: DataFrame) -> np.ndarray:
     """Code point -> id (``-1`` = not in the vocabulary) for the Arrow encoder."""
     single = vocab.where(F.length("token") == 1).select("token", "id")  # at most one per code point
@@ -163,18 +127,6 @@ def encode_chars_join(df: DataFrame, key: str, text: str, vocab: DataFrame, out:
         out, F.coalesce(F.col(out), F.array().cast(ids.schema[out].dataType)))
 
 
-def inverse_lut(vocab: DataFrame) -> Column:
-    """id -> token as a literal array (ids are dense 0..n-1)."""
-    rows = dict(vocab.select("id", "token").limit(MAP_LIMIT + 1).collect())
-    if len(rows) > MAP_LIMIT:
-        raise ValueError(f"vocabulary above {MAP_LIMIT} symbols: use decode_arrow")
-    return F.array(*[F.lit(rows.get(i)) for i in range(max(rows) + 1)])
-
-
-def decode(ids: Column, inv: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.try_element_at(inv, (i + 1).cast("int"))), "")
-
-
 def decode_arrow(ids: Column, vocab: DataFrame) -> Column:
     """ids -> text per Arrow batch, for vocabularies of any size; ids outside are dropped."""
     rows = {r["id"]: r["token"] for r in vocab.select("id", "token").limit(CODE_POINTS).collect()}
@@ -230,74 +182,6 @@ def pair_counts(words: DataFrame, syms: str = "symbols", n: str = "n", keys: Seq
     return x.groupBy(*keys, "left", "right").agg(F.sum("_n").alias("n"))
 
 
-def apply_merge(syms: Column, left: str, right: str) -> Column:
-    """Merge every non-overlapping ``left right`` pair, left to right."""
-    init = F.struct(F.array().cast("array<string>").alias("a"), F.lit(False).alias("m"))
-
-    def step(acc, s):
-        last = F.try_element_at(acc["a"], F.lit(-1))
-        hit = (~acc["m"]) & (F.size(acc["a"]) > 0) & (last == F.lit(left)) & (s == F.lit(right))
-        merged = F.concat(F.slice(acc["a"], 1, F.size(acc["a"]) - 1), F.array(F.concat(last, s)))
-        return F.when(hit, F.struct(merged.alias("a"), F.lit(True).alias("m"))).otherwise(
-            F.struct(F.concat(acc["a"], F.array(s)).alias("a"), F.lit(False).alias("m")))
-
-    return F.aggregate(syms, init, step)["a"]
-
-
-def bpe_train(spark: SparkSession, words: DataFrame, num_merges: int, word: str = "word", n: str = "n",
-              checkpoint_every: int = 4) -> DataFrame:
-    """Learn ``num_merges`` merges (ties: count desc, then pair asc).
-
-    Works on the distinct word types with their counts. Each merge is one
-    distributed aggregation; only the winning pair (one row) reaches the
-    driver. The rewritten word table is checkpointed to the shared folder
-    every ``checkpoint_every`` merges to keep lineage short.
-    """
-    wt = words.select(F.col(word), F.col(n).alias("n"), symbols(F.col(word)).alias("symbols")).where(F.size("symbols") > 1)
-    merges = []
-    for r in range(num_merges):
-        top = (pair_counts(wt).orderBy(F.col("n").desc(), "left", "right").limit(1).collect())
-        if not top or top[0]["n"] is None:
-            break
-        a, b, cnt = top[0]["left"], top[0]["right"], top[0]["n"]
-        merges.append((r, a, b, int(cnt)))
-        wt = wt.withColumn("symbols", apply_merge(F.col("symbols"), a, b))
-        if (r + 1) % checkpoint_every == 0:
-            wt = wt.checkpoint(eager=True)
-    return spark.createDataFrame(merges, "rank long, left string, right string, n long")
-
-
-class _Pairs:
-    """Adjacent symbol pairs of word types with their counts, kept up to date
-    merge by merge: only the words that hold the merged pair are touched."""
-
-    def __init__(self, words: list[str], counts: list[int]):
-        self.words, self.counts = [list(w) for w in words], counts
-        self.total: dict[tuple[str, str], int] = {}
-        self.where: dict[tuple[str, str], set[int]] = {}
-        for i in range(len(words)):
-            self._count(i, 1)
-
-    def _count(self, i: int, sign: int) -> None:
-        w = self.words[i]
-        for pair in zip(w, w[1:]):
-            self.total[pair] = self.total.get(pair, 0) + sign * self.counts[i]
-            if sign > 0:
-                self.where.setdefault(pair, set()).add(i)
-
-    def best(self) -> tuple[tuple[str, str], int] | None:
-        """The most frequent pair, the least one among equals."""
-        top = min(((-n, pair) for pair, n in self.total.items() if n > 0), default=None)
-        return (top[1], -top[0]) if top else None
-
-    def merge(self, pair: tuple[str, str]) -> None:
-        for i in self.where.pop(pair):
-            self._count(i, -1)
-            self.words[i] = merged_symbols(self.words[i], pair)
-            self._count(i, 1)
-        self.total.pop(pair, None)
-
-
 def merged_symbols(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     """Every non-overlapping ``pair`` made one symbol, from the left."""
     out: list[str] = []
@@ -312,61 +196,27 @@ def merged_symbols(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
-def bpe_train_to_size(words: DataFrame, key: str, vocab_size: int = 500, specials: int = 1,
-                      max_types: int = 2_000_000) -> DataFrame:
-    """Merges per ``key`` (language) until special tokens, characters and merges
-    make ``vocab_size`` tokens: ``key, rank, left, right, n``.
-
-    The null language is one of them. Training needs the distinct word types of
-    a language, not its text. Their
-    number is checked: up to ``max_types`` a language is one task (all at the
-    same time); a larger one goes through ``bpe_train``, a distributed
-    aggregation per merge.
-    """
-    kind = words.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, rank long, left string, right string, n long"
-    alphabet = words.select(key, F.explode(symbols(F.col("word"))).alias("c")).groupBy(key).agg(
-        F.countDistinct("c").alias("chars"))
-    types = words.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("types"))
-    sizes = alphabet.join(types, F.col(key).eqNullSafe(F.col("_key"))).collect()  # a row per language
-    large = [r[key] for r in sizes if r["types"] > max_types]
-    chars_of = {r[key]: r["chars"] for r in sizes}
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = None if pd.isna(pdf[key].iloc[0]) else pdf[key].iloc[0]
-        pairs = _Pairs(pdf["word"].tolist(), pdf["n"].tolist())
-        rows = []
-        for rank in range(max(0, vocab_size - specials - chars_of[name])):
-            if (top := pairs.best()) is None:
-                break
-            pairs.merge(top[0])
-            rows.append((name, rank, *top[0], top[1]))
-        return pd.DataFrame(rows, columns=[key, "rank", "left", "right", "n"])
-
-    some = words
-    for name in large:
-        some = some.where(~F.col(key).eqNullSafe(F.lit(name)))
-    out = some.groupBy(key).applyInPandas(train, schema)
-    for name in large:
-        n = max(0, vocab_size - specials - chars_of[name])
-        merges = bpe_train(words.sparkSession, words.where(F.col(key).eqNullSafe(F.lit(name))), n)
-        out = out.unionByName(merges.withColumn(key, F.lit(name).cast(kind)))
-    return out
-
+def build_vocabs(characters: DataFrame, key: str, char_col: str, keys: DataFrame, punctuations: str = PUNCTUATIONS,
+                 specials: Sequence[str] = (PAD, EOS, BOS, BLANK)) -> DataFrame:
+    """``key, token, id`` of one vocabulary per row of ``keys`` (null is one):
+    specials, then its sorted distinct characters, then punctuation. A window
+    holds the characters of one language, bounded by Unicode."""
+    def fixed(part: int, tokens: Sequence[str]) -> DataFrame:
+        return keys.select(key, F.lit(part).alias("part"), F.posexplode(F.array(*map(F.lit, tokens))).alias("at", "token"))
 
-def merge_vocab(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old ids kept; tokens only in ``new`` appended after, in their new-id order."""
-    base = old.agg(F.max("id")).scalar()
-    add = new.join(old.select("token"), on="token", how="left_anti")
-    add = global_position(add, ["id"], out="_r")
-    return old.select("token", "id").unionByName(add.select("token", (base + F.col("_r")).cast("long").alias("id")))
+    c = characters.select(key, F.col(char_col).alias("token")).distinct()
+    order = Window.partitionBy(key)
+    parts = c.select(key, F.lit(1).alias("part"), F.row_number().over(order.orderBy("token")).alias("at"), "token").unionByName(
+        fixed(0, list(specials))).unionByName(fixed(2, list(dict.fromkeys(punctuations))))
+    return parts.select(key, "token", (F.row_number().over(order.orderBy("part", "at")) - 1).cast("long").alias("id"))
 
 
-def merge_rules(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old merges then new merges (duplicates kept, as the reference)."""
-    off = old.agg(F.max("rank") + 1).scalar()
-    return old.select("rank", "left", "right").unionByName(
-        new.select((F.col("rank") + off).alias("rank"), "left", "right"))
+def merge_vocabs(vocabs: DataFrame, key: str) -> DataFrame:
+    """One vocabulary of many: the first one (by ``key``, null last) keeps its
+    ids, each next one appends the tokens that are new, in its own order."""
+    first = vocabs.groupBy("token").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "id")).alias("at"))
+    x = global_position(first.select("token", "at.none", "at.k", F.col("at.id").alias("own")), ["none", "k", "own", "token"], out="pos")
+    return x.select("token", (F.col("pos") - 1).alias("id"))
 
 
 def add_special(vocab: DataFrame, token: str) -> DataFrame:
@@ -381,41 +231,63 @@ def add_special(vocab: DataFrame, token: str) -> DataFrame:
 # ---------------------------------------------------------------- lexicons
 
 def parse_lexicon(lines: DataFrame, line: str, valid_symbols: DataFrame, order: str,
-                  max_symbols: int = MAP_LIMIT) -> DataFrame:
-    """``WORD  PH PH`` lines -> ``(word, prons)`` in line order. ``WORD(n)``
+                  max_symbols: int = MAP_LIMIT, keys: Sequence[str] = ()) -> DataFrame:
+    """``WORD  PH PH`` lines -> ``(keys, word, prons)`` in line order. ``WORD(n)``
     variants group under ``WORD``; a pronunciation with any symbol outside
-    ``valid_symbols`` is dropped. The symbol inventory is small (checked) and
-    becomes one anchored regex, so validity is a per-line test, not a join."""
-    import re as _re
+    ``valid_symbols`` is dropped. The symbol inventory is small (checked), so
+    validity is a test of the line's symbols against a literal list, not a join."""
     syms = [r[0] for r in valid_symbols.select("symbol").distinct().limit(max_symbols + 1).collect()]
     if len(syms) > max_symbols:
         raise ValueError("symbol inventory too large")
-    alt = "|".join(_re.escape(x) for x in sorted(syms, key=lambda v: (-len(v), v)))
-    valid_re = f"^(?:{alt})(?: (?:{alt}))*$"
     x = lines.where(F.col(line).rlike("^[A-Z']")).select(
-        order, F.regexp_replace(F.split_part(F.col(line), F.lit("  "), F.lit(1)), "\\([0-9]+\\)", "").alias("word"),
+        *keys, order, F.regexp_replace(F.split_part(F.col(line), F.lit("  "), F.lit(1)), "\\([0-9]+\\)", "").alias("word"),
         F.trim(F.split_part(F.col(line), F.lit("  "), F.lit(2))).alias("pron"))
-    ok = x.where(F.col("pron").rlike(valid_re))
-    g = ok.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(order, "pron"))).alias("_a"))
-    return g.select("word", F.transform("_a", lambda s: s["pron"]).alias("prons"))
+    ok = x.where(F.forall(F.split("pron", " "), lambda p: p.isin(syms)))
+    g = ok.groupBy(*keys, "word").agg(F.array_sort(F.collect_list(F.struct(order, "pron"))).alias("_a"))
+    return g.select(*keys, "word", F.transform("_a", lambda s: s["pron"]).alias("prons"))
 
 
-def lookup_words(df: DataFrame, key: str, text: str, lexicon: DataFrame, puncs: str = PUNCTUATIONS) -> DataFrame:
+def lookup_words(df: DataFrame, key: str, text: str, lexicon: DataFrame, puncs: str = PUNCTUATIONS,
+                 lang: str | None = None) -> DataFrame:
     """Each space-separated word -> ``{first pronunciation}`` with edge
-    punctuation kept, else the word itself; rebuilt in order."""
+    punctuation kept, else the word itself; rebuilt in order. With ``lang`` the
+    lexicon of a row's language (null is one) is asked."""
     cls = "[" + "".join("\\" + c if c in "\\[]^-" else c for c in puncs) + "]"
-    w = df.select(key, F.posexplode(F.split(F.col(text), " ")).alias("pos", "w"))
+    named = F.col(lang) if lang else F.lit(None).cast("string")
+    w = df.select(key, named.alias("_lang"), F.posexplode(F.split(F.col(text), " ")).alias("pos", "w"))
     w = w.withColumn("_pre", F.regexp_extract("w", f"^({cls})", 1))
     w = w.withColumn("_rest", F.expr("substring(w, length(_pre) + 1)"))
     w = w.withColumn("_post", F.regexp_extract("_rest", f"({cls})$", 1))
     w = w.withColumn("_core", F.expr("substring(_rest, 1, length(_rest) - length(_post))"))
-    lx = lexicon.select(F.col("word").alias("_u"), F.element_at("prons", 1).alias("_ph"))
-    j = w.join(lx, F.upper(F.col("_core")) == F.col("_u"), "left")
+    lx = lexicon.select(named.alias("_of"), F.col("word").alias("_u"), F.element_at("prons", 1).alias("_ph"))
+    j = w.join(lx, (F.upper(F.col("_core")) == F.col("_u")) & F.col("_lang").eqNullSafe(F.col("_of")), "left")
     tok = F.concat("_pre", F.when(F.col("_ph").isNotNull(), F.concat(F.lit("{"), "_ph", F.lit("}"))).otherwise(F.col("_core")),
                    "_post")
     return rebuild_tokens(j.select(key, "pos", tok.alias("tok")), [key], "pos", "tok", "text")
 
 
+def route_words(words: DataFrame, lang: str, word: str, lexicon: DataFrame, lex_lang: str, lex_word: str) -> DataFrame:
+    """Words per language and how many its lexicon knows; a language without a
+    lexicon fails the job."""
+    known = lexicon.select(F.col(lex_lang).alias("_known")).distinct()
+    here = words.select(lang).distinct()
+    unknown = here.join(known, here[lang].eqNullSafe(known["_known"]), "left_anti").agg(F.count(F.lit(1))).scalar()
+    j = words.join(lexicon, words[lang].eqNullSafe(lexicon[lex_lang]) & (F.upper(words[word]) == lexicon[lex_word]), "left")
+    out = j.groupBy(lang).agg(F.count(F.lit(1)).alias("n_words"), F.count(lex_word).alias("n_matched"))
+    return out.where(F.assert_true(unknown == 0, "no lexicon for a row language").isNull())
+
+
+def spoken_from_cache(df: DataFrame, key: str, text: str, cache: DataFrame, lexicon: DataFrame, lang: str | None = None) -> DataFrame:
+    """``key, origin, text``: what ``cache(key, text)`` holds is taken from it
+    (``cached``), only the other rows are looked up (``new``). Rows of the cache
+    that no row asks for stay out."""
+    hits = cache.select(F.col(key).alias("_key"), F.col("text").alias("_text"))
+    found = df.select(key).join(hits, df[key] == hits["_key"]).select(key, F.lit("cached").alias("origin"), F.col("_text").alias("text"))
+    missing = df.join(hits.select("_key"), df[key] == hits["_key"], "left_anti")
+    new = lookup_words(missing, key, text, lexicon, lang=lang).select(key, F.lit("new").alias("origin"), "text")
+    return found.unionByName(new)
+
+
 def greedy_longest(text: Column, rules: dict[str, str]) -> Column:
     """Longest match first (keys sorted by length), unmatched characters kept."""
     keys = sorted(rules, key=lambda k: (-len(k), k))
