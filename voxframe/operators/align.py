@@ -87,8 +87,7 @@ def durations_from_attention(att: DataFrame, n_tokens: int) -> DataFrame:
     d = d.withColumn("dur", F.when(F.col("_rk") <= F.col("_extra"), F.col("dur") - 1).otherwise(F.col("dur")))
     bad = d.groupBy("clip_id", "n_frames").agg(F.sum("dur").alias("s")).where(F.col("s") != F.col("n_frames")) \
         .agg(F.count(F.lit(1))).scalar()
-    return d.select("clip_id", "token", "dur").withColumn("_chk", F.assert_true(bad == 0, "durations do not sum to frames")) \
-        .drop("_chk")
+    return d.select("clip_id", "token", "dur").where(F.assert_true(bad == 0, "durations do not sum to frames").isNull())
 
 
 def round_durations(log_dur: Column, mask: Column | None = None, length_scale: float = 1.0) -> Column:

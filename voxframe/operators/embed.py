@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import global_position, md5_key
+from voxframe.functions.core import global_position, join_same, md5_key
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,8 +32,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
+    """``a`` at unit length; a zero vector stays one."""
     n = norm(a)
-    return F.transform(a, lambda x: x / n)
+    return F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), x))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "clip_key") -> DataFrame:
@@ -88,7 +89,9 @@ def centroid_sums(store: DataFrame) -> DataFrame:
 
 def cosine_matrix(store: DataFrame, batch_names: int = 64, salts: int = 64, floor: float = 1e-6) -> DataFrame:
     """GE2E similarity of every vector with every name's centroid; its own
-    centroid is the mean without the vector itself. Floored at 1e-6.
+    centroid is the mean without the vector itself. Floored at 1e-6, which is
+    also the similarity where there is none: with a zero vector, and of the only
+    vector of a name with its own centroid. Null is a name.
 
     The matrix itself is the result. Centroids lie in blocks of
     ``batch_names``, each block under ``salts`` keys; every vector meets every
@@ -98,30 +101,32 @@ def cosine_matrix(store: DataFrame, batch_names: int = 64, salts: int = 64, floo
     cs = centroid_sums(store)
     at = global_position(cs.select("c_name"), ["c_name"], out="_r").withColumn(
         "batch", F.floor((F.col("_r") - 1) / batch_names).cast("long")).drop("_r")
-    cs = cs.join(at, on="c_name").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cs = join_same(cs, at, ["c_name"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     last = at.agg(F.max("batch")).scalar()
     x = store.withColumn("salt", F.pmod(F.xxhash64("clip_key"), F.lit(salts)).cast("int"))
     x = x.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0).cast("long")))))
     j = x.join(cs, on=["batch", "salt"])
-    own = F.col("c_name") == F.col("name")
-    cent = F.when(own, F.zip_with("c_sum", "embedding", lambda s, v: (s - v) / (F.col("c_n") - 1))) \
+    own = F.col("c_name").eqNullSafe(F.col("name"))
+    cent = F.when(own, F.zip_with("c_sum", "embedding", lambda s, v: F.try_divide(s - v, F.col("c_n") - 1))) \
         .otherwise(F.transform("c_sum", lambda s: s / F.col("c_n")))
     j = j.withColumn("_c", cent)
-    cos = dot(F.col("embedding"), F.col("_c")) / (norm(F.col("embedding")) * norm(F.col("_c")))
+    cos = F.try_divide(dot(F.col("embedding"), F.col("_c")), norm(F.col("embedding")) * norm(F.col("_c")))
     return j.select("clip_key", "name", "c_name", F.greatest(cos, F.lit(floor)).alias("cos"))
 
 
 def ge2e_losses(cos: DataFrame, w: float = 10.0, b: float = -5.0) -> DataFrame:
     """Per vector: softmax loss ``-log softmax(s)[own]`` and contrast loss
-    ``1 - sigmoid(s_own) + max sigmoid(s_other)``, with ``s = w*cos + b``."""
+    ``1 - sigmoid(s_own) + max sigmoid(s_other)``, with ``s = w*cos + b``. A
+    cosine is at most 1, so ``|w| + b`` is the shift that keeps the sum of
+    exponentials in range, and no logits are gathered."""
     s = cos.withColumn("s", F.lit(w) * F.col("cos") + F.lit(b))
-    own = F.col("c_name") == F.col("name")
+    own = F.col("c_name").eqNullSafe(F.col("name"))
+    top = abs(w) + b
     g = s.groupBy("clip_key", "name").agg(
         F.max(F.when(own, F.col("s"))).alias("s_own"),
-        F.max("s").alias("s_max"),
         F.max(F.when(~own, F.col("s"))).alias("s_other_max"),
-        F.collect_list("s").alias("_all"))
-    lse = F.col("s_max") + F.log(F.aggregate("_all", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("s_max"))))
+        F.sum(F.exp(F.col("s") - top)).alias("_sum"))
+    lse = F.lit(top) + F.log("_sum")
     sig = lambda v: 1.0 / (1.0 + F.exp(-v))
     return g.select("clip_key", "name", (lse - F.col("s_own")).alias("softmax_loss"),
                     (1.0 - sig(F.col("s_own")) + sig(F.col("s_other_max"))).alias("contrast_loss"))
@@ -178,5 +183,5 @@ def code_usage(assigned: DataFrame, codebook: DataFrame, hi: float = 0.9, lo: fl
     total = assigned.agg(F.count(F.lit(1))).scalar()
     c = assigned.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     x = codebook.select("code").join(c, on="code", how="left").fillna(0, subset=["n"])
-    share = F.col("n") / total
+    share = F.coalesce(F.try_divide(F.col("n"), total), F.lit(0.0))  # of no vector, no code has a share
     return x.select("code", "n", share.alias("share"), ((share > hi) | (share < lo)).alias("flagged"))

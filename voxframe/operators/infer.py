@@ -57,12 +57,13 @@ def report(results: DataFrame, status: str = "status", proc: str = "proc_s") ->
     ok = F.col(status) == "ok"
     g = results.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(ok, 1)).alias("ok"),
                     F.count(F.when(~ok, 1)).alias("failed"), F.avg(proc).alias("mean_s"), F.sum(proc).alias("_t"))
-    return g.select("total", "ok", "failed", (F.col("ok") * 100.0 / F.col("total")).alias("success_pct"), "mean_s",
-                    (F.col("total") / F.col("_t")).alias("throughput"))
+    return g.select("total", "ok", "failed", F.try_divide(F.col("ok") * 100.0, F.col("total")).alias("success_pct"), "mean_s",
+                    F.try_divide(F.col("total"), F.col("_t")).alias("throughput"))
 
 
 def rtf(df: DataFrame, proc: str, audio: str, keys=()) -> DataFrame:
-    return df.groupBy(*keys).agg((F.sum(proc) / F.sum(audio)).alias("rtf"))
+    """Processing by audio seconds; null where there is no audio."""
+    return df.groupBy(*keys).agg(F.try_divide(F.sum(proc), F.sum(audio)).alias("rtf"))
 
 
 def join_waves(parts: DataFrame, key: str, order: str, samples: str, gap: int = 10000) -> DataFrame:

@@ -59,17 +59,18 @@ def _sig_clip_range(spark, sf):
 
 
 @register("sig_resample", oracle("""
-WITH l AS (SELECT clip_id, count(*) AS n, CASE WHEN clip_id % 2 = 0 THEN 8 ELSE 10 END AS sr FROM sig GROUP BY 1),
-g AS (SELECT clip_id, n, sr, unnest(range(0, CAST(floor((n - 1) * 8.0 / sr) AS BIGINT) + 1)) AS idx FROM l WHERE sr <> 8),
-p AS (SELECT *, idx * sr / 8.0 AS pos, CAST(floor(idx * sr / 8.0) AS BIGINT) AS i0 FROM g),
-q AS (SELECT *, least(i0 + 1, n - 1) AS i1, pos - i0 AS fr FROM p)
-SELECT q.clip_id, q.idx, a.amp + (b.amp - a.amp) * q.fr AS amp FROM q JOIN sig a ON a.clip_id = q.clip_id AND a.idx = q.i0
-  JOIN sig b ON b.clip_id = q.clip_id AND b.idx = q.i1
+WITH l AS (SELECT clip_id, count(*) AS n FROM sig WHERE clip_id % 2 = 1 GROUP BY 1),
+g AS (SELECT clip_id, idx, idx * 10 / 8.0 AS pos FROM (
+  SELECT clip_id, unnest(range(0, CAST(floor((n - 1) * 8.0 / 10) AS BIGINT) + 1)) AS idx FROM l)),
+t AS (SELECT g.clip_id, g.idx, s.amp, s.idx - g.pos AS t FROM g JOIN sig s ON s.clip_id = g.clip_id
+  WHERE abs(s.idx - g.pos) < 40)
+SELECT clip_id, idx, sum(amp * CASE WHEN t = 0 THEN 0.8 ELSE sin(pi() * 0.8 * t) / (pi() * t) END * (0.5 + 0.5 * cos(pi() * t / 40))) AS amp
+FROM t GROUP BY clip_id, idx
 UNION ALL SELECT clip_id, idx, amp FROM sig WHERE clip_id % 2 = 0""", "sig", rnd=("amp",)))
 def _sig_resample(spark, sf):
     s = _sig(spark, sf)
     rates = s.select("clip_id").distinct().withColumn("sr", F.when(F.col("clip_id") % 2 == 0, 8).otherwise(10))
-    return SG.resample_linear(s, rates, 8)
+    return SG.resample(s, rates, 8)
 
 
 @register("sig_preemph", oracle(f"SELECT clip_id, idx, amp - 0.97 * coalesce(lag(amp) {OVO}, 0.0) AS amp FROM sig", "sig", rnd=("amp",)))
@@ -166,7 +167,8 @@ n AS (SELECT clip_id, count(*) AS n FROM sig GROUP BY 1),
 y AS (SELECT s.clip_id, s.idx + h.k AS idx, sum(s.amp * h.h) AS amp FROM sig s, h GROUP BY 1, 2)
 SELECT y.clip_id, y.idx, y.amp FROM y JOIN n USING (clip_id) WHERE y.idx < n.n""", "sig", rnd=("amp",)))
 def _sig_reverb(spark, sf):
-    return SG.reverb(_sig(spark, sf), RIR)
+    s = _sig(spark, sf)
+    return SG.reverb(s, s.select("clip_id").distinct().withColumn("taps", F.array(*map(F.lit, RIR))))
 
 
 N_FFT, HOP, N_MELS = 1024, 256, 80
@@ -215,7 +217,7 @@ MEL = SG.mel_basis(16000, N_FFT, N_MELS)
 WITH {STFT_SQL}, mb AS (SELECT * FROM (VALUES {', '.join(f'({m}, {b}, {w!r})' for m, b, w in SG.mel_rows(MEL))}) t(mel, bin, w))
 SELECT clip_id, frame, mel, sum(value * w) AS value FROM mag JOIN mb USING (bin) GROUP BY 1, 2, 3""", "sig", rnd=("value",)))
 def _frm_mel(spark, sf):
-    return SG.mel_project(_mag(spark, sf), MEL)
+    return SG.mel_spectrogram(_sig(spark, sf), N_FFT, HOP, MEL)
 
 
 @register("frm_db", oracle(f"WITH {STFT_SQL} SELECT clip_id, frame, bin, 20 * log10(greatest(1e-8, value)) AS db FROM mag", "sig",
@@ -284,7 +286,7 @@ SELECT f.clip_id, f.frame, f.bin, f.value / nb.norm AS value FROM frames f JOIN
 def _frm_bin_norm(spark, sf):
     f = V.frames(spark, sf)
     nb = f.groupBy("bin").agg(F.avg(F.abs("value")).alias("norm"))
-    return f.join(F.broadcast(nb), "bin").select("clip_id", "frame", "bin", (F.col("value") / F.col("norm")).alias("value"))
+    return f.join(F.broadcast(nb), "bin").select("clip_id", "frame", "bin", F.coalesce(F.try_divide(F.col("value"), F.col("norm")), F.lit(0.0)).alias("value"))
 
 
 @register("frm_minmax", oracle("""
