@@ -1,13 +1,17 @@
 """Line dedup over content-defined chunks of lines.
 
-Every line is hashed, and a rolling hash over the last WINDOW line hashes ends
-a chunk where it falls into one residue class. Boundaries depend on nearby
-lines only, so a passage is cut the same way wherever it stands, a few lines
-after its start at the latest. Multi-line chunks that occur again, in any
-document, are removed from all but the first one.
-
-Only hashes travel at first; the bytes of a chunk do so when its hash has been
-seen twice, and equality is settled by grouping and joining on those bytes.
+Every line that is not blank is hashed; it bounds chunks unless its hash falls
+into one residue class of DIVISOR. A chunk reaches from one bounding line to the
+next, both included, so neighbouring chunks share a line and each has at least
+two lines with text. Nothing but a line itself decides whether it bounds, so a
+passage is cut the same way wherever it stands, from its first bounding line to
+its last one. Of a passage of three lines all but about one in ninety hold a
+chunk, of longer ones nearly all; a passage loses an outer line where that line
+does not bound, one time in DIVISOR.
+
+Chunks that occur again, in any document, are removed from all but the first
+one. Only hashes travel at first; the bytes of a chunk do so when its hash has
+been seen twice, and equality is settled by grouping and joining on those bytes.
 """
 
 from __future__ import annotations
@@ -22,34 +26,23 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.common import staged
 
-WINDOW = 2
-#: One line in DIVISOR ends a chunk, once that has MIN_LINES lines.
-DIVISOR = 3
-MIN_LINES = 2
-
-
-def boundaries(hashes: np.ndarray, window: int = WINDOW, divisor: int = DIVISOR,
-               min_lines: int = MIN_LINES) -> list[tuple[int, int]]:
-    """(first line, lines) of the chunks of a text with these line hashes."""
-    n = len(hashes)
-    rolled = hashes.copy()
-    for back in range(1, min(window, n)):
-        rolled[back:] = rolled[back:] + hashes[:-back] * np.uint64(pow(0x9E3779B97F4A7C15, back, 1 << 64))
-    rolled ^= rolled >> np.uint64(33)
-    ends = np.flatnonzero(rolled % np.uint64(divisor) == 0) + 1
-    out, start = [], 0
-    for end in (*ends.tolist(), n):
-        if end - start >= min_lines or (end == n and end > start):
-            out.append((start, end - start))
-            start = end
-    return out
+#: One line with text in DIVISOR does not bound a chunk.
+DIVISOR = 16
+BLANKS = b"\x20\x09\x0B\x0C\x0D"
+
+
+def boundaries(lines: list[bytes], divisor: int = DIVISOR) -> list[tuple[int, int]]:
+    """(first line, lines) of the chunks of a text: from each bounding line to the next one."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+    told = np.fromiter((bool(x.strip(BLANKS)) for x in lines), bool, len(lines))
+    at = np.flatnonzero(told & (hashes % np.uint64(divisor) != 0)).tolist()
+    return [(a, b - a + 1) for a, b in zip(at, at[1:], strict=False)]
 
 
 def chunks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(first line, lines, bytes) of the chunks of a text."""
     lines = text.split(b"\n")
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    for first, n in boundaries(hashes):
+    for first, n in boundaries(lines):
         yield first, n, b"\n".join(lines[first:first + n])
 
 
@@ -60,7 +53,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _occurrences(kind: str):
-    """Multi-line chunks: doc_id, tid, first, n, a 128-bit hash, and whether
+    """Chunks: doc_id, tid, first, n, a 128-bit hash, and whether
     the chunk is the first of its kind in its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,8 +61,6 @@ def _occurrences(kind: str):
             for row, text in enumerate(b.column(2).to_pylist()):
                 seen = set()
                 for first, n, body in chunks(text):
-                    if n < MIN_LINES:
-                        continue
                     d = xxhash.xxh3_128_digest(body)
                     rows.append(row)
                     for c, v in zip(cols, (first, n, d[:8], d[8:], d not in seen), strict=True):
@@ -161,9 +152,12 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed_chunks, n_removed_lines, kept_text`` per row.
 
-    Null texts count as empty ones (one empty line); repeated rows are alike
-    and keep what their id keeps; an empty table gives an empty result; other
-    columns are not read.
+    Null texts count as empty ones (one empty line); blank lines bound nothing,
+    but go where they stand inside a removed chunk. Repeated rows are alike
+    and keep what their id keeps; of equal chunks the one of the least id stays,
+    and the first one of that document; rows without id come after all others.
+    Ids may be of any type, texts of any length (a text is one value). An empty
+    table gives an empty result; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     gone = repeated_chunks(docs, text).groupBy(F.col("doc_id").alias("_d"), F.col("tid").alias("_t")).agg(
