@@ -235,6 +235,7 @@ def test_decontamination_matches_full_alignment(spark, docs_of):
             edits = brute.edit_distance_in(item.tolist(), chars)
             if edits <= index.budget[k]:
                 want.add((d, index.ids[k], edits))
+        want |= {(d, i, 0) for i, x in items if x and len(x) < 8 and x in (t or "").lower().split()}
     for options in ({}, {"block_chars": 300}):
         got = decontam.contamination(df, bench, **options)
         assert {(r.doc_id, r.item_id, r.edits) for r in got.collect()} == want
@@ -253,3 +254,22 @@ def test_decontamination_spans_are_of_the_whole_text(spark, docs_of):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(docs_of([(1, text)]), empty).count() == 0
     assert decontam.contamination(docs_of([]), empty).count() == 0
+
+
+def test_short_items_are_found_word_for_word(spark, docs_of):
+    bench = spark.createDataFrame([("a1", "Go on"), ("b2", "x-1"), ("c3", "..."), ("d4", None)], "item_id string, text string")
+    docs = [(1, "well, GO ON then: go on"), (2, "ergo once"), (3, "X 1"), (4, "x12"), (5, None), (6, "go  --  on")]
+    got = decontam.contamination(docs_of(docs), bench)
+    assert sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in got.collect()) == [
+        (1, "a1", 6, 11, 0), (3, "b2", 0, 3, 0), (6, "a1", 0, 10, 0)]
+    assert {r.doc_id for r in decontam.clean(docs_of(docs), bench).collect()} == {2, 4, 5}
+
+
+def test_a_long_text_of_one_letter_stays_small():
+    import tracemalloc
+    index = decontam.Index.build([(1, "a" * 2000)])
+    tracemalloc.start()
+    got = list(index.matches(decontam.normalised("b" * 50 + "a" * 1_000_000)[0]))
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert got == [(0, 50, 2050, 0)]

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 Q = 8
 #: Edits allowed per character of an item, in percent.
@@ -32,6 +33,8 @@ EDIT_PERCENT = 10
 BLOCK_CHARS = 4_000_000
 _SLOT_BITS = 20
 _SHIFT = 1 << 36
+#: Pairs of text run and item position that are expanded at a time.
+_CELLS = 1 << 20
 
 
 @lru_cache(1)
@@ -97,16 +100,23 @@ class Index:
     item: np.ndarray  # of each place
     pos: np.ndarray  # in its item, of each place
     q: int
+    short: dict[int, dict[str, list[int]]]  # items of fewer than q characters: by words, by text, their numbers
 
     @classmethod
     def build(cls, rows: list[tuple], q: int = Q, edit_percent: int = EDIT_PERCENT) -> Index:
-        ids, items = [], []
+        ids, items, brief = [], [], []
         for key, text in rows:
             chars = normalised((text or "").strip())[0]
             chars = chars[int(chars[:1].sum() == 32):len(chars) - int(chars[-1:].sum() == 32)]
             if len(chars) >= q:
                 ids.append(key)
                 items.append(chars)
+            elif len(chars):
+                brief.append((key, "".join(map(chr, chars))))
+        short: dict[int, dict[str, list[int]]] = {}
+        for i, (_, said) in enumerate(brief, len(ids)):
+            short.setdefault(said.count(" ") + 1, {}).setdefault(said, []).append(i)
+        ids = ids + [key for key, _ in brief]
         m = np.array([len(c) for c in items], np.int64)
         budget = np.minimum(m * edit_percent // 100, (m - q) // q)
         every = [grams(c, q) for c in items]
@@ -120,7 +130,7 @@ class Index:
         slot[top[::-1]] = np.arange(len(top))[::-1]
         more = np.append(top[1:] == top[:-1], False)
         return cls(ids, items, budget, m - q + 1 - budget * q, hashes, slot, more, np.append(first, len(h)),
-                   place, item, pos, q)
+                   place, item, pos, q, short)
 
     def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text position, hash number) of the q-grams that items have too."""
@@ -145,16 +155,17 @@ class Index:
         p, at = self.shared(grams(chars, self.q))
         if not len(p):
             return p, p
+        order = np.lexsort((p, at))
+        p, at = p[order], at[order]
+        run = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)))  # of one q-gram, over and over
+        last = p[np.append(run[1:], len(p)) - 1]
+        p, at = p[run], at[run]
         n = self.first[at + 1] - self.first[at]
-        place = self.place[np.repeat(self.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-        budget = self.budget[self.item[place]]
-        width = 2 * budget + 16
-        low = np.repeat(p, n) - self.pos[place] + _SHIFT  # positive, so that division cuts alike everywhere
-        band, left = np.divmod(low, width)
-        also = left <= budget  # the overlap with the band below
         bits = len(self.item).bit_length()
-        key = np.sort(np.concatenate((band << bits | place, (band[also] - 1) << bits | place[also])))
-        key = key[np.append(True, key[1:] != key[:-1])]
+        key = np.zeros(0, np.int64)
+        cells = np.cumsum(n) // _CELLS
+        for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(cells)) + 1):
+            key = np.union1d(key, self._bands(p[part], last[part], at[part], n[part], bits))
         item, band = self.item[key & ((1 << bits) - 1)], key >> bits
         start = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
         count = np.diff(np.append(start, len(item)))
@@ -163,16 +174,49 @@ class Index:
         item, band = item[good], band[good]
         return item, band * (2 * self.budget[item] + 16) - _SHIFT
 
+    def _bands(self, p: np.ndarray, last: np.ndarray, at: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+        """(band, item position) as one number of every place of the q-grams
+        ``at``, which stand at the text positions from ``p`` to ``last``."""
+        place = self.place[np.repeat(self.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        budget = self.budget[self.item[place]]
+        width = 2 * budget + 16
+        shift = _SHIFT - self.pos[place]  # positive, so that division cuts alike everywhere
+        low, left = np.divmod(np.repeat(p, n) + shift, width)
+        low -= left <= budget  # the overlap with the band below
+        many = (np.repeat(last, n) + shift) // width - low + 1
+        band = np.repeat(low - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        return np.unique(band << bits | np.repeat(place, many))
+
+    def brief(self, chars: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the first occurrence, word for word, of
+        each item of fewer than q characters."""
+        if not self.short:
+            return
+        text = "".join(map(chr, chars))
+        ends = np.append(np.flatnonzero(chars == 32), len(chars)).tolist()
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        seen = set()
+        for words, known in self.short.items():
+            for first in range(len(starts) - words + 1):
+                said = text[starts[first]:ends[first + words - 1]]
+                for item in known.get(said, ()):
+                    if item not in seen:
+                        seen.add(item)
+                        yield item, starts[first], ends[first + words - 1], 0
+
     def matches(self, chars: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the best occurrence of each item."""
         best: dict[int, tuple[int, int, int]] = {}
         for item, low in zip(*(x.tolist() for x in self.regions(chars)), strict=True):
+            if item in best and best[item][2] == 0 and best[item][0] < low:
+                continue  # nothing from here on is better or further left
             k = int(self.budget[item])
             got = banded(self.items[item], chars, low, low + 3 * k + 16, k)
             if got is not None and (item not in best or (got[2], got[0]) < (best[item][2], best[item][0])):
                 best[item] = got
         for item, (start, end, edits) in sorted(best.items()):
             yield item, start, end, edits
+        yield from self.brief(chars)
 
 
 def banded(item: np.ndarray, chars: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
@@ -205,8 +249,9 @@ def banded(item: np.ndarray, chars: np.ndarray, low: int, high: int, k: int) ->
             return None
     ends = steps + low + len(item)
     state = np.where((ends >= 0) & (ends <= len(chars)), state, far * span)
-    x = int(state.argmin())
-    edits = int(state[x] // span)
+    cost = state // span
+    x = int(cost.argmin())  # of equal ones the leftmost end
+    edits = int(cost[x])
     if edits > k:
         return None
     return int(width - state[x] % span) + low, x + low + len(item), edits
@@ -242,12 +287,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
     Case, and which characters other than letters and digits stand between
     them, do not count. An item's edit budget is EDIT_PERCENT of its length,
     less where its q-grams could not prove that much; items of fewer than q
-    characters (null and empty ones too) are not searched. Null and empty
-    texts have no pairs; repeated rows have theirs each; empty tables give an
-    empty result; other columns are not read.
+    characters are found word for word. Items without a letter or digit (null
+    and empty ones too) occur nowhere. Ids may be of any type. Texts are
+    searched whole, however long, in memory that grows with the distinct
+    diagonal bands they meet. Null and empty texts have no pairs; repeated rows
+    have theirs each; empty tables give an empty result; other columns are not read.
     """
     kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    item_type = pa.int64() if item_kind in ("bigint", "int") else pa.string()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     found = None
     for index in blocks(benchmark, **options):
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
@@ -259,14 +306,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
                      *map(pa.array, cols[2:])], names=["doc_id", "item_id", "start", "end", "edits"])
 
         part = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
-            run, f"doc_id {kind}, item_id {'bigint' if item_type == pa.int64() else 'string'}, "
-                 "start bigint, end bigint, edits bigint")
+            run, f"doc_id {kind}, item_id {item_kind}, start bigint, end bigint, edits bigint")
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, columns as they are, in which no item occurs."""
+    """The rows of ``docs``, columns as they are, in which no item occurs (as
+    ``contamination`` defines it; rows without text stay, repeated rows stay or
+    go alike)."""
     for index in blocks(benchmark, **options):
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from voxframe.llm.quality import STOP_WORDS
+from voxframe.llm.quality import EDGES, STOP_WORDS
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_EDGES = EDGES.replace("'", "''")
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 
 OP10 = rf"""
@@ -21,7 +22,7 @@ f AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
-         len(lines) AS n_lines, len(list_filter(words, lambda w: w IN ({_STOPS}))) AS n_stop_words,
+         len(lines) AS n_lines, len(list_filter(words, lambda w: trim(lower(w), '{_EDGES}') IN ({_STOPS}))) AS n_stop_words,
          length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n_letters,
          length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_capitals,
          length(text) - length(replace(text, '!!', '!')) AS n_shouts

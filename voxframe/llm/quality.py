@@ -22,6 +22,9 @@ STOP_WORDS = (
     "el los las y se del una por con no su es lo como más"
 ).split()
 
+#: What stands around a word without being part of it.
+EDGES = ".,;:!?\"'()[]{}«»„“”‚‘’…–—-*_/"
+
 SYMBOLS = "[#*$%&|<>]"
 
 MIN_WORDS = 50
@@ -109,7 +112,8 @@ def figures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered["n"].cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(words_of(F.lower("_text")), lambda w: F.btrim(w, F.lit(EDGES)).isin(*STOP_WORDS))).cast("long")
+        .alias("n_stop_words"),
         _left(F.col("_text"), r"[^\p{L}]+").alias("n_letters"),
         _left(F.col("_text"), r"[^\p{Lu}]+").alias("n_capitals"),
         (F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("!!"), F.lit("!")))).cast("long")
