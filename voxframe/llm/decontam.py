@@ -155,17 +155,17 @@ class Index:
         p, at = self.shared(grams(chars, self.q))
         if not len(p):
             return p, p
-        order = np.lexsort((p, at))
-        p, at = p[order], at[order]
-        run = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)))  # of one q-gram, over and over
-        last = p[np.append(run[1:], len(p)) - 1]
-        p, at = p[run], at[run]
+        last, again = None, at[1:] == at[:-1]
+        if again.any():  # runs of one q-gram, over and over
+            run = np.flatnonzero(np.append(True, ~again | (p[1:] != p[:-1] + 1)))
+            last = p[np.append(run[1:], len(p)) - 1]
+            p, at = p[run], at[run]
         n = self.first[at + 1] - self.first[at]
         bits = len(self.item).bit_length()
-        key = np.zeros(0, np.int64)
         cells = np.cumsum(n) // _CELLS
-        for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(cells)) + 1):
-            key = np.union1d(key, self._bands(p[part], last[part], at[part], n[part], bits))
+        cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(p)] if cells[-1] else [0, len(p)]
+        parts = [self._bands(p[a:b], None if last is None else last[a:b], at[a:b], n[a:b], bits) for a, b in zip(cuts, cuts[1:], strict=False)]
+        key = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
         item, band = self.item[key & ((1 << bits) - 1)], key >> bits
         start = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
         count = np.diff(np.append(start, len(item)))
@@ -174,18 +174,21 @@ class Index:
         item, band = item[good], band[good]
         return item, band * (2 * self.budget[item] + 16) - _SHIFT
 
-    def _bands(self, p: np.ndarray, last: np.ndarray, at: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    def _bands(self, p: np.ndarray, last: np.ndarray | None, at: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
         """(band, item position) as one number of every place of the q-grams
-        ``at``, which stand at the text positions from ``p`` to ``last``."""
+        ``at``, which stand at the text positions from ``p`` to ``last`` (None: at ``p``)."""
         place = self.place[np.repeat(self.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
         budget = self.budget[self.item[place]]
         width = 2 * budget + 16
         shift = _SHIFT - self.pos[place]  # positive, so that division cuts alike everywhere
         low, left = np.divmod(np.repeat(p, n) + shift, width)
-        low -= left <= budget  # the overlap with the band below
-        many = (np.repeat(last, n) + shift) // width - low + 1
-        band = np.repeat(low - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-        return np.unique(band << bits | np.repeat(place, many))
+        also = left <= budget  # the overlap with the band below
+        keys = [low << bits | place, (low[also] - 1) << bits | place[also]]
+        if last is not None:
+            more = (np.repeat(last, n) + shift) // width - low  # bands that a run goes on into
+            keys.append(np.repeat(low - np.append(0, np.cumsum(more)[:-1]) + 1, more) + np.arange(more.sum()) << bits | np.repeat(place, more))
+        key = np.sort(np.concatenate(keys))
+        return key[np.append(True, key[1:] != key[:-1])]
 
     def brief(self, chars: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the first occurrence, word for word, of
