@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions.core import group_position, group_running_sum
@@ -10,6 +11,15 @@ from voxframe.operators import text as TX
 from voxframe.streaming import jobs as J
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A state store for each partition and arrival takes its time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _steps(spark, waves, stream=1):
     rows = [(stream, i + 1, 0, [float(v) for v in w]) for i, w in enumerate(waves)]
     return spark.createDataFrame(rows, "stream_id long, seq long, at long, wave array<double>")
@@ -43,6 +53,54 @@ def test_crossfade_short_steps_in_a_row(spark):
         assert [got[i] for i in range(1, 6)] == want
 
 
+def test_crossfade_state_follows_streams_over_restarts(spark):
+    """Every arrival is a query of its own on the same checkpoint; steps of many
+    streams come out of order within one, and again in a later one."""
+    rng = random.Random(4)
+    steps, want = [], {}
+    for stream in range(12):
+        n, before, st = 0, None, J.Stitcher(3, 1000)
+        for seq in range(1, 9):
+            n += rng.choice([1, 2, 5, 9])
+            wave = [rng.random() for _ in range(n)]
+            steps.append((stream, seq, 0, wave))
+            want[stream, seq], before = st.chunk(before, 0, list(wave))
+    rng.shuffle(steps)
+    df = spark.createDataFrame(steps + [s for s in steps if s[1] == 2], "stream_id long, seq long, at long, wave array<double>")
+    got = J.crossfade(spark, df, 3, 4).collect()
+    assert {(r.stream_id, r.seq): r.chunk for r in got} == want and len(got) == len(want)
+
+
+def test_a_failed_batch_is_repeated_from_the_checkpoint(spark, tmp_path, monkeypatch):
+    """The second arrival fails in the middle; the restarted query ends with the same table."""
+    waves = [[float(i)] * (4 * i) for i in range(1, 7)]
+    df = _steps(spark, waves)
+    want = {r.seq: r.chunk for r in J.crossfade(spark, df, 3, 3).collect()}
+    path = str(tmp_path)
+    out = "stream_id long, seq long, chunk array<double>"
+
+    class Broken(J.Stitcher):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            yield from super().handleInputRows(key, rows, timerValues)
+            raise ValueError("lost in the middle")
+
+    def start(processor):
+        return lambda s: s.groupBy("stream_id").transformWithState(processor(3, 10 ** 9), out, "Append", "ProcessingTime").writeStream.format(
+            "parquet").outputMode("append").option("path", f"{path}/out")
+
+    parts = J.cut_arrivals(df, "seq", 3)
+    with J.keyed_state(spark):
+        J.replay(spark, parts[:1], path, start(J.Stitcher))
+        failed = False
+        try:
+            J.replay(spark, parts[1:2], path, start(Broken))
+        except Exception:  # noqa: BLE001
+            failed = True
+        J.replay(spark, parts[2:], path, start(J.Stitcher))
+    assert failed
+    assert {r.seq: r.chunk for r in spark.read.schema(out).parquet(f"{path}/out").collect()} == want
+
+
 def test_budget_keeps_clip_order_across_batches_and_arrow_chunks(spark):
     n = 30_000
     rows = [(i, f"c{i:06d}", "x", 1.0) for i in range(n)] + [(i, f"n{i}", None, 0.7) for i in range(20)]
@@ -77,6 +135,16 @@ def test_ingest_gives_each_key_once_over_many_arrivals(spark):
     assert sorted(got) == list(range(15))
 
 
+def test_ingest_forgets_keys_behind_its_horizon(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0, 1), (2, t0 + dt.timedelta(hours=1), 1), (3, t0 + dt.timedelta(days=9), 2), (4, t0 + dt.timedelta(days=20), 1),
+            (5, t0 + dt.timedelta(days=20), None), (6, t0 + dt.timedelta(days=21), None), (7, None, 9)]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
+    near = [r.user_id for r in J.ingest_once(spark, e, horizon="2 days", arrivals=4).collect()]
+    assert sorted(near, key=str) == [1, 1, 2, None]
+    assert sorted((r.user_id for r in J.ingest_once(spark, e, arrivals=4).collect()), key=str) == [1, 2, None]
+
+
 def test_windows_lose_nothing_when_ids_and_times_disagree(spark):
     e = _events(spark)
     want = {r.w: r.n for r in e.groupBy((F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600).alias("w")).agg(

@@ -5,11 +5,13 @@ hour budget and a chunk cross-fader.
 Production shape: ``readStream`` over a landing folder of manifest / event
 files with its checkpoint in the cluster's shared ``spark.checkpoint.dir``.
 Windows and sessions use event time with a watermark and are emitted once it
-passes them, so their state stays bounded by the delay. Jobs whose rule needs
-an order or everything seen so far (ingest, budget, cross-fade) run as
-``foreachBatch``: each micro-batch is an ordinary DataFrame, joined with a
-small state table; results and state go to folders named by the batch id, so a
-repeated batch replaces its own files and nothing is counted twice.
+passes them, so their state stays bounded by the delay. Ingest forgets keys
+behind its horizon; the cross-fader keeps state per stream, which expires; both
+keep it in RocksDB. The budget, whose groups may hold a third of all rows, runs as
+``foreachBatch``: each micro-batch is an ordinary DataFrame whose running sums
+are taken in blocks, joined with one state row per group; results and state go
+to folders named by the batch id, so a repeated batch replaces its own files and
+nothing is counted twice.
 
 Bounded replays (tests, backfills) land the input in several arrivals, by
 event time, and run the stream to the end of what is there after each; a last
@@ -19,10 +21,12 @@ marker row, later than any window of the data can reach, closes the windows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxframe.functions.core import group_position, group_running_sum, join_same
 from voxframe.session import ensure_checkpoint_dir
@@ -60,6 +64,24 @@ def replay(spark: SparkSession, arrivals: list[DataFrame], path: str, start: Cal
         query.awaitTermination()
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Keep streaming state in RocksDB: on the executors' disks, with changes in
+    the checkpoint, not in their heaps. No batches without data: state that
+    expires by the clock would ask for one after the other, and a bounded replay
+    would never end."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -81,23 +103,26 @@ def replay_batches(spark: SparkSession, arrivals: list[DataFrame], path: str, ou
 
 
 def ingest_once(spark: SparkSession, events: DataFrame, key: str = "user_id", order: str = "ts",
-                arrivals: int = ARRIVALS) -> DataFrame:
-    """Each key once, whichever arrival brings it: new keys are those that the
-    sink does not have."""
+                horizon: str = "400 days", arrivals: int = ARRIVALS) -> DataFrame:
+    """Each key once within ``horizon`` of event time, whichever arrival brings it.
+
+    A key is remembered from its first event until the watermark, which runs
+    ``horizon`` behind the latest event, passes the end of its horizon; then it
+    is forgotten, and comes again if it is seen again. So the state holds the
+    keys of a horizon, not all that ever were. Null is a key; events without a
+    time have no place in the stream.
+    """
     path = workdir(spark, "ingest")
-    kind = f"{key} {events.schema[key].dataType.simpleString()}"
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(key).distinct()
-        if batch_id:
-            seen = batch.sparkSession.read.schema(kind).parquet(f"{path}/out").where(F.col("batch") < batch_id)
-            seen = seen.select(F.col(key).alias("_seen"))
-            new = new.join(seen, new[key].eqNullSafe(seen["_seen"]), "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+    def start(s: DataFrame):
+        timed = s.withColumn(order, utc_instant(order)).withWatermark(order, horizon)
+        return timed.dropDuplicatesWithinWatermark([key]).select(key).writeStream.format("parquet").outputMode(
+            "append").option("path", f"{path}/out")
 
-    replay(spark, cut_arrivals(events.select(key, order), order, arrivals), path,
-           lambda s: s.writeStream.foreachBatch(run))
-    return spark.read.schema(kind).parquet(f"{path}/out").select(key)
+    timed = events.select(key, order).where(F.col(order).isNotNull())
+    with keyed_state(spark):
+        replay(spark, cut_arrivals(timed, order, arrivals), path, start)
+    return spark.read.schema(f"{key} {events.schema[key].dataType.simpleString()}").parquet(f"{path}/out")
 
 
 def _event_table(spark: SparkSession, events: DataFrame, name: str, delay: str, reach: str,
@@ -194,71 +219,72 @@ def budget(spark: SparkSession, clips: DataFrame, order: list[str], target_s: fl
         step).select(group, "clip_id", "duration_s", "accepted_s")
 
 
-def stitched(steps: DataFrame, overlap: int) -> DataFrame:
+class Stitcher(StatefulProcessor):
     """Chunks of streams that are generated in growing steps.
 
-    ``steps`` has ``stream_id, seq, at, wave``: the wave from sample ``at`` on
-    (at the latest the last ``overlap`` samples of the step before). A step
-    gives the samples from ``overlap`` before the previous end to ``overlap``
-    before its own end; its first ``overlap`` samples fade linearly from what
-    the previous step held there. A step that adds fewer samples than that
-    gives all it has and leaves nothing held; what follows nothing held is not
-    faded. Among steps in a row that are that short, every second one
-    therefore finds nothing held, which makes all of it arithmetic on the
-    lengths of neighbours.
-    """
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    size = F.size("wave")
-    tail = F.slice("wave", F.greatest(size - overlap + 1, F.lit(1)), overlap)
-    x = steps.withColumn("_len", F.col("at") + size).withColumn("_tail", tail)
-    x = x.withColumn("_prev", F.lag("_len").over(order)).withColumn("_old", F.lag("_tail").over(order))
-    x = x.withColumn("_short", F.coalesce(F.col("_len") - F.col("_prev") < overlap, F.lit(False)))
-    x = x.withColumn("_run", F.sum((~F.col("_short")).cast("int")).over(order))
-    in_run = Window.partitionBy("stream_id", "_run").orderBy("seq")
-    x = x.withColumn("_clears", F.col("_short") & (F.sum(F.col("_short").cast("int")).over(in_run) % 2 == 1))
-    held = F.col("_prev").isNotNull() & ~F.coalesce(F.lag("_clears").over(order), F.lit(False))
-    x = x.withColumn("_held", held)
-    begin = F.greatest(F.coalesce(F.col("_prev") - overlap, F.lit(0)) - F.col("at"), F.lit(0))
-    end = F.when(F.col("_clears"), size).otherwise(size - overlap)
-    x = x.withColumn("_new", F.slice("wave", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")))
-    ramp = F.lit(0.0) if overlap == 1 else None
-
-    def mixed(new: Column, i: Column) -> Column:
-        t = ramp if ramp is not None else i / float(overlap - 1)
-        return F.when(i < overlap, F.get("_old", i) * (1.0 - t) + new * t).otherwise(new)
-
-    chunk = F.when(F.col("_held") & ~F.col("_clears"), F.transform("_new", mixed)).otherwise(F.col("_new"))
-    return x.select("stream_id", "seq", chunk.alias("chunk"), "_clears")
-
-
-def crossfade(spark: SparkSession, steps: DataFrame, overlap: int, arrivals: int = ARRIVALS) -> DataFrame:
-    """``stitched`` over a stream of steps: each micro-batch is stitched together
-    with the rows that decide on its first step, carried from before: the last
-    run of short steps and the step in front of it."""
-    cols = ["stream_id", "seq", "at", "wave"]
-    schema = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
-    kept = ", ".join(f"{c} {schema[c]}" for c in cols)
+    A step ``seq, at, wave`` is the wave from sample ``at`` on (at the latest
+    the last ``overlap`` samples of the step before). It gives the samples from
+    ``overlap`` before the previous end to ``overlap`` before its own end; its
+    first ``overlap`` samples fade linearly from what the previous step held
+    there. A step that adds fewer samples than that gives all it has and leaves
+    nothing held; what follows nothing held is not faded.
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = state.unionByName(batch.select(*cols).withColumn("new", F.lit(True)))
-        chunks = stitched(rows.select(*cols), overlap)
-        fresh = batch.select(F.col("stream_id").alias("_s"), F.col("seq").alias("_q"))
-        out = chunks.join(fresh, (chunks["stream_id"] == fresh["_s"]) & (chunks["seq"] == fresh["_q"])).select(
-            "stream_id", "seq", "chunk")
-        order = Window.partitionBy("stream_id").orderBy("seq")
-        length = F.col("at") + F.size("wave")
-        short = F.coalesce(length - F.lag(length).over(order) < overlap, F.lit(False))
-        whole = Window.partitionBy("stream_id")
-        last = rows.withColumn("_short", short).withColumn(
-            "_from", F.max(F.when(~F.col("_short"), F.col("seq"))).over(whole))
-        last = last.where(F.col("seq") >= F.col("_from"))
-        size = F.size("wave")
-        cut = F.greatest(size - overlap, F.lit(0))  # later steps look at the last samples only
-        after = last.select("stream_id", "seq", (F.col("at") + cut).cast(schema["at"]).alias("at"),
-                            F.slice("wave", cut + 1, overlap).alias("wave"), F.lit(False).alias("new"))
-        return out, after
+    A stream's state is where its last step ended, the samples that it held,
+    and its number: a step that comes again, or after a later one, gives no
+    chunk. State that no step has touched for ``idle_ms`` is dropped.
+    """
 
+    def __init__(self, overlap: int, idle_ms: int):
+        self.overlap, self.idle_ms = overlap, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq long, ended long, held boolean, tail array<double>", self.idle_ms)
+
+    def chunk(self, before: tuple | None, at: int, wave: list[float]) -> tuple[list[float], tuple]:
+        """The chunk of a step, and (end, whether anything is held, the held samples) after it."""
+        n, end = self.overlap, at + len(wave)
+        ended, held, tail = before or (None, False, [])
+        begin = 0 if ended is None else max(ended - n - at, 0)
+        if held and end - ended < n:
+            return wave[begin:], (end, False, wave[-n:])
+        new = wave[begin:max(len(wave) - n, begin)]
+        if held:
+            for i, old in enumerate(tail[:len(new)]):
+                t = i / (n - 1) if n > 1 else 0.0
+                new[i] = old * (1.0 - t) + new[i] * t
+        return new, (end, True, wave[-n:])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
+        state = self.last.get() if self.last.exists() else None
+        seq, before = (state[0], tuple(state[1:])) if state else (None, None)
+        for r in sorted(rows, key=lambda r: r.seq):  # a stream's steps within one micro-batch
+            if seq is not None and r.seq <= seq:
+                continue
+            out, before = self.chunk(before, r.at, list(r.wave))
+            seq = r.seq
+            yield Row(stream_id=key[0], seq=seq, chunk=out)
+        if seq is not None:
+            self.last.update((seq, *before))
+
+    def close(self) -> None:
+        pass
+
+
+def crossfade(spark: SparkSession, steps: DataFrame, overlap: int, arrivals: int = ARRIVALS,
+              idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """``stream_id, seq, chunk`` of a stream of steps ``stream_id, seq, at, wave``
+    (see ``Stitcher``): keyed state per stream, carried over restarts."""
+    cols = ["stream_id", "seq", "at", "wave"]
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    out = f"stream_id {kinds['stream_id']}, seq long, chunk array<double>"
     path = workdir(spark, "crossfade")
-    return replay_batches(spark, cut_arrivals(steps.select(*cols), "seq", arrivals), path,
-                          f"stream_id {schema['stream_id']}, seq {schema['seq']}, chunk array<double>",
-                          f"{kept}, new boolean", step).select("stream_id", "seq", "chunk")
+
+    def start(s: DataFrame):
+        chunks = s.groupBy("stream_id").transformWithState(Stitcher(overlap, idle_ms), out, "Append", "ProcessingTime")
+        return chunks.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
+
+    typed = steps.select("stream_id", F.col("seq").cast("long").alias("seq"), F.col("at").cast("long").alias("at"),
+                         F.col("wave").cast("array<double>").alias("wave"))
+    with keyed_state(spark):
+        replay(spark, cut_arrivals(typed.select(*cols), "seq", arrivals), path, start)
+    return spark.read.schema(out).parquet(f"{path}/out")
