@@ -7,8 +7,8 @@
   group in one task. A hot key (one language holding a third of the corpus)
   is spread over many range partitions; positions are stitched back with a
   tiny per-(partition, group) offset table.
-* ``range_join``: interval lookup as an equi-join on a bin key plus a filter,
-  so Spark never falls back to a nested-loop join.
+* ``range_join``: interval lookup as an equi-join on dyadic cells plus a filter,
+  for ranges of any lengths; Spark never falls back to a nested-loop join.
 """
 
 from __future__ import annotations
@@ -149,23 +149,36 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos") -> DataFra
     return group_position(tmp, ["_vf_all"], order, out).drop("_vf_all")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str,
-               bin_width: float, keys: Sequence[str] = (), how: str = "inner",
-               inclusive_end: bool = True) -> DataFrame:
+#: A range is cut at the power of two of which it holds PIECES (8 to 16, and what it touches at its ends).
+PIECE_BITS = 3
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, keys: Sequence[str] = (),
+               inclusive_end: bool = True, unit: float = 1.0) -> DataFrame:
     """Join each point to the ranges ``[start, end]`` that contain it.
 
-    Ranges are exploded over the fixed-width bins they touch and joined on
-    ``keys + bin``; a point matches only ranges in its own bin, so the join
-    is an equi-join (hash or sort-merge) plus a residual filter. Cost grows
-    with ``range_len / bin_width``; choose the width near the typical range.
+    Ranges of any lengths together: each is cut into the dyadic cells of the
+    level at which it covers about eight to sixteen, and a point asks for its
+    own cell once per level that occurs, so a range costs a bounded number of
+    rows whatever its length, and a point one per factor of two among the
+    lengths. The join is an equi-join on ``keys`` (null matches nothing),
+    level and cell, with the exact comparison behind it; cells split a range
+    that holds most of the points. Positions are taken in ``unit``s for the
+    cells alone. Ranges that end before they start, and nulls, match nothing.
     """
     keys = list(keys)
-    w = float(bin_width)
-    r = ranges.withColumn(
-        "_vf_bin",
-        F.explode(F.sequence(F.floor(F.col(start) / w).cast("long"), F.floor(F.col(end) / w).cast("long"))),
-    ).alias("_vf_r")
-    p = points.withColumn("_vf_bin", F.floor(F.col(point) / w).cast("long")).alias("_vf_p")
+
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(unit)).cast("long")
+
+    level = F.greatest(F.length(F.bin(F.col("_vf_hi") - F.col("_vf_lo"))) - 1 - PIECE_BITS, F.lit(0))
+    r = ranges.withColumn("_vf_lo", cell(start)).withColumn("_vf_hi", cell(end)).where(F.col("_vf_hi") >= F.col("_vf_lo"))
+    r = r.withColumn("_vf_level", level)
+    levels = r.agg(F.collect_set("_vf_level")).scalar()  # at most 62
+    r = r.withColumn("_vf_cell", F.explode(F.expr("sequence(shiftright(_vf_lo, _vf_level), shiftright(_vf_hi, _vf_level))")))
+    r = r.drop("_vf_lo", "_vf_hi").alias("_vf_r")
+    p = points.withColumn("_vf_at", cell(point)).withColumn("_vf_level", F.explode(levels))
+    p = p.withColumn("_vf_cell", F.expr("shiftright(_vf_at, _vf_level)")).drop("_vf_at").alias("_vf_p")
 
     def P(c):
         return F.col(f"_vf_p.`{c}`")
@@ -173,12 +186,12 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end
     def R(c):
         return F.col(f"_vf_r.`{c}`")
 
-    cond = P("_vf_bin") == R("_vf_bin")
+    cond = (P("_vf_level") == R("_vf_level")) & (P("_vf_cell") == R("_vf_cell"))
     for k in keys:
         cond = cond & (P(k) == R(k))
     cond = cond & (P(point) >= R(start))
     cond = cond & ((P(point) <= R(end)) if inclusive_end else (P(point) < R(end)))
-    j = p.join(r, cond, how)
+    j = p.join(r, cond)
     cols = [P(c).alias(c) for c in points.columns] + [R(c).alias(c) for c in ranges.columns if c not in keys]
     return j.select(*cols)
 

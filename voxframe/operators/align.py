@@ -106,7 +106,7 @@ def spans(durs: DataFrame, clip: str = "clip_id", token: str = "token", dur: str
 def avg_over_durations(values: DataFrame, durs: DataFrame, value: str = "v") -> DataFrame:
     """Mean of non-zero frame values inside each token's span; 0 if none."""
     sp = spans(durs).withColumn("last", F.col("end") - 1)
-    j = range_join(values, sp.where(F.col("dur") > 0), "frame", "start", "last", 16.0, keys=["clip_id"], how="inner")
+    j = range_join(values, sp.where(F.col("dur") > 0), "frame", "start", "last", keys=["clip_id"])
     g = j.groupBy("clip_id", "token").agg(F.sum(value).alias("_s"), F.count(F.when(F.col(value) != 0, 1)).alias("_n"))
     out = sp.select("clip_id", "token").join(g, on=["clip_id", "token"], how="left")
     return out.select("clip_id", "token", F.when(F.coalesce("_n", F.lit(0)) == 0, F.lit(0.0))

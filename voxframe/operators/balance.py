@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import group_position, group_running_sum, join_same, md5_key, md5_uniform, range_join
+from voxframe.functions.core import TWO_52, group_position, group_running_sum, join_same, md5_key, md5_uniform, range_join
 
 
 def language_info(df: DataFrame, lang: str = "language") -> DataFrame:
@@ -96,13 +96,13 @@ def combined_weights(df: DataFrame, key: str, parts: list[tuple[str, float]], ou
 # ---- draws --------------------------------------------------------------
 
 def weighted_draws(spark: SparkSession, df: DataFrame, key: str, weight: str, n_draws: int | None = None,
-                   seed: int = 0, bins: int = 1 << 16) -> DataFrame:
+                   seed: int = 0) -> DataFrame:
     """``n_draws`` draws with replacement (default: an epoch, one per row),
     probability proportional to weight.
 
     Rows get cumulative intervals ``[lo, hi)`` on [0, 1) (scalable running
-    sum); each draw's md5-uniform is placed by a binned range join, so the
-    join is an equi-join on the bin plus a filter - never a cross join.
+    sum); each draw's md5-uniform, a multiple of 2^-52, is placed by a range
+    join whose cost does not depend on how uneven the weights are.
     """
     n_draws = df.count() if n_draws is None else n_draws
     g = df.withColumn("_g", F.lit(0))
@@ -111,7 +111,7 @@ def weighted_draws(spark: SparkSession, df: DataFrame, key: str, weight: str, n_
     x = x.withColumn("hi", F.col("_hi") / total).withColumn("lo", (F.col("_hi") - F.col(weight)) / total).drop("_hi")
     draws = spark.range(n_draws).withColumnRenamed("id", "draw_id") \
         .withColumn("u", md5_uniform(seed, F.col("draw_id")))
-    j = range_join(draws, x, "u", "lo", "hi", 1.0 / bins, inclusive_end=False)
+    j = range_join(draws, x, "u", "lo", "hi", inclusive_end=False, unit=1.0 / TWO_52)
     return j.select("draw_id", key)
 
 

@@ -178,5 +178,5 @@ def _asm_label_time_join(spark, sf):
     e = w.groupBy("conv_id").agg(F.max("end_s").alias("e"))
     p = e.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("e") * 100).cast("long"),
                                                  F.lit(50).cast("long"))).alias("idx"))
-    j = range_join(p, w.select("conv_id", "turn", "pos", "word", "lo", "hi"), "idx", "lo", "hi", 100.0, keys=["conv_id"])
+    j = range_join(p, w.select("conv_id", "turn", "pos", "word", "lo", "hi"), "idx", "lo", "hi", keys=["conv_id"])
     return j.select("conv_id", "idx", "turn", "pos", "word")

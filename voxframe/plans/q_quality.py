@@ -202,7 +202,7 @@ def _inf_join_sentences(spark, sf):
     s = V.sig(spark, sf).select("clip_id", "idx", "amp")
     segs = SG.vad_segments(s, 0.05)
     from voxframe.functions.core import range_join
-    j = range_join(s, segs.withColumn("last", F.col("end") - 1), "idx", "start", "last", 32.0, keys=["clip_id"])
+    j = range_join(s, segs.withColumn("last", F.col("end") - 1), "idx", "start", "last", keys=["clip_id"])
     per = j.groupBy("clip_id", "seg").agg(F.array_sort(F.collect_list(F.struct("idx", "amp"))).alias("_a")) \
         .select("clip_id", "seg", F.transform("_a", lambda t: t["amp"]).alias("samples"))
     wv = INF.join_waves(per, "clip_id", "seg", "samples", gap=3)
