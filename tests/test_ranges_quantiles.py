@@ -1,8 +1,13 @@
-"""Range joins against all pairs."""
+"""Range joins against all pairs, quantiles against sorted values."""
 
+import math
 import random
 
+import numpy as np
+import pytest
+
 from voxframe.functions.core import range_join
+from voxframe.operators import analyze as AN
 
 
 def _pairs(points, ranges, closed=True):
@@ -41,3 +46,31 @@ def test_fractions_in_small_units(spark):
     got = range_join(spark.createDataFrame(points, "k string, u double"), spark.createDataFrame(ranges, "k string, lo double, hi double, n long"),
                      "u", "lo", "hi", keys=["k"], inclusive_end=False, unit=2.0 ** -52)
     assert sorted((r.k, r.u, r.n) for r in got.collect()) == _pairs(points, ranges, closed=False)
+
+
+def test_quantiles_equal_sorted_values(spark):
+    rng = random.Random(1)
+    groups = {"counts": [rng.randrange(50) for _ in range(999)], "one": [4.5], "same": [7.0] * 30, None: [-1.0, 2.0],
+              "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-20, 21) for _ in range(200)],
+              "far": [-1.7e308, 1.7e308, 0.0, 5e-324, 3.0], "close": [1 + i * 2.0 ** -52 for i in range(40)]}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs]
+    rows += [("counts", None), ("counts", math.nan), ("counts", math.inf), ("empty", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.quantiles for r in AN.exact_quantiles(df, ["k"], "v", cells=64).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(np.quantile(vs, AN.PERCENTILES).tolist(), rel=1e-12, abs=1e-300), k
+
+
+def test_describe_takes_groups_without_values(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "k string, v long")
+    got = {r.k: r for r in AN.describe_groups(df, ["k"], "v").collect()}
+    assert (got["a"]["count"], got["a"].p50, got["b"]["count"], got["b"].p50) == (2, 1.5, 0, None)
+    assert AN.describe_groups(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_quantiles_hold_no_value_lists(spark):
+    df = spark.range(2000).selectExpr("id % 3 AS k", "id AS v")
+    plan = AN.describe_groups(df, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan

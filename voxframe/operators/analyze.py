@@ -3,19 +3,18 @@ dimension through GROUPING SETS), length accuracy, correlations, value
 counts, summary and long percentile tables, generation plans and parsing of
 generated JSON.
 
-Percentiles are exact (``percentile``), which keeps a value->count map per
-group: memory grows with the number of distinct values (word / character
-counts, bounded by the longest text), not with the number of rows.
+Percentiles are exact and no task holds a group's values: ``exact_quantiles``
+narrows the ranges that hold the wanted ranks by histograms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import md5_uniform
+from voxframe.functions.core import discard, join_same, md5_uniform, written
 
 # fixed values: speech rate and benchmark sizing
 WORDS_PER_MINUTE = 140
@@ -36,14 +35,66 @@ def pname(p: float) -> str:
     return f"p{int(round(p * 100)):02d}"
 
 
-def describe_aggs(c: str, prefix: str = "", percentiles: Sequence[float] = PERCENTILES) -> list[Column]:
-    """count, mean, sample std, min, exact linear percentiles, max."""
-    pct = F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in percentiles]))
-    out = [F.count(c).cast("long").alias(prefix + "count"), F.avg(c).alias(prefix + "mean"),
-           F.stddev_samp(c).alias(prefix + "std"), F.min(c).cast("double").alias(prefix + "min")]
-    out += [F.element_at(pct, i + 1).alias(prefix + pname(p)) for i, p in enumerate(percentiles)]
-    out.append(F.max(c).cast("double").alias(prefix + "max"))
-    return out
+#: Cells of a histogram; integers over a smaller range are told apart in one pass.
+CELLS = 1 << 16
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float] = PERCENTILES,
+                    cells: int = CELLS) -> DataFrame:
+    """``keys`` and ``quantiles``, an array of linear percentiles of each group.
+
+    A percentile lies between two ranks. The range of a group is cut into
+    ``cells`` cells; counts, least and greatest value of each tell in which cell
+    a rank lies, and that cell's values are the next range, until it is one
+    value. A pass is an aggregation with map-side sums: rows are not shuffled,
+    and a task sees the cells of a range, not its values. Passes follow from how
+    unevenly values lie (counts: one or two), and each writes one row per group
+    and rank. Null is a key; null, NaN and infinite values are left out, and
+    groups without others have no row.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    v = F.col(value).cast("double")
+    x = df.select(*keys, v.alias("_v")).where(F.abs("_v") < float("inf"))
+    stats = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in percentiles for f in (F.floor, F.ceil)]))
+    state, path = written(stats.select(*keys, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.explode(ranks).alias("rank")), "ranks")
+    paths = [path]
+    while not state.where("lo < hi").isEmpty():
+        ranges = state.where("lo < hi").select(*keys, "lo", "hi", "below").distinct()
+        inside = join_same(x, ranges, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+        halves = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)  # where the difference is beyond a double
+        share = F.when(hi - lo < float("inf"), (v - lo) / (hi - lo)).otherwise(halves)
+        cell = F.least(F.floor(share * cells), F.lit(cells - 1))
+        h = inside.groupBy(*keys, F.col("lo").alias("_lo"), "below", cell.alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        before = Window.partitionBy(*keys, "_lo").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        h = h.withColumn("_from", F.col("below") + F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("below", "_cell")
+        s = state.withColumn("_lo", F.col("lo"))
+        j = join_same(s.where("lo < hi"), h, [*keys, "_lo"]).where((F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_from") + F.col("_c")))
+        found = j.select(*keys, "n", F.col("_min").alias("lo"), F.col("_max").alias("hi"), F.col("_from").alias("below"), "rank")
+        state, path = written(state.where("lo = hi").select(*found.columns).unionByName(found), "ranks")
+        paths.append(path)
+    discard(spark, *paths[:-1])
+    told = state.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("_of"))
+
+    def between(p: float) -> Column:
+        low, high = (F.element_at("_of", f(at(p)).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (at(p) - F.floor(at(p)))
+
+    return told.select(*keys, F.array(*map(between, percentiles)).alias("quantiles"))
+
+
+def describe_groups(df: DataFrame, keys: Sequence[str], c: str, prefix: str = "",
+                    percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
+    """count, mean, sample std, min, exact linear percentiles, max per group."""
+    plain = df.groupBy(*keys).agg(F.count(c).cast("long").alias(prefix + "count"), F.avg(c).alias(prefix + "mean"),
+                                  F.stddev_samp(c).alias(prefix + "std"), F.min(c).cast("double").alias(prefix + "min"),
+                                  F.max(c).cast("double").alias(prefix + "max"))
+    j = join_same(plain, exact_quantiles(df, keys, c, percentiles), keys, "left")
+    return j.select(*keys, *[prefix + s for s in ("count", "mean", "std", "min")],
+                    *[F.get("quantiles", F.lit(i)).alias(prefix + pname(p)) for i, p in enumerate(percentiles)], prefix + "max")
 
 
 def totals(df: DataFrame, words: str, chars: str) -> DataFrame:
@@ -60,29 +111,27 @@ def long_metrics(df: DataFrame, ids: Sequence[str], metrics: dict[str, str]) ->
 
 def describe(df: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """One describe row per metric column."""
-    return long_metrics(df, [], metrics).groupBy("metric").agg(*describe_aggs("value"))
+    return describe_groups(long_metrics(df, [], metrics), ["metric"], "value")
 
 
 def describe_by(df: DataFrame, metrics: dict[str, str], dims: Sequence[str]) -> DataFrame:
-    """Describe per metric for every value of every dimension and overall,
-    in one aggregation (GROUPING SETS), not one pass per dimension."""
+    """Describe per metric for every value of every dimension and overall: a row
+    stands for its value of each dimension and for the whole."""
     x = long_metrics(df, list(dims), metrics)
-    sets = [[F.col("metric"), F.col(d)] for d in dims] + [[F.col("metric")]]
-    g = x.groupingSets(sets, "metric", *dims).agg(*describe_aggs("value"), *[F.grouping(d).alias(f"_g_{d}") for d in dims])
-    dim = F.lit("overall")
-    val = F.lit(None).cast("string")
-    for d in reversed(list(dims)):
-        dim = F.when(F.col(f"_g_{d}") == 0, F.lit(d)).otherwise(dim)
-        val = F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")).otherwise(val)
-    return g.withColumn("dimension", dim).withColumn("group_value", val).drop(*dims, *[f"_g_{d}" for d in dims])
+    of = F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).cast("string").alias("v")) for d in dims],
+                 F.struct(F.lit("overall").alias("d"), F.lit(None).cast("string").alias("v")))
+    x = x.select("metric", "value", F.explode(of).alias("of")).select(
+        "metric", F.col("of.d").alias("dimension"), F.col("of.v").alias("group_value"), "value")
+    return describe_groups(x, ["metric", "dimension", "group_value"], "value")
 
 
 def length_accuracy(df: DataFrame, actual: str, target: str, tol: int = 3) -> DataFrame:
     x = df.withColumn("_d", F.col(actual) - F.col(target))
     ok = F.abs(F.col("_d")) <= tol
-    return x.agg(F.avg("_d").alias("mean_difference"), F.stddev_samp("_d").alias("std_difference"),
-                 F.avg(ok.cast("double")).alias("accuracy_rate"), F.sum(ok.cast("long")).alias("accuracy_count"),
-                 *describe_aggs("_d", prefix="diff_"))
+    rates = x.agg(F.lit(0).alias("_k"), F.avg("_d").alias("mean_difference"), F.stddev_samp("_d").alias("std_difference"),
+                  F.avg(ok.cast("double")).alias("accuracy_rate"), F.sum(ok.cast("long")).alias("accuracy_count"))
+    spread = describe_groups(x.select(F.lit(0).alias("_k"), "_d"), ["_k"], "_d", prefix="diff_")
+    return rates.join(spread, "_k", "left").drop("_k")
 
 
 def correlations(df: DataFrame, chars: str, words: str, target: str) -> DataFrame:
