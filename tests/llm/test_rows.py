@@ -203,6 +203,14 @@ def test_chat_round_trip(spark):
     assert chat.chat_digests(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_offsets_of_a_long_conversation(spark):
+    """More turns than two slices of the running sums hold."""
+    rows = [(1, i, ["user", "assistant", "assistant"][i * i % 3], f"turn {i} {'x' * (i % 7)}") for i in range(3 * chat.SLICE + 5)]
+    r = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    told = [r.formatted[s.start:s.end] for s in r.loss_spans]
+    assert told == [t for _, _, role, t in rows if role == "assistant"]
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.text(alphabet="\\<|im_end>[INST]/s", max_size=40), min_size=1, max_size=20))
 def test_chat_escape_is_reversible(spark_session, texts):
