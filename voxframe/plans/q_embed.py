@@ -75,9 +75,12 @@ def _emb_mean(spark, sf):
 
 
 @register("emb_mean_clips", oracle(f"""
-WITH {LONG} SELECT name, dim, avg(x) AS mean FROM lf WHERE vec_id % 5 = 0 GROUP BY name, dim""", "dvec", rnd=("mean",)))
+WITH {LONG} SELECT name, dim, avg(x) AS mean FROM lf WHERE clip_key IN (SELECT concat('clip#', doc_id) FROM labels) GROUP BY name, dim""",
+                                   "dvec", rnd=("mean",)))
 def _emb_mean_clips(spark, sf):
-    return EM.mean_by_name(V.dvec(spark, sf).where(F.col("vec_id") % 5 == 0))
+    """Means over the listed reference clips of each voice: those that are labelled."""
+    listed = V.table(spark, sf, "labels").select(F.concat(F.lit("clip#"), "doc_id").alias("clip_key"))
+    return EM.mean_by_name(V.dvec(spark, sf).join(listed, "clip_key", "left_semi"))
 
 
 @register("emb_random", oracle(f"SELECT clip_key, name FROM dvec ORDER BY {H(0, 'clip_key')}, clip_key LIMIT 1", "dvec"))

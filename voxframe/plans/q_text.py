@@ -133,17 +133,18 @@ WITH {LEX_SQL},
 d AS (SELECT doc_id, lang, text FROM documents),
 t AS (SELECT doc_id, lang, unnest(range(0, len(ts))) AS pos, ts FROM (SELECT doc_id, lang, regexp_extract_all(text, '{DIGIT_TOKENS}') AS ts FROM d)),
 r AS (SELECT t.doc_id, t.pos, coalesce(lex.word, t.ts[t.pos + 1]) AS tok FROM t LEFT JOIN lex ON lex.lang = t.lang AND lex.token = t.ts[t.pos + 1])
-SELECT doc_id, string_agg(tok, '' ORDER BY pos) AS text, count(*) AS n_tokens FROM r GROUP BY doc_id"""))
+SELECT d.doc_id, coalesce(string_agg(tok, '' ORDER BY pos), '') AS text, count(tok) AS n_tokens FROM d LEFT JOIN r USING (doc_id)
+GROUP BY d.doc_id"""))
 def _nrm_numbers_lex(spark, sf):
     d = _docs(spark, sf)
     # one row per language: its lexicon as a map (a thousand words), looked up in the row
     lex = small_number_lexicon(spark).groupBy("lang").agg(
         F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
     t = d.join(F.broadcast(lex), "lang", "left").select(
-        "doc_id", "words", F.regexp_extract_all("text", F.lit(DIGIT_TOKENS), 0).alias("toks"))
+        "doc_id", "words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(DIGIT_TOKENS), 0).alias("toks"))
     said = F.transform("toks", lambda w: F.when(w.rlike("^[0-9]{1,3}$"), F.coalesce(
         F.try_element_at(F.col("words"), w), w)).otherwise(w))
-    return t.where(F.size("toks") > 0).select("doc_id", F.array_join(said, "").alias("text"),
+    return t.select("doc_id", F.array_join(said, "").alias("text"),
                                               F.size("toks").cast("long").alias("n_tokens"))
 
 
