@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe import views as V
+from voxframe.operators import numbers as NU
 from voxframe.operators import text as TX
 from voxframe.operators.select import word_count
 from voxframe.plans.registry import oracle, register
@@ -96,56 +97,48 @@ def _nrm_separators(spark, sf):
 # ---- lexicon joins on tokens ------------------------------------------------
 
 DIGIT_TOKENS = "[0-9]+|[^0-9]+"
-# fixed values: English words for 0-19 and the tens
-ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
-        "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
-TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
-
-
-def small_number_lexicon(spark, lang: str = "en", upto: int = 1000):
-    """``(lang, token, word)`` for 0..upto-1, generated by rule on the cluster."""
-    ones = F.array(*[F.lit(w) for w in ONES])
-    tens = F.array(*[F.lit(w) for w in TENS])
-    n = F.col("id")
-    below100 = lambda v: F.when(v < 20, F.element_at(ones, (v + 1).cast("int"))).otherwise(
-        F.concat_ws("-", F.element_at(tens, (F.floor(v / 10) + 1).cast("int")),
-                    F.when(v % 10 != 0, F.element_at(ones, (v % 10 + 1).cast("int")))))
-    word = F.when(n < 100, below100(n)).otherwise(
-        F.concat_ws(" ", F.element_at(ones, (F.floor(n / 100) + 1).cast("int")), F.lit("hundred"),
-                    F.when(n % 100 != 0, below100(n % 100))))
-    return spark.range(upto).select(F.lit(lang).alias("lang"), n.cast("string").alias("token"), word.alias("word"))
-
-
-LEX_SQL = f"""lex AS (SELECT 'en' AS lang, CAST(n AS VARCHAR) AS token,
-  CASE WHEN n < 100 THEN b ELSE concat_ws(' ', list_element({TX._sq('x')[0:0]}[{', '.join(repr(w) for w in ONES)}], CAST(n // 100 + 1 AS INTEGER)), 'hundred',
-    CASE WHEN n % 100 <> 0 THEN b100 END) END AS word FROM (
-  SELECT n, CASE WHEN n < 20 THEN list_element([{', '.join(repr(w) for w in ONES)}], CAST(n + 1 AS INTEGER))
-    ELSE concat_ws('-', list_element([{', '.join(repr(w) for w in TENS)}], CAST(n // 10 + 1 AS INTEGER)),
-    CASE WHEN n % 10 <> 0 THEN list_element([{', '.join(repr(w) for w in ONES)}], CAST(n % 10 + 1 AS INTEGER)) END) END AS b,
-    CASE WHEN n % 100 < 20 THEN list_element([{', '.join(repr(w) for w in ONES)}], CAST(n % 100 + 1 AS INTEGER))
-    ELSE concat_ws('-', list_element([{', '.join(repr(w) for w in TENS)}], CAST(n % 100 // 10 + 1 AS INTEGER)),
-    CASE WHEN n % 10 <> 0 THEN list_element([{', '.join(repr(w) for w in ONES)}], CAST(n % 10 + 1 AS INTEGER)) END) END AS b100
-  FROM range(1000) t(n)))"""
+
+
+def _number_table_sql() -> str:
+    rows = ", ".join(f"('{lg}', {n}, '{p}', '{c}')" for lg, t in NU.languages().items()
+                     for n, (p, c) in enumerate(zip(t.plain, t.counting, strict=True)))
+    scales = ", ".join(f"('{lg}', {i}, '{one}', '{more}', '{joint}')" for lg, t in NU.languages().items()
+                       for i, (one, more, joint) in enumerate(t.scales))
+    return f"w AS (SELECT * FROM (VALUES {rows}) t(lang, n, plain, counting)), sc AS (SELECT * FROM (VALUES {scales}) t(lang, i, one, more, joint))"
+
+
+# numbers by their groups: millions of Spanish go up to 10^12, the others have a word for 10^9
+NUMBERS_SQL = f"""{_number_table_sql()},
+num AS (SELECT DISTINCT lang, tok, CAST(tok AS BIGINT) AS v FROM t WHERE regexp_full_match(tok, '[0-9]{{1,12}}')),
+g AS (SELECT lang, tok, v, v // 1000000000 AS b, CASE WHEN lang = 'es' THEN v // 1000000 ELSE v // 1000000 % 1000 END AS m,
+        v // 1000 % 1000 AS k, v % 1000 AS u FROM num WHERE lang IN (SELECT lang FROM w)),
+p AS (SELECT g.*,
+    CASE WHEN lang = 'es' OR b = 0 THEN NULL WHEN b = 1 THEN (SELECT one FROM sc WHERE sc.lang = g.lang AND i = 2)
+      ELSE (SELECT plain FROM w WHERE w.lang = g.lang AND n = b) || (SELECT joint || more FROM sc WHERE sc.lang = g.lang AND i = 2) END AS pb,
+    CASE WHEN m = 0 THEN NULL WHEN m = 1 THEN (SELECT one FROM sc WHERE sc.lang = g.lang AND i = 1)
+      ELSE concat_ws(' ', CASE WHEN m // 1000 = 1 THEN 'mil' WHEN m // 1000 > 1 THEN (SELECT counting || ' mil' FROM w WHERE w.lang = g.lang AND n = m // 1000) END,
+        CASE WHEN m % 1000 > 0 THEN (SELECT CASE WHEN g.lang = 'es' THEN counting ELSE plain END FROM w WHERE w.lang = g.lang AND n = m % 1000) END)
+        || (SELECT joint || more FROM sc WHERE sc.lang = g.lang AND i = 1) END AS pm,
+    CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN (SELECT one FROM sc WHERE sc.lang = g.lang AND i = 0)
+      ELSE (SELECT counting FROM w WHERE w.lang = g.lang AND n = k) || (SELECT joint || more FROM sc WHERE sc.lang = g.lang AND i = 0) END AS pk,
+    CASE WHEN u = 0 THEN NULL ELSE (SELECT plain FROM w WHERE w.lang = g.lang AND n = u) END AS pu FROM g),
+lex AS (SELECT lang, tok, CASE WHEN v = 0 THEN (SELECT plain FROM w WHERE w.lang = p.lang AND n = 0)
+  ELSE concat_ws(' ', pb, pm, nullif(concat_ws(CASE WHEN lang = 'de' THEN '' ELSE ' ' END, pk, pu), '')) END AS word FROM p)"""
 
 
 @register("nrm_numbers_lex", oracle(f"""
-WITH {LEX_SQL},
-d AS (SELECT doc_id, lang, text FROM documents),
-t AS (SELECT doc_id, lang, unnest(range(0, len(ts))) AS pos, ts FROM (SELECT doc_id, lang, regexp_extract_all(text, '{DIGIT_TOKENS}') AS ts FROM d)),
-r AS (SELECT t.doc_id, t.pos, coalesce(lex.word, t.ts[t.pos + 1]) AS tok FROM t LEFT JOIN lex ON lex.lang = t.lang AND lex.token = t.ts[t.pos + 1])
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+t AS (SELECT doc_id, lang, pos, ts[pos + 1] AS tok FROM (SELECT doc_id, lang, ts, unnest(range(0, len(ts))) AS pos FROM (
+  SELECT doc_id, lang, regexp_extract_all(text, '{DIGIT_TOKENS}') AS ts FROM d))),
+{NUMBERS_SQL},
+r AS (SELECT t.doc_id, t.pos, coalesce(lex.word, t.tok) AS tok FROM t LEFT JOIN lex ON lex.lang = t.lang AND lex.tok = t.tok)
 SELECT d.doc_id, coalesce(string_agg(tok, '' ORDER BY pos), '') AS text, count(tok) AS n_tokens FROM d LEFT JOIN r USING (doc_id)
 GROUP BY d.doc_id"""))
 def _nrm_numbers_lex(spark, sf):
-    d = _docs(spark, sf)
-    # one row per language: its lexicon as a map (a thousand words), looked up in the row
-    lex = small_number_lexicon(spark).groupBy("lang").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
-    t = d.join(F.broadcast(lex), "lang", "left").select(
-        "doc_id", "words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(DIGIT_TOKENS), 0).alias("toks"))
-    said = F.transform("toks", lambda w: F.when(w.rlike("^[0-9]{1,3}$"), F.coalesce(
-        F.try_element_at(F.col("words"), w), w)).otherwise(w))
-    return t.select("doc_id", F.array_join(said, "").alias("text"),
-                                              F.size("toks").cast("long").alias("n_tokens"))
+    toks = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(DIGIT_TOKENS), 0)
+    t = V.table(spark, sf, "documents").select("doc_id", "lang", toks.alias("toks"))
+    return t.select("doc_id", F.array_join(NU.numbers_to_words(F.col("toks"), F.col("lang")), "").alias("text"),
+                    F.size("toks").cast("long").alias("n_tokens"))
 
 
 DICT = {"the": "THE", "le": "LE", "der": "DER", "el": "EL", "and": "AND", "et": "ET"}
