@@ -39,7 +39,7 @@ def test_running_sum_matches_window(spark):
 def test_range_join_equals_brute_force_and_avoids_nested_loops(spark):
     pts = spark.range(500).select(F.col("id").alias("x"))
     rng = spark.range(60).select(F.col("id").alias("rid"), (F.col("id") * 7).alias("lo"), (F.col("id") * 7 + 12).alias("hi"))
-    j = range_join(pts, rng, "x", "lo", "hi", 10.0)
+    j = range_join(pts, rng, "x", "lo", "hi")
     brute = pts.crossJoin(rng).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).select("x", "rid", "lo", "hi")
     assert j.select("x", "rid", "lo", "hi").exceptAll(brute).count() == 0
     assert brute.exceptAll(j.select("x", "rid", "lo", "hi")).count() == 0
