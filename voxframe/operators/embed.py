@@ -133,9 +133,13 @@ def ge2e_losses(cos: DataFrame, w: float = 10.0, b: float = -5.0) -> DataFrame:
 
 
 def centroid_accuracy(cos: DataFrame) -> DataFrame:
-    """Prediction = most similar centroid; accuracy per class and the macro mean
-    (``class`` null). A null label fails the job."""
-    pred = cos.groupBy("clip_key", "name").agg(F.max_by("c_name", F.struct("cos", F.col("c_name"))).alias("pred"))
+    """``accuracy`` of the most similar centroid of a whole similarity matrix."""
+    return accuracy(cos.groupBy("clip_key", "name").agg(F.max_by("c_name", F.struct("cos", F.col("c_name"))).alias("pred")))
+
+
+def accuracy(pred: DataFrame) -> DataFrame:
+    """Accuracy of ``pred`` per class (``name``) and the macro mean (``class``
+    null). A null label fails the job."""
     nulls = pred.where(F.col("name").isNull()).agg(F.count(F.lit(1))).scalar()
     per = pred.groupBy(F.col("name").alias("class")).agg(
         F.avg((F.col("pred") == F.col("name")).cast("double")).alias("accuracy"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxframe import views as V
 from voxframe.operators import embed as EM
+from voxframe.operators import nearest as NN
 from voxframe.plans.registry import oracle, register
 from voxframe.plans.sqlh import H
 
@@ -126,7 +127,7 @@ def _emb_softmax_loss(spark, sf):
 
 @register("emb_contrast_loss", oracle(LOSS_SQL + "\nSELECT avg(contrast_loss) AS contrast_loss FROM l", "dvec", rnd=("contrast_loss",)))
 def _emb_contrast_loss(spark, sf):
-    return EM.ge2e_losses(EM.cosine_matrix(V.dvec(spark, sf))).agg(F.avg("contrast_loss").alias("contrast_loss"))
+    return NN.contrast_loss(NN.nearest_names(V.dvec(spark, sf))).agg(F.avg("contrast_loss").alias("contrast_loss"))
 
 
 @register("emb_accuracy", oracle(f"""
@@ -135,7 +136,7 @@ p AS (SELECT clip_key, name, arg_max(c_name, (cos, c_name)) AS pred FROM cos GRO
 a AS (SELECT name AS class, avg(CAST(pred = name AS DOUBLE)) AS accuracy FROM p GROUP BY 1)
 SELECT class, accuracy FROM a UNION ALL SELECT NULL, avg(accuracy) FROM a""", "dvec", rnd=("accuracy",)))
 def _emb_accuracy(spark, sf):
-    return EM.centroid_accuracy(EM.cosine_matrix(V.dvec(spark, sf)))
+    return EM.accuracy(NN.nearest_names(V.dvec(spark, sf)))
 
 
 CODE_SQL = f"""{LONG},
