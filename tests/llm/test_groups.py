@@ -192,6 +192,20 @@ def test_suffix_keeps_text_and_takes_empty_tables(docs_of):
     assert suffixdedup.dedup_substrings(docs_of([])).count() == 0
 
 
+def test_packs_lie_in_buckets_by_the_bytes_of_text(spark, docs_of):
+    docs = docs_of([(i, "some words of a text " * 20 + str(i)) for i in range(64)])
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg({"text": "max"}).first()[0]
+    packs = suffixdedup.packs_of(docs, pack_bytes=600, bucket_bytes=len(size))
+    told = suffixdedup._told(packs, packs.groupBy("pack").count().withColumnRenamed("pack", "_pack"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    wanted = suffixdedup._buckets(docs, "text", len(size))
+    assert 60 <= wanted <= 66 and f"SelectedBucketsCount: {wanted} out of {wanted}" in plan
+    assert suffixdedup._buckets(docs, "text", 1 << 40) == suffixdedup._buckets(docs.limit(0), "text", 1) == least
+    assert told.count() == packs.count() > least
+
+
 def test_merged_transforms_are_those_of_all_segments():
     segs = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(5, 40))) for _ in range(30)]
     parts = [segs[:10], segs[10:11], segs[11:]]

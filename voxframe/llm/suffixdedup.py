@@ -47,6 +47,8 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of text in one pack, and of windows that are hashed in one go.
 PACK_BYTES = 4 << 20
+#: Text in a bucket of packs, which one task reads.
+BUCKET_BYTES = 128 << 20
 _CHUNK = 1 << 20
 #: Bytes of text to one chunk, on average, and the bytes that decide on a cut.
 CHUNK_BYTES = 128
@@ -163,20 +165,29 @@ def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray,
         yield row, raw["pack"], data, np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["ends"], np.int64)
 
 
-def packs_of(docs: DataFrame, text: str = "text", pack_bytes: int = PACK_BYTES, length: int = LENGTH) -> DataFrame:
+def _buckets(docs: DataFrame, text: str, bucket_bytes: int) -> int:
+    """Buckets of about ``bucket_bytes`` of text: at least as many as shuffle partitions
+    (fewer would be shuffled again), at most as many as Spark allows."""
+    conf = docs.sparkSession.conf
+    size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    wanted = max(int(conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
+    return min(wanted, int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
+
+
+def packs_of(docs: DataFrame, text: str = "text", pack_bytes: int = PACK_BYTES, length: int = LENGTH,
+             bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All texts with their ids and chunks, packed and written in buckets by pack number.
 
-    There are as many buckets as shuffle partitions, so that a join by pack
-    moves the other side alone. The table's name leaves the catalogue at once;
-    its files stay in the shared folder.
+    The number of buckets follows from the bytes of text, so that a task's share
+    does not grow with the corpus, and a join by pack moves the other side alone.
+    The table's name leaves the catalogue at once; its files stay in the shared folder.
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     packed = docs.select(F.col("doc_id").cast("bigint"), raw).mapInArrow(_packer(pack_bytes, length), _PACK)
     name = f"suffix_packs_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (packed.withColumn("pack", F.monotonically_increasing_id()).write.format("parquet")
-     .bucketBy(buckets, "pack").option("path", shared_path(spark, "suffix-packs")).saveAsTable(name))
+     .bucketBy(_buckets(docs, text, bucket_bytes), "pack").option("path", shared_path(spark, "suffix-packs")).saveAsTable(name))
     packs = spark.table(name)
     packs.schema  # noqa: B018 - resolved while the name is there
     spark.sql(f"DROP TABLE {name}")
