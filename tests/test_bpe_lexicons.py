@@ -1,5 +1,7 @@
 """BPE training against a plain trainer, joined vocabularies, lexicons by language."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -134,3 +136,33 @@ def test_a_language_without_lexicon_fails(spark):
     with pytest.raises(Exception, match="no lexicon"):
         VC.route_words(words, "lang", "w", lex, "l", "word").collect()
     assert VC.route_words(words.where(F.col("lang") == "en"), "lang", "w", lex, "l", "word").first().n_matched == 1
+
+
+def test_greedy_longest_by_a_table_equals_the_alternation(spark):
+    rng = random.Random(3)
+    rules = {"".join(rng.choices("abc", k=rng.randint(1, 5))): f"<{i}>" for i in range(30)}
+    texts = ["".join(rng.choices("abcd .", k=rng.randint(0, 40))) for _ in range(200)] + ["", "abc" * 2000, "[a]+*"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id long, text string")
+    table = spark.createDataFrame([*rules.items(), ("", "nothing")], "key string, value string")
+    want = {r.id: r.t for r in df.select("id", VC.greedy_longest(df["text"], rules).alias("t")).collect()}
+    got = {r.id: r.text for r in VC.greedy_longest_of(df, "text", table).collect()}
+    assert got == want and got[-1] is None
+    assert {r.id: r.text for r in VC.greedy_longest_of(df, "text", table.limit(0)).collect()} == {**dict(enumerate(texts)), -1: None}
+    with pytest.raises(ValueError, match="exceed"):
+        VC.greedy_longest_of(df, "text", table, max_chars=10)
+    for bad in [("a", "x"), ("a", "y")], [("b", None)], [(None, "b")]:
+        with pytest.raises(ValueError, match="twice"):
+            VC.greedy_longest_of(df, "text", spark.createDataFrame(bad, "key string, value string"))
+
+
+def test_greedy_longest_with_a_million_keys(spark):
+    table = spark.range(1_000_000).select(F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("v"), "id").alias("value"))
+    df = spark.createDataFrame([("k12345678 k7x k999999",)], "text string")
+    assert VC.greedy_longest_of(df, "text", table).first().text == "v12345678 v7x v999999"
+
+
+def test_encoding_in_pieces_equals_the_whole(spark):
+    df = spark.createDataFrame([(1, "abcab"), (2, None), (3, ""), (4, "b" * 50), (5, "xax"), (6, "c")], "id long, text string").coalesce(1)
+    table = VC.code_point_table(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "token string, id long"))
+    whole, cut = ({r.id: r.e for r in df.select("id", VC.encode_chars_arrow(df["text"], table, n).alias("e")).collect()} for n in (1 << 20, 4))
+    assert whole == cut and whole[2] is None and whole[3] == [] and whole[5] == [1] and len(whole[4]) == 50

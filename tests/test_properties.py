@@ -36,6 +36,16 @@ def test_running_sum_matches_window(spark):
     assert a.exceptAll(b.select(*a.columns)).count() == 0
 
 
+def test_running_sum_in_two_levels_of_blocks(spark):
+    hot = F.when(F.col("id") % 10 == 0, F.lit(None).cast("string")).otherwise("hot")
+    df = spark.range(6000).select(hot.alias("k"), "id", F.when(F.col("id") % 13 > 0, F.col("id") % 11).cast("double").alias("v"))
+    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("s", F.coalesce(F.sum("v").over(w), F.lit(0.0)))
+    for block in (1, 7, 4096):  # 7: over a hundred blocks of blocks
+        got = group_running_sum(df, ["k"], ["id"], "v", out="s", block=block, exclusive=True)
+        assert got.count() == 6000 and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
 def test_range_join_equals_brute_force_and_avoids_nested_loops(spark):
     pts = spark.range(500).select(F.col("id").alias("x"))
     rng = spark.range(60).select(F.col("id").alias("rid"), (F.col("id") * 7).alias("lo"), (F.col("id") * 7 + 12).alias("hi"))

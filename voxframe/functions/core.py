@@ -205,6 +205,19 @@ def rebuild_tokens(tokens: DataFrame, keys: Sequence[str], pos: str, tok: str, o
     return agg.select(*keys, F.array_join(F.transform("_vf_arr", lambda x: x["t"]), sep).alias(out))
 
 
+def _block_offsets(totals: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
+    """``_vf_boff``: sum of ``_vf_t`` over a key's earlier ``_vf_blk``, in two levels."""
+    t = totals.withColumn("_vf_sup", F.floor(F.col("_vf_blk") / F.lit(block)).cast("long"))
+    before = (Window.unboundedPreceding, -1)
+    w1 = Window.partitionBy(*keys, "_vf_sup").orderBy("_vf_blk").rowsBetween(*before)
+    w2 = Window.partitionBy(*keys).orderBy("_vf_sup").rowsBetween(*before)
+    sup = t.groupBy(*keys, "_vf_sup").agg(F.sum("_vf_t").alias("_vf_st"))
+    sup = sup.withColumn("_vf_soff", F.coalesce(F.sum("_vf_st").over(w2), F.lit(0.0))).drop("_vf_st")
+    t = t.withColumn("_vf_in2", F.coalesce(F.sum("_vf_t").over(w1), F.lit(0.0)))
+    t = join_same(t, sup, [*keys, "_vf_sup"])
+    return t.withColumn("_vf_boff", F.col("_vf_soff") + F.col("_vf_in2")).drop("_vf_t", "_vf_sup", "_vf_soff", "_vf_in2")
+
+
 def group_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
                       block: int = 4096, exclusive: bool = False, pos_col: str | None = None) -> DataFrame:
     """Running ``sum(value)`` per ``keys`` group in ``order``, scalable to hot groups.
@@ -212,8 +225,9 @@ def group_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value
     Rows get their in-group position (range-partitioned, see
     ``group_position``), are cut into blocks of ``block`` consecutive rows,
     summed inside each block with a bounded window, and shifted by the
-    exclusive prefix of earlier block totals (a small table: one row per
-    block). ``exclusive=True`` gives the sum of the rows *before* each row,
+    exclusive prefix of earlier block totals, which are summed the same way by
+    blocks of blocks: a window over all of a key sees one row per ``block**2``
+    rows of it. ``exclusive=True`` gives the sum of the rows *before* each row,
     summed as such. A null key is a group; null values count as nothing.
     """
     keys = list(keys)
@@ -224,8 +238,7 @@ def group_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value
     wb = Window.partitionBy(*keys, "_vf_blk").orderBy(pos).rowsBetween(
         Window.unboundedPreceding, -1 if exclusive else 0)
     tot = x.groupBy(*keys, "_vf_blk").agg(F.sum("_vf_v").alias("_vf_t"))
-    wt = Window.partitionBy(*keys).orderBy("_vf_blk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_vf_boff", F.coalesce(F.sum("_vf_t").over(wt), F.lit(0.0))).drop("_vf_t")
+    tot = _block_offsets(tot, keys, block)
     x = x.withColumn("_vf_in", F.coalesce(F.sum("_vf_v").over(wb), F.lit(0.0)))
     x = join_same(x, tot, [*keys, "_vf_blk"])
     x = x.withColumn(out, F.col("_vf_boff") + F.col("_vf_in"))

@@ -97,13 +97,14 @@ def code_point_table(vocab: DataFrame) -> np.ndarray:
     return table
 
 
-def encode_chars_arrow(text: Column, table: np.ndarray) -> Column:
-    """text -> ids per Arrow batch: the batch's texts end to end as UTF-32 code
-    points, indexed into the table once and cut at the texts' ends."""
+def encode_chars_arrow(text: Column, table: np.ndarray, piece: int = 1 << 20) -> Column:
+    """text -> ids per Arrow batch: texts end to end as UTF-32 code points, indexed
+    into the table and cut at the texts' ends. Texts are taken together up to
+    ``piece`` characters (a longer one alone), so beside the batch and its ids no
+    more than a piece is held."""
     top = len(table)
 
-    @F.arrow_udf("array<long>")
-    def enc(texts: pa.Array) -> pa.Array:
+    def some(texts: pa.Array) -> pa.Array:
         known = texts.fill_null("")
         cp = np.frombuffer("".join(known.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64)
         ids = np.where(cp < top, table[np.minimum(cp, top - 1)], -1)
@@ -113,6 +114,14 @@ def encode_chars_arrow(text: Column, table: np.ndarray) -> Column:
         offsets = pa.array(before[ends].astype(np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(ids[keep]), mask=texts.is_null())
 
+    @F.arrow_udf("array<long>")
+    def enc(texts: pa.Array) -> pa.Array:
+        sizes = pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // piece
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)]
+        pieces = [some(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a]
+        return pa.concat_arrays(pieces) if pieces else some(texts)
+
     return enc(text)
 
 
@@ -297,6 +306,51 @@ def greedy_longest(text: Column, rules: dict[str, str]) -> Column:
     return F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(m, t), t)), "")
 
 
+def greedy_longest_of(df: DataFrame, text: str, rules: DataFrame, out: str = "text", max_chars: int = 1 << 24) -> DataFrame:
+    """``greedy_longest`` by a table ``rules(key, value)`` of many keys: no
+    alternation, no row per token. The characters of the table are checked
+    against ``max_chars``, then it goes to the tasks once; a text costs a lookup
+    per character and length of key that starts with that character. An empty
+    table, or empty keys, change nothing; a key given twice, or a null in the
+    table, fails. A null text stays null."""
+    spark = df.sparkSession
+    x = rules.where((F.col("key") != "") | F.col("key").isNull())
+    n, known, keys, chars_in = x.agg(F.count(F.lit(1)), F.count(F.concat("key", "value")), F.count_distinct("key"),
+                                     F.sum(F.length(F.concat("key", "value")))).first()
+    if known < n or keys < n:
+        raise ValueError("rules with nulls or with a key given twice")
+    if (chars_in or 0) > max_chars:
+        raise ValueError(f"rules of {chars_in} characters exceed {max_chars}")
+    shipped = spark.sparkContext.broadcast({r["key"]: r["value"] for r in x.select("key", "value").collect()})
+
+    def lengths(said: dict[str, str]) -> dict[str, list[int]]:
+        of: dict[str, set[int]] = {}
+        for k in said:
+            of.setdefault(k[0], set()).add(len(k))
+        return {c: sorted(s, reverse=True) for c, s in of.items()}
+
+    def say(t: str, said: dict[str, str], of: dict[str, list[int]]) -> str:
+        made, i, kept = [], 0, 0
+        while i < len(t):
+            for n in of.get(t[i], ()):
+                if (v := said.get(t[i:i + n])) is not None:
+                    made += [t[kept:i], v]
+                    i = kept = i + n
+                    break
+            else:
+                i += 1
+        return "".join([*made, t[kept:]])
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        said = shipped.value
+        of = lengths(said)
+        for s in parts:
+            yield s.map(lambda t: None if t is None else say(t, said, of))
+
+    return df.withColumn(out, run(F.col(text)))
+
+
 def _re_quote(s: str) -> str:
     return "".join("\\" + c if c in "\\.^$|?*+()[]{}" else c for c in s)
 
