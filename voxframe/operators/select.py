@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.core import global_position, group_position, group_running_sum, join_same, md5_key, stored
+from voxframe.functions.core import global_position, group_running_sum, group_sums_before, join_same, md5_key, written
 
 
 def length_flags(df: DataFrame, text_len: str, audio_len: str, min_text: int, max_text: int,
@@ -135,17 +135,15 @@ def cap_hours(df, group: str, order: list, duration: str, target_s: float = 7200
     the target, or where taking the clip would overshoot with less than
     ``slack_s`` left; the next split starts again with the carried total (so
     only reaching the target stops everything). Splits are few and run in
-    ``split_order``; per split the work is one range-partitioned position,
-    one blocked running sum and small per-group aggregates.
+    ``split_order``. The rows are sorted once for all splits; per split one
+    pass finds each group's first stop and what it took up to there, one row a
+    group in a table whose size Spark knows, and a second one filters the rows.
     """
     x = df.where(F.col(duration) >= min_clip)
     if split is None:
         x = x.withColumn("_split", F.lit("all"))
         split, split_order = "_split", ["all"]
-    keys = [group, split]
-    x = group_position(x, keys, order, out="_p")
-    x = group_running_sum(x, keys, order, duration, out="_in", exclusive=True, pos_col="_p")
-    x = stored(x)  # every split asks for its stops, its rows and its total
+    x = group_sums_before(x, [group, split], order, duration, "_p", "_in")
     t = F.lit(float(target_s))
     carried = None  # (group, _carry) accepted seconds before the current split
     parts = []
@@ -158,14 +156,18 @@ def cap_hours(df, group: str, order: list, duration: str, target_s: float = 7200
             xs = xs.withColumn("_carry", F.lit(0.0))
             prev = F.col("_in")
         stop = (prev >= t) | ((prev + F.col(duration) > t) & (t - prev < slack_s))
-        stops = xs.where(stop).groupBy(group).agg(F.min("_p").alias("_stop"))
-        kept = join_same(xs, stops, [group], "left") \
+        ends = xs.groupBy(group).agg(
+            F.min(F.when(stop, F.col("_p"))).alias("_stop"),
+            F.coalesce(F.min_by(F.when(stop, F.col("_in")), F.when(stop, F.col("_p"))), F.sum(duration)).alias("_acc"))
+        ends, _ = written(ends, "ends")
+        kept = join_same(xs, ends.select(group, "_stop"), [group], "left") \
             .where(F.col("_stop").isNull() | (F.col("_p") < F.col("_stop")))
         parts.append(kept.drop("_stop", "_carry"))
-        acc = kept.groupBy(group).agg(F.sum(duration).alias("_acc"))
-        base = carried if carried is not None else xs.select(group).distinct().withColumn("_carry", F.lit(0.0))
-        carried = base.unionByName(acc.withColumnRenamed("_acc", "_carry")).groupBy(group).agg(
+        acc = ends.select(group, F.col("_acc").alias("_carry"))
+        carried = acc if carried is None else carried.unionByName(acc).groupBy(group).agg(
             F.coalesce(F.sum("_carry"), F.lit(0.0)).alias("_carry"))
+        if sv != split_order[-1]:
+            carried, _ = written(carried, "carried")
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from voxframe.functions.core import group_position, group_running_sum, join_same
+from voxframe.functions.core import discard, group_sums_before, join_same, written
 from voxframe.session import ensure_checkpoint_dir
 
 ARRIVALS = 2
@@ -189,21 +189,31 @@ def budget(spark: SparkSession, clips: DataFrame, order: list[str], target_s: fl
     (the rule of ``cap_hours``); ``group, clip_id, duration_s, accepted_s``.
 
     The seconds before a clip are those carried from earlier batches plus a
-    blocked running sum inside the batch: the order holds for the whole
-    batch, and no task has to hold a group.
+    running sum inside the batch: the order holds for the whole batch, and no
+    task has to hold a group. A batch is sorted once and its sums are written;
+    stops and state have one row a group, in tables whose size Spark knows, so
+    rows are not shuffled again to meet them.
     """
     schema = {f.name: f.dataType.simpleString() for f in clips.schema.fields}
     state_schema = f"{group} {schema[group]}, total double, stopped boolean"
 
+    tables: list[str] = []  # of the batch before
+
+    def kept_until_next(df: DataFrame, what: str) -> DataFrame:
+        out, at = written(df, what)
+        tables.append(at)
+        return out
+
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        discard(spark, *tables)
+        tables.clear()
         x = batch.where(F.col("duration_s") >= min_clip)
-        x = group_position(x, [group], order, out="_p")
-        x = group_running_sum(x, [group], order, "duration_s", "_in", exclusive=True, pos_col="_p")
+        x = group_sums_before(x, [group], order, "duration_s", "_p", "_in", lambda df: kept_until_next(df, "sums"))
         x = join_same(x, state, [group], "left")
         before = F.coalesce(F.col("total"), F.lit(0.0)) + F.col("_in")
         left = F.lit(target_s) - before
         stop = F.coalesce("stopped", F.lit(False)) | (left <= 0) | ((F.col("duration_s") > left) & (left < slack_s))
-        stops = x.where(stop).groupBy(group).agg(F.min("_p").alias("_stop"))
+        stops = kept_until_next(x.where(stop).groupBy(group).agg(F.min("_p").alias("_stop")), "stops")
         kept = join_same(x, stops, [group], "left").where(F.col("_stop").isNull() | (F.col("_p") < F.col("_stop")))
         out = kept.select(group, "clip_id", "duration_s", (before + F.col("duration_s")).alias("accepted_s"))
         took = out.groupBy(group).agg(F.max("accepted_s").alias("total")).withColumn("stopped", F.lit(False))
@@ -213,10 +223,12 @@ def budget(spark: SparkSession, clips: DataFrame, order: list[str], target_s: fl
         return out, after
 
     path = workdir(spark, "budget")
-    return replay_batches(
+    accepted = replay_batches(
         spark, cut_arrivals(clips, order[0], arrivals), path,
         f"{group} {schema[group]}, clip_id {schema['clip_id']}, duration_s double, accepted_s double", state_schema,
         step).select(group, "clip_id", "duration_s", "accepted_s")
+    discard(spark, *tables, f"{path}/in")
+    return accepted
 
 
 class Stitcher(StatefulProcessor):
