@@ -21,3 +21,16 @@ def test_range_join_broadcasts_no_exploded_side(spark):
     j = range_join(p, r, "x", "lo", "hi", keys=["k"])
     assert j.count() == 11
     assert "BroadcastHashJoin" not in _plan(j) and "SortMergeJoin" in _plan(j)
+
+
+def test_lines_of_one_file_do_not_meet_in_one_task(spark):
+    names, rows = "audio_file|text|speaker_name|language|ref_file", [(1, "a.wav|hi|s|en|r"), (2, "b.wav|ho|s|en|r")]
+    lines = spark.createDataFrame([(n, t, f) for f in ("/x.csv", None) for n, t in [(0, names), *rows]], "line_no long, line string, file_path string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for lines of any size
+    try:
+        x = parse_lines(lines, "coqui", "/d")
+        assert sorted((r.text, r.audio_file) for r in x.collect()) == [("hi", "/d/a.wav")] * 2 + [("ho", "/d/b.wav")] * 2
+        assert "SortMergeJoin" not in _plan(x) and "BroadcastHashJoin" in _plan(x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

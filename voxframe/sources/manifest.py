@@ -93,7 +93,8 @@ def parse_lines(lines: DataFrame, spec_name: str, root: str, ignored: Sequence[s
         start = F.col("block_start") if "block_start" in x.columns else F.lit(0)
         heads = x.groupBy("file_path").agg(
             F.min_by(F.struct("_cols", "line_no"), F.struct(start, F.col("line_no"))).alias("_head"))
-        x = join_same(x, heads, ["file_path"])
+        # one row a file, of which the driver holds the listing anyway; all lines of one file would meet in one task
+        x = join_same(x, F.broadcast(heads), ["file_path"])
         names = F.col("_head._cols")
         for f in ("text", "audio", "speaker", "ref", "language", "emotion"):
             for p in spec.get(f, []):
