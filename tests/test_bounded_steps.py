@@ -34,3 +34,27 @@ def test_lines_of_one_file_do_not_meet_in_one_task(spark):
         assert "SortMergeJoin" not in _plan(x) and "BroadcastHashJoin" in _plan(x)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_encoder_and_decoder_give_ids_back_piece_by_piece(spark, monkeypatch):
+    made = []
+    vocab = spark.createDataFrame([("a", 7), ("b", 8)], "token string, id long")
+    table = VC.code_point_table(vocab)
+    monkeypatch.setattr(VC.F, "arrow_udf", lambda kind: lambda f: made.append(f) or (lambda c: c))
+    VC.encode_chars_arrow(F.lit(""), table, 4)
+    VC.decode_arrow(F.lit(""), vocab, 4)
+    texts = ["ab", "b?", None, "abab", "", "a"]
+    ids = list(made[0](iter([pa.array(texts, pa.string()), pa.array([], pa.string())])))
+    assert max(len(p.flatten()) for p in ids) < 4 + 4 and len([p for p in ids if len(p)]) > 1
+    whole = [x for p in ids for x in p.to_pylist()]
+    assert whole == [[7, 8], [8], None, [7, 8, 7, 8], [], [7]]
+    back = list(made[1](iter([pa.array(whole, pa.list_(pa.int64()))])))
+    assert len(back) > 1 and [x for p in back for x in p.to_pylist()] == ["ab", "b", None, "abab", "", "a"]
+
+
+def test_routed_words_are_counted_before_they_meet_the_lexicon(spark):
+    words = spark.createDataFrame([("en", "a")] * 5 + [("en", "b"), (None, "a"), ("en", None)], "l string, w string")
+    lexicon = spark.createDataFrame([("en", "A"), (None, "B")], "lx string, u string")
+    x = VC.route_words(words, "l", "w", lexicon, "lx", "u")
+    assert {r.l: (r.n_words, r.n_matched) for r in x.collect()} == {"en": (7, 5), None: (1, 0)}
+    assert "InMemoryTableScan" in _plan(x)
