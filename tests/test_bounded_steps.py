@@ -58,3 +58,14 @@ def test_routed_words_are_counted_before_they_meet_the_lexicon(spark):
     x = VC.route_words(words, "l", "w", lexicon, "lx", "u")
     assert {r.l: (r.n_words, r.n_matched) for r in x.collect()} == {"en": (7, 5), None: (1, 0)}
     assert "InMemoryTableScan" in _plan(x)
+
+
+def test_model_calls_are_spread_over_all_cores(spark):
+    df = spark.range(4000).select("id", F.lit("en").alias("lang"))
+    n = [r["count"] for r in INF.group_by_language(df, "lang").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(n) >= INF.TASKS_PER_CORE * spark.sparkContext.defaultParallelism * 0.9 and max(n) < 4 * 4000 / len(n)
+
+
+def test_the_kept_tone_is_the_tone():
+    for n in (0, 1, 777, TONE // 60 + 3):
+        assert (stub_synthesizer("x" * n, "en") == _tone(0, 60 * n)).all()

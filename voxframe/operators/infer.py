@@ -24,9 +24,20 @@ def validate_rows(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return df.withColumn("language_code", code).withColumn("reason", reason)
 
 
-def group_by_language(df: DataFrame, lang: str, partitions: int, salt_buckets: int = 16, key: str = "id") -> DataFrame:
+#: Tasks of model calls per core; even shares, and the last ones do not wait long.
+TASKS_PER_CORE = 4
+
+
+def group_by_language(df: DataFrame, lang: str, partitions: int | None = None, salt_buckets: int | None = None, key: str = "id") -> DataFrame:
     """Co-locate rows of a language for model reuse, salted so that one
-    language cannot become one task: ``(language, hash(key) % salt)``."""
+    language cannot become one task: ``(language, hash(key) % salt)``. Without
+    ``partitions`` there are as many as keep all cores busy, and sixteen salts
+    for each, so that every partition gets near the same share."""
+    spark = df.sparkSession
+    if partitions is None:
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        salt_buckets = salt_buckets or 16 * partitions
+    salt_buckets = salt_buckets or 16
     salt = F.pmod(F.xxhash64(F.col(key)), F.lit(salt_buckets))
     return df.repartition(partitions, F.col(lang), salt)
 
