@@ -69,3 +69,14 @@ def test_model_calls_are_spread_over_all_cores(spark):
 def test_the_kept_tone_is_the_tone():
     for n in (0, 1, 777, TONE // 60 + 3):
         assert (stub_synthesizer("x" * n, "en") == _tone(0, 60 * n)).all()
+
+
+def test_analysis_reads_its_texts_once(spark, tmp_path, monkeypatch):
+    from voxframe.plans.q_sinks import _snk_analysis
+    rows = [(i, "a few words " * (i % 5 + 1), "en" if i % 2 else "fr", 10 * i + 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, totals = [], AN.totals
+    monkeypatch.setattr(AN, "totals", lambda df, *a: seen.extend(df.inputFiles()) or totals(df, *a))
+    got = {r.metric: r.value for r in _snk_analysis(spark, str(tmp_path)).collect()}
+    assert float(got["total_words"]) == sum(3 * (i % 5 + 1) for i in range(40))
+    assert seen and not any("documents.parquet" in f for f in seen)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe import views as V
+from voxframe.functions.core import discard, written
 from voxframe.operators import analyze as AN
 from voxframe.operators import assemble as A
 from voxframe.operators import signal as SG
@@ -85,14 +86,19 @@ def _snk_analysis(spark, sf):
     """Rows-only: summary CSV, percentile CSV and analysis JSON written and re-read."""
     from voxframe.operators.select import word_count
     p = workdir(spark, "analysis")
-    b = V.bench(spark, sf).withColumn("actual_word_count", word_count("generated_sentence"))
+    dims = ["language", "emotion", "industry", "use_complex_words"]
+    b = V.bench(spark, sf).select("sentence_char_length", "target_length", *dims,
+                                  word_count("generated_sentence").alias("actual_word_count"))
+    # every figure reads these counts again: words are counted once, and texts stay behind
+    b, counts = written(b, "analysis")
     m = {"chars": "sentence_char_length", "words": "actual_word_count"}
     desc = AN.describe(b, m)
     summ = AN.summary_table(spark, AN.totals(b, "actual_word_count", "sentence_char_length"), desc,
                             AN.length_accuracy(b, "actual_word_count", "target_length"),
                             AN.correlations(b, "sentence_char_length", "actual_word_count", "target_length"))
-    pct = AN.percentiles_long(AN.describe_by(b, m, ["language", "emotion", "industry", "use_complex_words"]))
+    pct = AN.percentiles_long(AN.describe_by(b, m, dims))
     SK.write_analysis(summ, pct, desc, p)
+    discard(spark, counts)
     return SK.read_back(spark, f"{p}/summary", "csv", header=True)
 
 
