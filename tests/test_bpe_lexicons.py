@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,44 @@ def test_batches_of_merges_come_in_the_order_of_single_ones(counts, limit):
     assert [(m["left"], m["right"]) for m in made] == want and [m["rank"] for m in made] == list(range(len(made)))
 
 
+def test_training_takes_few_passes_whatever_the_trial_is(spark, monkeypatch):
+    """Syllables put together, many equal counts; a trial of a few types gives the same merges."""
+    rng = np.random.default_rng(8)
+    counts = {}
+    for _ in range(1500):
+        w = "".join(rng.choice(["th", "in", "er", "an", "re", "on", "ti", "aa", "s"], size=rng.integers(1, 6)))
+        counts[w] = counts.get(w, 0) + int(rng.integers(1, 9))
+    wc = spark.createDataFrame([("en", w, n) for w, n in counts.items()], "lang string, word string, n long")
+    want, _ = _python_bpe(counts, 120 - 1 - len(set("".join(counts))))
+    listed, passes = bpe._listed, []
+    monkeypatch.setattr(bpe, "_listed", lambda *a: passes.append(1) or listed(*a))
+    assert _merges(bpe.train(wc, "lang", 120))["en"] == want and len(passes) <= 12
+    monkeypatch.setattr(bpe, "TRIAL", 5)
+    monkeypatch.setattr(bpe, "_listed", listed)
+    assert _merges(bpe.train(wc.where(F.length("word") < 6), "lang", 60))["en"] == _python_bpe({w: n for w, n in counts.items() if len(w) < 6}, 60 - 1 - len(
+        set("".join(w for w in counts if len(w) < 6))))[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=8), min_size=1, max_size=9), st.sampled_from(["ab", "aa", "cb"]))
+def test_a_merge_changes_pairs_as_counting_again_does(words, pair):
+    n = list(range(1, len(words) + 1))
+    s, by = bpe._laid(pa.array([[*map(ord, w)] for w in words], pa.list_(pa.int32())), pa.array(n))
+    s, by, changed = bpe.replaced(s, by, ord(pair[0]), ord(pair[1]), bpe.FIRST)
+    made = [VC.merged_symbols(list(w), tuple(pair)) for w in words]
+    assert [bpe._symbol(i, {bpe.FIRST: pair}) if i >= 0 else None for i in s.tolist()] == [None] + [x for w in made for x in [*w, None]]
+    assert [int(c) for c, i in zip(by, s) if i >= 0] == [k for k, w in zip(n, made) for _ in w]
+    want = {}
+    for k, w, m in zip(n, words, made):
+        for p, d in [*((p, -k) for p in zip(w, w[1:])), *((p, k) for p in zip(m, m[1:]))]:
+            want[p] = want.get(p, 0) + d
+    got = {}
+    if changed:
+        for a, b, d in zip(*(x.tolist() for x in bpe._summed(*changed))):
+            got[bpe._symbol(a, {bpe.FIRST: pair}), bpe._symbol(b, {bpe.FIRST: pair})] = d
+    assert got == {p: d for p, d in want.items() if d}
+
+
 def test_rules_of_all_languages_follow_each_other(spark):
     rows = [("fr", 0, "a", "b"), ("de", 0, "x", "y"), ("de", 1, "xy", "z"), (None, 0, "a", "b")]
     got = bpe.merge_rules(spark.createDataFrame(rows, "lang string, rank long, left string, right string"), "lang")
