@@ -154,6 +154,20 @@ def test_lookups_ask_the_language_of_the_row(spark):
     assert got == {1: "a {T IY}.", 2: "{T E A}", 3: "tea", 4: "({?})"}
 
 
+def test_lookups_move_distinct_words(spark):
+    """The words of a bucket come together before the join; texts of one key are
+    one, word by word, and null texts give no row."""
+    lex = spark.createDataFrame(LEXICON, "lang string, word string, prons array<string>")
+    rows = [(1, "en", "tea " * 500 + "tea"), (2, "en", "b tea"), (2, "en", "a c"), (None, "fr", "tea  x"), (4, "en", None), (5, "en", "")]
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    out = VC.lookup_words(df, "id", "text", lex, lang="lang")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter"):]
+    assert 0 < join.find("Aggregate") < join.find("Generate explode")
+    got = {r.id: r.text for r in out.collect()}
+    assert got == {1: " ".join(["{T IY}"] * 501), 2: "a b c {T IY}", None: "{T E A}  x", 5: ""}
+
+
 def test_the_cache_gives_what_it_holds(spark):
     lex = spark.createDataFrame(LEXICON, "lang string, word string, prons array<string>")
     df = spark.createDataFrame([(1, "en", "tea"), (2, "en", "tea")], "id long, lang string, text string")
