@@ -136,6 +136,21 @@ def test_bpe_keeps_documents_without_language(spark):
     assert all("".join(r.pieces) == r.word for r in enc)
 
 
+def test_encoding_moves_no_word(spark):
+    """No join and no shuffle; the same pieces at the same places, in parts of any size."""
+    rows = [(1, "en", "abab abc, abab"), (2, None, "abab x"), (2, "en", ""), (None, "en", "abab"), (4, "en", None), (5, "de", "...")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    merges = {"en": [("a", "b"), ("ab", "ab")], None: [("b", "a")]}
+    enc = VC.bpe_encode(df, "doc_id", "text", merges, "lang")
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = sorted(((r.doc_id or 0, r.lang or "", r.pos, r.word, r.pieces) for r in enc.collect()), key=str)
+    assert got == sorted([(1, "en", 0, "abab", ["abab"]), (1, "en", 1, "abc", ["ab", "c"]), (1, "en", 2, ",", [","]), (1, "en", 3, "abab", ["abab"]),
+                          (2, "", 0, "abab", ["a", "ba", "b"]), (2, "", 1, "x", ["x"]), (0, "en", 0, "abab", ["abab"]), (5, "de", 0, "...", list("..."))], key=str)
+    cut = df.select("doc_id", VC.encode_words_arrow(F.regexp_extract_all("text", F.lit("[a-z]+"), 0), F.col("lang"), merges, piece=1).alias("p"))
+    assert [r.p for r in cut.collect()] == [[["abab"], ["ab", "c"], ["abab"]], [["a", "ba", "b"], ["x"]], [], [["abab"]], None, []]
+
+
 def test_joined_vocabularies_keep_the_first_ids(spark):
     chars = spark.createDataFrame([("b", "x"), ("a", "é"), ("a", "a"), ("b", "a"), (None, "z"), ("b", "b")], "lang string, char string")
     each = VC.build_vocabs(chars, "lang", "char", chars.select("lang").distinct(), punctuations="!", specials=("<P>",))
