@@ -80,3 +80,68 @@ def test_analysis_reads_its_texts_once(spark, tmp_path, monkeypatch):
     got = {r.metric: r.value for r in _snk_analysis(spark, str(tmp_path)).collect()}
     assert float(got["total_words"]) == sum(3 * (i % 5 + 1) for i in range(40))
     assert seen and not any("documents.parquet" in f for f in seen)
+
+
+def _generated(df):
+    """Rows that each explode of the plan makes, by the expression it explodes."""
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    out, todo = [], [qe.executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            out.append((node.generator().toString(), node.metrics().apply("numOutputRows").value()))
+    return out
+
+
+def test_many_ranges_are_not_cut_into_many_rows(spark):
+    n = 1 << 17
+    few, many = ([(10 ** 9, 10 ** 9 + 12345)], spark.range(n).selectExpr("id * 36 AS lo", "id * 36 + 30 AS hi"))
+    p = spark.range(1000).selectExpr("id * 50 AS x")
+    r = many.union(spark.createDataFrame(few, "lo long, hi long"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        j = range_join(p, r, "x", "lo", "hi")
+        made = {("cells" if "sequence" in g else "points"): k for g, k in _generated(j)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert n < made["cells"] < 2 * n and made["points"] == 2 * 1000
+    assert j.count() == sum(50 * i % 36 <= 30 for i in range(1000))
+
+
+def test_a_range_that_holds_all_points_is_cut(spark):
+    j = range_join(spark.range(1 << 12).withColumnRenamed("id", "x"), spark.createDataFrame([(0, (1 << 12) - 1)], "lo long, hi long"), "x", "lo", "hi")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert [k for g, k in _generated(j) if "sequence" in g] == [64]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert j.count() == 1 << 12
+
+
+def test_words_meet_samples_without_being_cut(spark, tmp_path):
+    from voxframe.plans.q_assemble import _asm_label_time_join
+    text = ["a bc  defghij", "klmnopqrstuvwxyzklmnopqrstuvwxyz x", " ", None, "one two three"]
+    rows = [(c, t, text[((c or 0) + t) % 5]) for c in (1, 2, None) for t in range(9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want, n_words = [], 0
+    for c in (1, 2):
+        at, words = 0, []
+        for t in range(9):
+            for k, w in enumerate((text[(c + t) % 5] or "").split()):
+                words.append((at * 0.06 * 100, (at + len(w)) * 0.06 * 100, t, k, w))
+                at += len(w) + 1
+        n_words += len(words)
+        want += [(c, i, t, k, w) for i in range(0, int(max(x[1] for x in words)) + 1, 50) for lo, hi, t, k, w in words if lo <= i <= hi]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        j = _asm_label_time_join(spark, str(tmp_path))
+        made = [k for g, k in _generated(j) if "shiftright" in g]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted(tuple(r) for r in j.collect()) == sorted(want)
+    assert len(made) == 1 and made[0] <= 2 * n_words
