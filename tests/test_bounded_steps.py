@@ -1,5 +1,8 @@
 """Steps whose memory, tasks and passes do not grow faster than the input."""
 
+import struct
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -7,8 +10,10 @@ from voxframe.functions.core import range_join
 from voxframe.operators import analyze as AN
 from voxframe.operators import infer as INF
 from voxframe.operators import vocab as VC
+from voxframe.plans import q_quality
 from voxframe.plans.q_quality import TONE, _tone, stub_synthesizer
 from voxframe.sources.manifest import parse_lines
+from voxframe.sources.sinks import write_audio_by_lang
 
 
 def _plan(df):
@@ -145,3 +150,47 @@ def test_words_meet_samples_without_being_cut(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert sorted(tuple(r) for r in j.collect()) == sorted(want)
     assert len(made) == 1 and made[0] <= 2 * n_words
+
+
+def _wave(wav):
+    """Rate and samples of a WAV file of 32-bit floats."""
+    kind, channels, rate = struct.unpack("<HHI", wav[20:28])
+    assert (wav[:4], wav[8:16], kind, channels, wav[50:54]) == (b"RIFF", b"WAVEfmt ", 3, 1, b"data")
+    assert struct.unpack("<I", wav[4:8])[0] == len(wav) - 8 and struct.unpack("<I", wav[54:58])[0] == len(wav) - 58
+    return rate, np.frombuffer(wav[58:], "<f4")
+
+
+def test_the_model_gives_whole_waves_back(spark, tmp_path):
+    def model(text, language):
+        if text == "bad":
+            raise ValueError("x" * 2000)
+        return None if text == "none" else np.ones((2, 3)) if text == "two" else np.arange(len(text) * 1000)
+
+    texts = ["a" * n for n in (1, 0, 7, 3000)] + ["bad", "none", "two"]
+    rows = [(i if i else None, "l" + str(i % 2), t) for i, t in enumerate(texts)] + [(2 ** 60 + 1, "l0", "abc")]
+    df = spark.createDataFrame(rows, "k long, l string, t string").coalesce(1)
+    x = INF.apply_model(df, model, "k", "l", "t", rate=8000)
+    got = {r.id: r for r in x.collect()}
+    assert len(got) == len(rows) and set(got) == {k for k, _, _ in rows}
+    for k, lang, t in rows:
+        r = got[k]
+        assert r.language == lang and r.proc_s >= 0
+        if t in ("bad", "none", "two"):
+            assert (r.status, r.n_samples, r.wav) == ("failed", 0, None)
+        else:
+            rate, wave = _wave(r.wav)
+            assert (r.status, r.error, r.n_samples, rate) == ("ok", None, 1000 * len(t), 8000)
+            assert (wave == np.arange(1000 * len(t), dtype=np.float32)).all()
+    assert got[4].error == "ValueError: " + "x" * 2000 and got[5].error.startswith("ValueError")
+    write_audio_by_lang(x.where("status = 'ok'").select("id", "language", "wav"), f"{tmp_path}/audio")
+    back = spark.read.parquet(f"{tmp_path}/audio")
+    assert {(r.id, r.language, bytes(r.wav)) for r in back.collect()} == {(r.id, r.language, bytes(r.wav)) for r in got.values() if r.wav is not None}
+
+
+def test_every_call_of_the_stand_in_computes_its_tone(monkeypatch):
+    made = []
+    monkeypatch.setattr(q_quality, "_tone", lambda a, b: made.append((a, b)) or _tone(a, b))
+    want = np.sin(2 * np.pi * 220 * np.arange(60 * 300) / 16000)
+    for _ in range(2):
+        assert abs(stub_synthesizer("x" * 300, "en") - want).max() < 1e-6
+    assert made == [(0, 60 * 300)] * 2
